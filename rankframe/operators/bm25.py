@@ -2,15 +2,14 @@
 
 Plan shape (see ``explain``):
 
-* postings  = explode(tokens) -> partial HashAggregate -> shuffle on (item, term) -> tf.
-  All tokens of one item live in one input row, so the map-side partial aggregate already
-  collapses repeats; the shuffle carries distinct (item, term) pairs only.
+* postings  = explode(tokens) -> shuffle on item -> count per (item, term).  Written once (reliable
+  checkpoint, partitioning kept), so the text is tokenised a single time.
 * term stats = postings -> partial count -> shuffle on term -> df, idf.  A very common term is one
   row here, never a hot partition, because the count is pre-aggregated map-side.
-* corpus stats = two one-row aggregates (item count from an id-only scan, token total from
-  postings) -> broadcast of exactly one row.
+* corpus stats = item count (id-only scan), token total and mean idf: one row, folded in as literals.
 * scores = query terms (small, size-checked broadcast; else a shuffle join with AQE skew split on
-  hot terms) joined to postings on term -> partial sum per (query, item) -> shuffle -> sum.
+  hot terms) joined to postings on term -> sum per (query, item) with *no* shuffle: the postings'
+  hash partitioning on item already satisfies the (query, item) clustering.
 * top-k = row_number per query; Catalyst's WindowGroupLimit keeps only k rows per query and
   partition before the shuffle on query id.
 """
@@ -24,41 +23,53 @@ from pyspark.sql import functions as F
 
 from rankframe import schemas as S
 from rankframe.functions.text import tokenize_ascii
-from rankframe.session import broadcast_if_small
+from rankframe.session import broadcast_if_small, cut_lineage
 
 QUERY_SIDE_BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame      # (item_id, dl, term, tf)
+    postings: DataFrame      # (item_id, dl, term, tf); all rows of one item in one partition
     term_stats: DataFrame    # (term, df, idf)
-    corpus: DataFrame        # one row: (n_items, total_tokens, avgdl, avg_idf)
+    n_items: int
+    total_tokens: int
+    avg_idf: float
     id_col: str
     k1: float = S.BM25_K1
     b: float = S.BM25_B
 
+    @property
+    def avgdl(self) -> float:
+        return self.total_tokens / self.n_items if self.n_items else 0.0
+
 
 def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=tokenize_ascii,
-               epsilon: float = S.BM25_EPSILON, k1: float = S.BM25_K1, b: float = S.BM25_B) -> Bm25Index:
-    """A4: build the index tables from ``items(id_col, text_col)``."""
+               epsilon: float = S.BM25_EPSILON, k1: float = S.BM25_K1, b: float = S.BM25_B,
+               materialize: bool = True) -> Bm25Index:
+    """A4: build the index tables from ``items(id_col, text_col)``.
+
+    Postings are hash-partitioned by item (one shuffle of token rows) and written once to the shared
+    checkpoint folder, so the text is tokenised exactly once however many statistics and queries
+    read the index, and every later per-(query, item) sum finds its input already co-located.  The
+    corpus statistics are three numbers (item count, token total, mean raw idf) read back as one row.
+    """
     toks = items.select(F.col(id_col).alias("item_id"), tokenizer(F.col(text_col)).alias("tokens"))
     postings = (toks.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+                .repartition("item_id")
                 .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n_items = items.select(id_col).agg(F.count(F.lit(1)).alias("n_items"))
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tokens"))
+    if materialize:
+        postings = cut_lineage(postings)
+    n_items = items.select(id_col).count()
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     raw = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .crossJoin(F.broadcast(n_items))
-           .withColumn("raw_idf", F.log(F.col("n_items") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    avg_idf = raw.agg(F.avg("raw_idf").alias("avg_idf"))
-    term_stats = (raw.crossJoin(F.broadcast(avg_idf))
-                  .select("term", "df",
-                          F.when(F.col("raw_idf") < 0, F.lit(epsilon) * F.col("avg_idf"))
-                          .otherwise(F.col("raw_idf")).alias("idf")))
-    corpus = (n_items.crossJoin(total).crossJoin(avg_idf)
-              .select("n_items", "total_tokens",
-                      (F.col("total_tokens") / F.col("n_items")).alias("avgdl"), "avg_idf"))
-    return Bm25Index(postings, term_stats, corpus, id_col, k1, b)
+           .withColumn("raw_idf", F.log(F.lit(n_items) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    if materialize:
+        raw = cut_lineage(raw)
+    avg_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
+    term_stats = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * avg_idf))
+                            .otherwise(F.col("raw_idf")).alias("idf"))
+    return Bm25Index(postings, term_stats, n_items, int(total), float(avg_idf), id_col, k1, b)
 
 
 def query_terms(queries: DataFrame, qid: str, qtext: str, tokenizer=tokenize_ascii) -> DataFrame:
@@ -74,10 +85,10 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, qid: str = "query_id", qte
     qt = broadcast_if_small(qt, query_side_rows)
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
+    avgdl = F.lit(index.avgdl)
     contrib = (F.col("qf") * F.col("idf") * tf * F.lit(k1 + 1)
-               / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl"))))
+               / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl)))
     return (index.postings.join(qt, "term")
-            .crossJoin(F.broadcast(index.corpus.select("avgdl")))
             .groupBy("query_id", "item_id").agg(F.sum(fixed_point(contrib)).alias("score_fp"))
             .select("query_id", "item_id", (F.col("score_fp") / F.lit(SCALE)).alias("score")))
 
