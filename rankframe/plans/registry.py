@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankframe.plans import sparse
+from rankframe.plans import dense, sparse
 
-MODULES = [sparse]
+MODULES = [sparse, dense]
 
 
 def queries() -> dict:
