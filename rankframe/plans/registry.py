@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankframe.plans import dense, sparse
+from rankframe.plans import dense, hybrid, sparse
 
-MODULES = [sparse, dense]
+MODULES = [sparse, dense, hybrid]
 
 
 def queries() -> dict:
