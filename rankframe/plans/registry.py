@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankframe.plans import dense, hybrid, sparse
+from rankframe.plans import catalog, dense, hybrid, sparse
 
-MODULES = [sparse, dense, hybrid]
+MODULES = [sparse, dense, hybrid, catalog]
 
 
 def queries() -> dict:
