@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankframe.plans import catalog, dense, hybrid, sparse
+from rankframe.plans import catalog, dense, hybrid, ranking, sparse
 
-MODULES = [sparse, dense, hybrid, catalog]
+MODULES = [sparse, dense, hybrid, catalog, ranking]
 
 
 def queries() -> dict:
