@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankframe.plans import catalog, dense, hybrid, ranking, sparse
+from rankframe.plans import catalog, dense, hybrid, ranking, recommend, sparse
 
-MODULES = [sparse, dense, hybrid, catalog, ranking]
+MODULES = [sparse, dense, hybrid, catalog, ranking, recommend]
 
 
 def queries() -> dict:
