@@ -27,6 +27,7 @@ from rankframe.plans import hybrid as HY
 from rankframe.plans import sparse as SP
 from rankframe.plans.common import t
 from rankframe.plans.ranking import T8
+from rankframe.session import cut_lineage
 
 DIM = 64
 
@@ -38,22 +39,32 @@ def user_queries(spark, sf) -> DataFrame:
                     F.col("text").alias("query"), "conv_id", "turn")
 
 
+def prepare_items(catalog: DataFrame, materialize: bool = True) -> dict:
+    """Item-side artifacts built once and reused by every query batch: texts, hashed vectors (written
+    to the checkpoint folder) and the BM25 index (postings written once)."""
+    items_txt = catalog.select("catalog_idx", embedding_text("assessment_name", "description", "test_types",
+                                                             "job_levels").alias("etext"),
+                               bm25_text("full").alias("btext"))
+    ivec = hash_embed(items_txt, "catalog_idx", "etext", DIM)
+    if materialize:
+        ivec = cut_lineage(ivec)
+    return {"catalog": catalog, "ivec": ivec, "index": bm25_index(items_txt, "catalog_idx", "btext")}
+
+
 def recommend(queries: DataFrame, catalog: DataFrame, k_retrieve: int = S.TOP_K_RETRIEVAL,
-              k_rerank: int = S.RERANK_K, k_final: int = S.FINAL_RESULTS, ranker=None) -> DataFrame:
+              k_rerank: int = S.RERANK_K, k_final: int = S.FINAL_RESULTS, ranker=None,
+              prepared: dict | None = None) -> DataFrame:
     """``(query_id, rank, catalog_idx, sim, score)`` for every query.
 
     ``queries(query_id, query)``, ``catalog`` = canonical catalogue.  Items and queries are embedded
     with the same hashed-token vectors; the rerank window gets its similarity from the vectors of
     both sides (so sparse-only candidates are scored too).
     """
+    prepared = prepared or prepare_items(catalog)
+    ivec, idx = prepared["ivec"], prepared["index"]
     q = queries.select("query_id", "query").withColumn("intent", tag_intent("query"))
-    items_txt = catalog.select("catalog_idx", embedding_text("assessment_name", "description", "test_types",
-                                                             "job_levels").alias("etext"),
-                               bm25_text("full").alias("btext"))
-    ivec = hash_embed(items_txt, "catalog_idx", "etext", DIM)
     qvec = hash_embed(q, "query_id", "query", DIM)
     dense = knn(qvec, ivec, k_retrieve, qid="query_id", iid="catalog_idx", normalize=False)
-    idx = bm25_index(items_txt, "catalog_idx", "btext")
     sparse = bm25_topk(bm25_scores(q, idx, qid="query_id", qtext="query"), k_retrieve)
     merged = merge_first([dense, sparse], "dense_first").where(F.col("rank") <= k_rerank)
     win = (merged.select("query_id", F.col("item_id").alias("catalog_idx"), F.col("rank").alias("pos"))
@@ -243,3 +254,17 @@ SQL = {
     "group_truth": f"""with {SP.BM25_CTE}
         select query_id, count(*) as n_truth, min(doc_id) as first_doc, max(doc_id) as last_doc from truth group by query_id""",
 }
+
+
+def q_recommend_stream(spark, sf):
+    """M1 registered: the stream over the conversations file, drained with an availableNow trigger."""
+    from rankframe.session import scratch_path
+    from rankframe.streaming.recommend_stream import recommend_stream, user_query_stream
+    cat = CAT.catalog_typed(spark, sf)
+    sink, ck = scratch_path(spark, "recs-sink"), scratch_path(spark, "recs-ckpt")
+    q = recommend_stream(user_query_stream(spark, sf), cat, sink, ck)
+    q.awaitTermination()
+    return (spark.read.parquet(sink).select("query_id", "rank", "catalog_idx", F.round("score", 9).alias("score")))
+
+
+QUERIES["recommend_stream"] = q_recommend_stream
