@@ -59,13 +59,13 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
                 .repartition("item_id")
                 .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     if materialize:
-        postings = cut_lineage(postings)
+        postings = cut_lineage(postings, "bm25-postings")
     n_items = items.select(id_col).count()
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     raw = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .withColumn("raw_idf", F.log(F.lit(n_items) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     if materialize:
-        raw = cut_lineage(raw)
+        raw = cut_lineage(raw, "bm25-terms")
     avg_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
     term_stats = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * avg_idf))
                             .otherwise(F.col("raw_idf")).alias("idf"))
