@@ -66,6 +66,12 @@ def bool_to_yes_no(c) -> Column:
     return F.when(_c(c), F.lit("Yes")).otherwise(F.lit("No"))
 
 
+def nan_safe_int(c) -> Column:
+    """A float that may be NaN (pandas' missing value) -> INT, NaN or NULL -> NULL."""
+    c = _c(c)
+    return F.when(F.isnan(c), F.lit(None)).otherwise(c).try_cast("int")
+
+
 def url_slug(c) -> Column:
     """The part after the last 'view/', trailing slashes removed, lower-cased."""
     return F.lower(F.regexp_replace(F.substring_index(_c(c), "view/", -1), "/+\\z", ""))

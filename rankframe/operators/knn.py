@@ -136,15 +136,37 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     return l2_normalize(vec, out)
 
 
-def embed_batches(df: DataFrame, fn, text_col: str, out_schema: str, batch_rows: int = 100) -> DataFrame:
-    """Batched embedding map with a user-supplied ``fn(list[str]) -> list[list[float]]``.
+def embed_batches(df: DataFrame, fn, id_col: str, text_col: str, batch_rows: int = 100,
+                  task_type: str = "RETRIEVAL_DOCUMENT") -> DataFrame:
+    """Batched embedding map with a user-supplied ``fn(texts, task_type) -> vectors``.
 
-    Arrow batches of ``batch_rows`` rows (the reference's batch size 100); order within a batch kept.
+    Calls ``fn`` on ``batch_rows`` texts at a time (the reference's batch size 100), order kept;
+    ``task_type`` tells a model whether it embeds documents or queries.  Output
+    ``(id_col, embedding ARRAY<DOUBLE>)``.
     """
     def run(it):
         for pdf in it:
             for s in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[s:s + batch_rows].copy()
-                part["embedding"] = list(fn(part[text_col].fillna("").tolist()))
-                yield part
-    return df.mapInPandas(run, schema=out_schema)
+                part = pdf.iloc[s:s + batch_rows]
+                vecs = fn(part[text_col].fillna("").tolist(), task_type)
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "embedding": [list(map(float, v)) for v in vecs]})
+    return df.select(id_col, text_col).mapInPandas(run, schema=f"{id_col} long, embedding array<double>")
+
+
+def hashing_embedder(dim: int = 64):
+    """A model-free ``fn`` for :func:`embed_batches`: the same signed feature hashing as
+    :func:`hash_embed`, computed in the task with numpy (a stand-in for a hosted model)."""
+    import hashlib
+    import re
+
+    tok = re.compile(r"[a-z0-9]+")
+
+    def fn(texts, task_type="RETRIEVAL_DOCUMENT"):
+        out = np.zeros((len(texts), dim))
+        for r, t in enumerate(texts):
+            for term in tok.findall(t.lower()):
+                h = hashlib.md5(term.encode("utf-8")).hexdigest()
+                out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8:16], 16) % 2 == 0 else -1.0
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.where(n > 0, out / np.where(n > 0, n, 1.0), out)
+    return fn

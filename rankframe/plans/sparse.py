@@ -86,7 +86,22 @@ def q_mean_recall_bm25(spark, sf):
     return m.select(F.round("mean_recall", 6).alias("mean_recall"), "n_queries")
 
 
+def q_truth_csv_roundtrip(spark, sf):
+    """The truth as a ground-truth CSV (passage text, document URL), written and read back."""
+    from rankframe.session import scratch_path
+    from rankframe.sources.tables import read_ground_truth, write_truth_csv
+    truth = passage_truth(spark, sf).join(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"),
+                                          "query_id")
+    rows = truth.select(F.col("text").alias("Query"),
+                        F.concat(F.lit("https://x.example/view/doc-"), F.col("item_id").cast("string"),
+                                 F.lit("/")).alias("Assessment_url"))
+    path = scratch_path(spark, "truth-csv")
+    write_truth_csv(rows, path)
+    return read_ground_truth(spark, path)
+
+
 QUERIES = {
+    "truth_csv_roundtrip": q_truth_csv_roundtrip,
     "tokenize": q_tokenize,
     "tokenize_words": q_tokenize_words,
     "bm25_term_stats": q_bm25_term_stats,
@@ -138,6 +153,9 @@ SQL = {
               from allsc)
         select query_id, doc_id, rank, score from r where rank <= 40""",
     "passage_truth": f"with {BM25_CTE} select query_id, doc_id from truth",
+    "truth_csv_roundtrip": f"""with {BM25_CTE}
+        select b.text as "Query", concat('https://x.example/view/doc-', cast(t.doc_id as varchar), '/') as "Assessment_url"
+        from truth t join benchmark b on b.item_id = t.query_id""",
     "recall_at_k_bm25": f"""with {BM25_CTE},
         p as (select distinct query_id, doc_id from top where rank <= 10)
         select t.query_id, {r6('count(p.doc_id) / count(*)')} as recall

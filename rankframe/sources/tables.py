@@ -54,7 +54,8 @@ def read_catalog_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header; required columns ``Query, Assessment_url``."""
-    df = spark.read.option("header", True).option("escape", '"').schema(S.GROUND_TRUTH).csv(path)
+    df = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+          .schema(S.GROUND_TRUTH).csv(path))
     return require_columns(df, ["Query", "Assessment_url"], "ground truth CSV")
 
 
@@ -68,6 +69,12 @@ def write_submission(rows: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
 
 
+def write_truth_csv(rows: DataFrame, path: str) -> None:
+    """Ground-truth CSV sink ``Query,Assessment_url`` with header (quoted, multi-line safe)."""
+    (rows.select("Query", "Assessment_url").write.mode("overwrite").option("header", True)
+     .option("escape", '"').csv(path))
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Vector table sink ``(catalog_idx, embedding ARRAY<FLOAT>)``."""
     df.select("catalog_idx", F.col("embedding").cast("array<float>")).write.mode("overwrite").parquet(path)
