@@ -39,3 +39,38 @@ def index_artifact(spark: SparkSession, key: tuple, build):
     if key not in memo:
         memo[key] = build()
     return memo[key]
+
+
+def sql_hash_cte(name: str, source: str, id_expr: str, text_expr: str, dim: int = 64) -> str:
+    """DuckDB twin of ``hash_embed``: CTEs ending in ``{name}_v(id, slot, val)`` (non-zero slots)."""
+    return f"""
+{name}_tk as (select {id_expr} as id, unnest({sql_tok_ascii(text_expr)}) as term from {source}),
+{name}_h as (select id, cast(concat('0x', substr(md5(term), 1, 8)) as bigint) % {dim} as slot,
+        case when cast(concat('0x', substr(md5(term), 9, 8)) as bigint) % 2 = 0 then 1 else -1 end as sgn from {name}_tk),
+{name}_s as (select id, slot, cast(sum(sgn) as double) as val from {name}_h group by id, slot),
+{name}_n as (select id, sqrt(sum(val * val)) as nrm from {name}_s group by id),
+{name}_v as (select s.id, s.slot, case when nrm > 0 then val / nrm else val end as val from {name}_s s join {name}_n using (id))"""
+
+
+def sql_bm25_cte(p: str, docs: str, did: str, dtext: str, queries: str, qid: str, qtext: str) -> str:
+    """DuckDB twin of ``bm25_index`` + ``bm25_scores`` + positive top-k: CTEs ``{p}sc(query_id,
+    doc_id, score)`` and ``{p}top(query_id, doc_id, score, rank)``."""
+    return f"""
+{p}toks as (select {did} as doc_id, {sql_tok_ascii(dtext)} as t from {docs}),
+{p}post as (select doc_id, dl, term, count(*) as tf
+         from (select doc_id, len(t) as dl, unnest(t) as term from {p}toks) group by doc_id, dl, term),
+{p}nn as (select count(*) as n_items from {docs}),
+{p}tot as (select sum(tf) as total from {p}post),
+{p}raw as (select term, count(*) as df, ln(min(n_items) - count(*) + 0.5) - ln(count(*) + 0.5) as raw_idf
+        from {p}post, {p}nn group by term),
+{p}avgi as (select avg(raw_idf) as avg_idf from {p}raw),
+{p}ts as (select term, df, case when raw_idf < 0 then 0.25 * avg_idf else raw_idf end as idf from {p}raw, {p}avgi),
+{p}qt as (select query_id, term, count(*) as qf
+       from (select {qid} as query_id, unnest({sql_tok_ascii(qtext)}) as term from {queries})
+       group by query_id, term),
+{p}sc as (select q.query_id, d.doc_id,
+              sum(floor(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n_items))) * 1e9 + 0.5)) / 1e9 as score
+       from {p}qt q join {p}ts s using (term) join {p}post d using (term), {p}nn, {p}tot group by q.query_id, d.doc_id),
+{p}top as (select query_id, doc_id, score,
+               row_number() over (partition by query_id order by score desc, doc_id) as rank
+        from {p}sc where score > 0)"""

@@ -272,3 +272,71 @@ def q_recommend_stream(spark, sf):
 
 
 QUERIES["recommend_stream"] = q_recommend_stream
+
+
+# ---- oracle SQL for the recommend cascade (same steps, DuckDB dialect)
+from rankframe.plans import ranking as RK  # noqa: E402
+from rankframe.plans.common import sql_bm25_cte, sql_hash_cte  # noqa: E402
+
+
+def _sql_types_list(col):
+    parts = [f"case when regexp_matches(lower(coalesce({col}, '')), '{p}') then '{t_}' end" for p, t_ in I.TYPE_RULES]
+    return f"list_filter([{', '.join(parts)}], lambda x: x is not null)"
+
+
+REC_CTE = f"""{CAT.SQL_SOURCE},
+cat as (select catalog_idx, assessment_name, assessment_url,
+          case when has_detail then description end as description,
+          ([{RK.TN.format(c='code1')}] || case when code1 <> code2 then [{RK.TN.format(c='code2')}] else []::varchar[] end
+            || case when code3 is null then []::varchar[] else [code3] end) as test_types,
+          case when has_detail then {CAT.DURATION} end as duration_minutes,
+          case when has_detail then [level, p_brand] else []::varchar[] end as job_levels from src),
+items as (select *, concat_ws(' ', nullif(assessment_name, ''), nullif(description, ''),
+                        nullif(array_to_string(test_types, ' '), ''), nullif(array_to_string(job_levels, ' '), '')) as etext,
+                 concat_ws(' ', nullif(assessment_name, ''), nullif(description, ''), nullif(array_to_string(test_types, ' '), ''),
+                        case when duration_minutes is not null then concat(cast(duration_minutes as varchar), ' minutes') end) as btext
+          from cat),
+users as (select conv_id * 1000000 + turn as query_id, text as query, conv_id, turn from conversations where role = 'user'),
+{sql_hash_cte('iv', 'items', 'catalog_idx', 'etext')},
+{sql_hash_cte('qv', 'users', 'query_id', 'query')},
+dots as (select q.id as query_id, i.id as catalog_idx, sum(q.val * i.val) as dot
+         from qv_v q join iv_v i on q.slot = i.slot group by q.id, i.id),
+dall as (select u.query_id, c.catalog_idx, floor(coalesce(d.dot, 0.0) * 1e9 + 0.5) as sim_fp
+         from users u cross join items c left join dots d on d.query_id = u.query_id and d.catalog_idx = c.catalog_idx),
+dense as (select * from (select query_id, catalog_idx, row_number() over (partition by query_id order by sim_fp desc, catalog_idx) as rank
+          from dall) where rank <= 40),
+{sql_bm25_cte('b_', 'items', 'catalog_idx', 'btext', 'users', 'query_id', 'query')},
+mu as (select query_id, catalog_idx, rank as p, 0 as source from dense
+       union all select query_id, doc_id as catalog_idx, rank as p, 1 as source from b_top where rank <= 40),
+mf as (select * from (select *, row_number() over (partition by query_id, catalog_idx order by source, p) as n from mu) where n = 1),
+win as (select * from (select query_id, catalog_idx, row_number() over (partition by query_id order by source, p) as pos from mf)
+        where pos <= 20),
+cand as (select w.query_id, w.catalog_idx, w.pos, floor(coalesce(d.dot, 0.0) * 1e9 + 0.5) / 1e9 as sim,
+           c.test_types, c.duration_minutes, c.job_levels,
+           {_sql_duration().replace('text', 'u.query')} as max_duration_minutes,
+           {_sql_level().replace('text', 'u.query')} as job_level,
+           {_sql_types_list('u.query')} as req
+         from win w join items c using (catalog_idx) join users u using (query_id)
+         left join dots d on d.query_id = w.query_id and d.catalog_idx = w.catalog_idx),
+sc as (select *,
+  3.0e0 * len(list_filter(req, lambda x: list_contains(test_types, x)))
+    + case when max_duration_minutes is null or max_duration_minutes = 0 or duration_minutes is null or duration_minutes = 0 then 0.0e0
+           when duration_minutes <= max_duration_minutes then 2.0e0
+           when duration_minutes <= max_duration_minutes + 15 then 1.0e0 else 0.0e0 end
+    + case when job_level is not null and job_level <> '' and list_contains(job_levels, job_level) then 1.0e0 else 0.0e0 end as soft,
+  case when list_has_any(test_types, ['Personality & Behavior', 'Ability & Aptitude']) then 0.5e0 else 0.0e0 end as generic
+  from cand),
+ws as (select *, 0.55e0 * sim + 0.30e0 * soft + 0.15e0 * generic as score from sc),
+recs as (select * from (select query_id, row_number() over (partition by query_id order by floor(score * 1e9 + 0.5) desc, pos) as rank,
+                               catalog_idx, score from ws) where rank <= 10)"""
+
+SQL["recommend_cascade"] = f"with {REC_CTE} select query_id, rank, catalog_idx, round(score, 9) as score from recs"
+SQL["recommend_stream"] = SQL["recommend_cascade"]
+SQL["submission_rows"] = f"""with {REC_CTE}
+    select u.query as "Query", c.assessment_url as "Assessment_url", r.query_id as query_pos, r.rank
+    from recs r join users u using (query_id) join items c using (catalog_idx)"""
+SQL["stage_counts"] = f"""with {REC_CTE}
+    select 'catalog' as stage, count(*) as n from items
+    union all select 'queries', count(*) from users
+    union all select 'recommended', count(*) from recs
+    union all select 'queries_with_results', count(distinct query_id) from recs"""
