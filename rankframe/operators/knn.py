@@ -1,7 +1,11 @@
 """Exact dense top-k (R1/J3) and the embedding operators.
 
-Two exact plans, equal results (tested):
+Three exact plans, equal results (tested):
 
+* ``method="broadcast"`` (chosen by ``auto`` when the query side is small, checked by count and
+  dimension): the query matrix is broadcast once and ``mapInPandas`` scores each item partition in
+  place -- items are never shuffled -- keeping a running top-k per query across the partition's
+  Arrow batches, so one partition emits at most k rows per query.
 * ``method="blocked"`` (default, scales): items are hashed into item blocks and queries into query
   blocks; each item row is copied once per query block and each query row once per item block, and
   ``cogroup(...).applyInPandas`` multiplies one query block by one item block with numpy and keeps
@@ -34,6 +38,8 @@ ITEM_BLOCK_ROWS = 20_000
 QUERY_BLOCK_ROWS = 20_000
 QUERY_CHUNK = 256
 SQL_QUERY_ROWS = 10_000
+BROADCAST_QUERY_ROWS = 50_000
+BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 
 
 def _local_topk_fn(k: int, exclude_self: bool):
@@ -71,19 +77,74 @@ def _local_topk_fn(k: int, exclude_self: bool):
     return fn
 
 
+def _partition_topk_fn(qids: np.ndarray, qmat_bc, k: int, exclude_self: bool):
+    """mapInPandas body: items of one partition against the broadcast query matrix, keeping a
+    running top-k per query across the partition's Arrow batches; emitted once at the end."""
+    def run(it):
+        qmat = qmat_bc.value
+        best_key = best_iid = best_fp = None
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            iids = pdf["iid"].to_numpy(dtype=np.int64)
+            imat = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            order = np.argsort(iids, kind="stable")
+            iids, imat = iids[order], imat[order]
+            fp = np.floor((qmat @ imat.T) * SCALE + 0.5).astype(np.int64)
+            # key: fixed-point similarity first, then smaller item id (ids compared as a rank of the
+            # union of kept and new ids, so the key stays exact across batches)
+            if best_key is not None:
+                fp = np.concatenate([best_fp, fp], axis=1)
+                iids_all = np.concatenate([best_iid, np.broadcast_to(iids, (len(qids), len(iids)))], axis=1)
+            else:
+                iids_all = np.broadcast_to(iids, (len(qids), len(iids)))
+            ranks = np.argsort(np.argsort(iids_all, axis=1, kind="stable"), axis=1)
+            n = iids_all.shape[1]
+            bits = max(1, int(n - 1).bit_length())
+            key = (fp << bits) + (n - 1 - ranks)
+            if exclude_self:
+                key[iids_all == qids[:, None]] = np.iinfo(np.int64).min
+            kk = min(k, n)
+            top = np.argpartition(key, n - kk, axis=1)[:, n - kk:]
+            rows = np.arange(len(qids))[:, None]
+            best_key, best_iid, best_fp = key[rows, top], iids_all[rows, top], fp[rows, top]
+        if best_key is None:
+            return
+        keep = best_key != np.iinfo(np.int64).min
+        r, c = np.nonzero(keep)
+        yield pd.DataFrame({"query_id": qids[r], "item_id": best_iid[r, c], "sim_fp": best_fp[r, c]})
+    return run
+
+
 def knn(queries: DataFrame, items: DataFrame, k: int, qid: str = "query_id", iid: str = "item_id",
         qvec: str = "embedding", ivec: str = "embedding", exclude_self: bool = False,
-        method: str = "blocked", normalize: bool = True) -> DataFrame:
+        method: str = "auto", normalize: bool = True) -> DataFrame:
     """``(query_id, item_id, rank, sim)`` — the k most similar items per query, exact.
 
     Vectors are L2-normalised first (``normalize=True``), so ``sim`` is the cosine / inner product
     of unit vectors.  ``exclude_self`` drops the pair ``query_id == item_id`` (self-search).
+    ``method``: ``auto`` picks ``broadcast`` when the query matrix is under BROADCAST_QUERY_BYTES
+    (checked from the row count and dimension), else ``blocked``; ``sql`` for small query sides.
     """
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("v"))
     i = items.select(F.col(iid).alias("iid"), F.col(ivec).alias("v"))
     if normalize:
         q, i = l2_normalize(q, "v"), l2_normalize(i, "v")
-    if method == "sql":
+    if method == "auto":
+        head = q.limit(BROADCAST_QUERY_ROWS + 1).select(F.size("v").alias("d"))
+        stats = head.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+        small = stats["n"] <= BROADCAST_QUERY_ROWS and (stats["n"] * (stats["d"] or 0) * 8 <= BROADCAST_QUERY_BYTES)
+        method = "broadcast" if small else "blocked"
+    if method == "broadcast":
+        qp = q.toPandas()  # size-checked above: at most BROADCAST_QUERY_BYTES of vectors
+        if len(qp) == 0:
+            return queries.sparkSession.createDataFrame([], "query_id long, item_id long, rank int, sim double")
+        qids = qp["qid"].to_numpy(dtype=np.int64)
+        qmat = np.stack(qp["v"].to_numpy()).astype(np.float64)
+        bc = queries.sparkSession.sparkContext.broadcast(qmat)
+        cand = i.mapInPandas(_partition_topk_fn(qids, bc, k, exclude_self),
+                             schema="query_id long, item_id long, sim_fp long")
+    elif method == "sql":
         pairs = i.crossJoin(broadcast_if_small(q.withColumnRenamed("v", "qv"), SQL_QUERY_ROWS))
         if exclude_self:
             pairs = pairs.where(F.col("qid") != F.col("iid"))
@@ -116,23 +177,23 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     """Signed feature hashing of the tokens, L2-normalised; needs no model.
 
     slot = (first 8 hex digits of md5(term)) mod dim; sign = +1 when the next 8 hex digits are even.
-    The per-(id, slot) sum is pre-aggregated map-side (a long text collapses to <= dim rows before
-    any shuffle); the per-id list is bounded by ``dim``.
+    One shuffle of the raw text by id; the per-(id, slot) and per-id aggregates both reuse that
+    partitioning (no further exchange), and the per-id list is bounded by ``dim``.  An item without
+    tokens gets the zero vector.
     """
     h1 = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5("term"), 9, 8), 16, 10).cast("long")
-    toks = (df.select(F.col(id_col).alias("id"), F.explode(tokenizer(F.col(text_col))).alias("term"))
+    toks = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).repartition("id")
+            .select("id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
             .select("id", F.pmod(h1, F.lit(dim)).alias("slot"),
                     F.when(F.pmod(h2, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn")))
     slots = toks.groupBy("id", "slot").agg(F.sum("sgn").cast("double").alias("val"))
-    m = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "val"))).alias("m"))
+    m = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("slot").isNotNull(), F.struct("slot", "val")))).alias("m"))
     vec = m.select(F.col("id").alias(id_col),
                    F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                                lambda s: F.coalesce(F.try_element_at(F.col("m"), s.cast("long")),
                                                     F.lit(0.0))).alias(out))
-    # items without any token get the zero vector
-    vec = df.select(id_col).join(vec, id_col, "left").select(
-        id_col, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dim)).alias(out))
     return l2_normalize(vec, out)
 
 

@@ -12,12 +12,13 @@ from rankframe.operators.knn import knn
 from conftest import MID, SMALL
 
 
-def test_knn_blocked_equals_sql(spark):
+def test_knn_plans_agree(spark):
     e = spark.read.parquet(f"{MID}/embeddings.parquet")
     q = e.where("vec_id % 10 = 0")
     a = knn(q, e, 10, qid="vec_id", iid="vec_id", exclude_self=True, method="blocked")
     b = knn(q, e, 10, qid="vec_id", iid="vec_id", exclude_self=True, method="sql")
-    assert sorted(a.collect()) == sorted(b.collect())
+    c = knn(q, e.repartition(7), 10, qid="vec_id", iid="vec_id", exclude_self=True, method="broadcast")
+    assert sorted(a.collect()) == sorted(b.collect()) == sorted(c.collect())
 
 
 def test_bm25_matches_python(spark):
