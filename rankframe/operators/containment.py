@@ -41,8 +41,10 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
     texts = docs.select(F.col(did).alias("item_id"), F.col(dtext).alias("dtext"))
     # the candidate side is small (rarest-token postings): broadcast it after a size check so the
     # document texts are scanned in place, never shuffled; beyond the bound a shuffle join on item
-    # (ids only: 16 bytes a pair); passage texts come from the passages table, itself size-checked
-    pairs = broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS)
+    # (ids only: 16 bytes a pair); passage texts come from the passages table, itself size-checked.
+    # The candidate count is known exactly without touching the postings: the sum of anchor dfs.
+    n_cand = anchored.agg(F.coalesce(F.sum("anchor_df"), F.lit(0))).first()[0]
+    pairs = F.broadcast(cand) if n_cand <= CANDIDATE_BROADCAST_ROWS else cand
     ptexts = broadcast_if_small(p.select("query_id", "ptext"), SHORT_PASSAGE_BROADCAST_ROWS)
     long_hits = (texts.join(pairs, "item_id").join(ptexts, "query_id")
                  .where(F.col("dtext").contains(F.col("ptext")))

@@ -19,7 +19,7 @@ from rankframe.operators.clean import canonicalise, prepare_catalog
 from rankframe.operators.extract import (enrich_catalog, extract_details, extract_links, extract_listing,
                                          resolve_against, take_pages_until_repeat)
 from rankframe.plans.common import sql_strip, t
-from rankframe.session import scratch_path
+from rankframe.session import cut_lineage, scratch_path
 from rankframe.sources.tables import read_catalog_json, write_catalog_json
 
 BASE_URL = "https://x.example"
@@ -148,10 +148,16 @@ def listing(spark, sf):
 
 
 def build_catalog(spark, sf):
-    """Listing pages -> rows -> take-while -> detail pages -> left join -> clean -> canonical."""
+    """Listing pages -> rows -> take-while -> detail pages -> left join -> clean -> canonical.
+
+    Each extraction's output is written once to the checkpoint folder (a stage boundary, as each
+    step of the offline build hands a table to the next), so the HTML is parsed exactly once even
+    though the take-while reads the rows twice.
+    """
     pages = listing_pages(spark, sf, with_repeats=True)
-    rows = take_pages_until_repeat(extract_listing(pages, BASE_URL), pages.select("page_id", "start"))
-    details = extract_details(detail_pages(spark, sf))
+    extracted = cut_lineage(extract_listing(pages, BASE_URL), "listing-rows")
+    rows = take_pages_until_repeat(extracted, pages.select("page_id", "start"))
+    details = cut_lineage(extract_details(detail_pages(spark, sf)), "detail-fields")
     return canonicalise(prepare_catalog(enrich_catalog(rows.drop("page_id", "row_pos", "start"), details)))
 
 

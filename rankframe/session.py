@@ -33,9 +33,36 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rankframe`` importable in Python workers (what ``--py-files`` does for a submit).
+
+    The package is zipped next to its source (``build/rankframe.zip``) and added once per context
+    with ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_rankframe_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = os.path.join(root, "build")
+    os.makedirs(out_dir, exist_ok=True)
+    zpath = os.path.join(out_dir, f"rankframe-{os.getpid()}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dp, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dp, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._rankframe_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
