@@ -130,13 +130,15 @@ def knn(queries: DataFrame, items: DataFrame, k: int, qid: str = "query_id", iid
     i = items.select(F.col(iid).alias("iid"), F.col(ivec).alias("v"))
     if normalize:
         q, i = l2_normalize(q, "v"), l2_normalize(i, "v")
+    qp = None
     if method == "auto":
-        head = q.limit(BROADCAST_QUERY_ROWS + 1).select(F.size("v").alias("d"))
-        stats = head.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
-        small = stats["n"] <= BROADCAST_QUERY_ROWS and (stats["n"] * (stats["d"] or 0) * 8 <= BROADCAST_QUERY_BYTES)
-        method = "broadcast" if small else "blocked"
+        # one bounded job is both the size check and, when small, the collect of the query matrix
+        head = q.limit(BROADCAST_QUERY_ROWS + 1).toPandas()
+        dim = len(head["v"].iloc[0]) if len(head) else 0
+        small = len(head) <= BROADCAST_QUERY_ROWS and len(head) * dim * 8 <= BROADCAST_QUERY_BYTES
+        method, qp = ("broadcast", head) if small else ("blocked", None)
     if method == "broadcast":
-        qp = q.toPandas()  # size-checked above: at most BROADCAST_QUERY_BYTES of vectors
+        qp = q.toPandas() if qp is None else qp
         if len(qp) == 0:
             return queries.sparkSession.createDataFrame([], "query_id long, item_id long, rank int, sim double")
         qids = qp["qid"].to_numpy(dtype=np.int64)

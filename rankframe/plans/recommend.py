@@ -63,7 +63,7 @@ def recommend(queries: DataFrame, catalog: DataFrame, k_retrieve: int = S.TOP_K_
     prepared = prepared or prepare_items(catalog)
     ivec, idx = prepared["ivec"], prepared["index"]
     q = queries.select("query_id", "query").withColumn("intent", tag_intent("query"))
-    qvec = hash_embed(q, "query_id", "query", DIM)
+    qvec = cut_lineage(hash_embed(q, "query_id", "query", DIM), "query-vectors")
     dense = knn(qvec, ivec, k_retrieve, qid="query_id", iid="catalog_idx", normalize=False)
     sparse = bm25_topk(bm25_scores(q, idx, qid="query_id", qtext="query"), k_retrieve)
     merged = merge_first([dense, sparse], "dense_first").where(F.col("rank") <= k_rerank)
