@@ -12,7 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankframe.session import broadcast_if_small
+
 RRF_K = 60
+CAND_BROADCAST_ROWS = 2_000_000
 
 
 def _tagged(lists) -> DataFrame:
@@ -64,8 +67,9 @@ def merge_by_key(lists, key_col: str = "url") -> DataFrame:
 def attach_items(cands: DataFrame, items: DataFrame, item_key: str, cols) -> DataFrame:
     """Candidate rows get item columns by an equi join on the item key (never by position).
 
-    Applied after top-k, so only surviving candidates are joined; Spark broadcasts the smaller side
-    when its measured size allows (AQE), else shuffles both on the key.
+    Applied after top-k, so only surviving candidates are joined.  The candidate side (k rows per
+    query) is broadcast after a size check, so the item table is read in place; beyond the bound
+    both sides are shuffled on the key.
     """
     it = items.select(F.col(item_key).alias("item_id"), *cols)
-    return cands.join(it, "item_id", "inner")
+    return it.join(broadcast_if_small(cands, CAND_BROADCAST_ROWS, materialize=True), "item_id", "inner")

@@ -27,9 +27,10 @@ from rankframe.plans import hybrid as HY
 from rankframe.plans import sparse as SP
 from rankframe.plans.common import index_artifact, t
 from rankframe.plans.ranking import T8
-from rankframe.session import cut_lineage
+from rankframe.session import broadcast_if_small, cut_lineage
 
 DIM = 64
+WINDOW_BROADCAST_ROWS = 2_000_000
 
 
 def user_queries(spark, sf) -> DataFrame:
@@ -67,9 +68,13 @@ def recommend(queries: DataFrame, catalog: DataFrame, k_retrieve: int = S.TOP_K_
     dense = knn(qvec, ivec, k_retrieve, qid="query_id", iid="catalog_idx", normalize=False)
     sparse = bm25_topk(bm25_scores(q, idx, qid="query_id", qtext="query"), k_retrieve)
     merged = merge_first([dense, sparse], "dense_first").where(F.col("rank") <= k_rerank)
-    win = (merged.select("query_id", F.col("item_id").alias("catalog_idx"), F.col("rank").alias("pos"))
+    # the window is k_rerank rows per query: broadcast it (size-checked) so the item-sized tables
+    # (vectors, catalogue) are joined in place instead of being shuffled for every query batch
+    win0 = broadcast_if_small(
+        merged.select("query_id", F.col("item_id").alias("catalog_idx"), F.col("rank").alias("pos")),
+        WINDOW_BROADCAST_ROWS, materialize=True)
+    win = (ivec.withColumnRenamed("embedding", "iv").join(win0, "catalog_idx")
            .join(qvec.withColumnRenamed("embedding", "qv"), "query_id")
-           .join(ivec.withColumnRenamed("embedding", "iv"), "catalog_idx")
            .withColumn("sim", F.floor(dot("qv", "iv") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9))
            .drop("qv", "iv")
            .join(catalog.select("catalog_idx", "test_types", "duration_minutes", "job_levels"), "catalog_idx")

@@ -96,11 +96,15 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int, materialize: bool = False) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
-    The check is one cheap job on the (expected small) side.  Beyond the bound the frame is
-    returned unchanged and Spark plans a shuffle join (AQE may still demote it at runtime).
+    The check is one job on the (expected small) side.  When that side is the end of an expensive
+    plan, ``materialize=True`` writes it once (shared checkpoint folder) so the check and the join
+    read the same table instead of computing it twice.  Beyond the bound the frame is returned
+    unchanged and Spark plans a shuffle join (AQE may still demote it at runtime).
     """
+    if materialize:
+        df = cut_lineage(df, "small-side")
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
