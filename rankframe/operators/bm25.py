@@ -87,8 +87,15 @@ def query_terms(queries: DataFrame, qid: str, qtext: str, tokenizer=tokenize_asc
 def bm25_scores(queries: DataFrame, index: Bm25Index, qid: str = "query_id", qtext: str = "query",
                 tokenizer=tokenize_ascii, query_side_rows: int = QUERY_SIDE_BROADCAST_ROWS) -> DataFrame:
     """``(query_id, item_id, score)`` for every item sharing at least one term with the query."""
-    qt = query_terms(queries, qid, qtext, tokenizer).join(index.term_stats.select("term", "idf"), "term")
-    qt = broadcast_if_small(qt, query_side_rows)
+    # query terms are written once and size-checked; when small they are broadcast into the join with
+    # the vocabulary-sized term table and the (no larger) result is broadcast into the postings
+    # join, so neither the term table nor the postings are shuffled
+    qterms = cut_lineage(query_terms(queries, qid, qtext, tokenizer), "query-terms")
+    terms = index.term_stats.select("term", "idf")
+    if qterms.limit(query_side_rows + 1).count() <= query_side_rows:
+        qt = F.broadcast(terms.join(F.broadcast(qterms), "term"))
+    else:
+        qt = qterms.join(terms, "term")
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
     avgdl = F.lit(index.avgdl)

@@ -20,6 +20,7 @@ from rankframe.session import broadcast_if_small
 
 SHORT_PASSAGE_BROADCAST_ROWS = 100_000
 CANDIDATE_BROADCAST_ROWS = 1_000_000
+INTERIOR_BROADCAST_ROWS = 2_000_000
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid: str, ptext: str,
@@ -31,7 +32,8 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
                 .select("query_id", F.explode(F.slice("ptoks", 2, F.size("ptoks") - 2)).alias("term"))
                 .distinct())
     # rarest interior token per passage (ties: smallest term); an unknown token means no match at all
-    anchored = (interior.join(index.term_stats.select("term", "df"), "term", "left")
+    interior = broadcast_if_small(interior, INTERIOR_BROADCAST_ROWS, materialize=True)
+    anchored = (index.term_stats.select("term", "df").join(interior, "term", "right")
                 .groupBy("query_id")
                 .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("anchor"),
                      F.min(F.coalesce("df", F.lit(0))).alias("anchor_df"))
