@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankframe import schemas as S
 from rankframe.operators import rank as R
 from rankframe.operators import score as C
-from rankframe.operators.rerank import apply_order, rerank, rerank_prompts
+from rankframe.operators.rerank import apply_order, rerank, rerank_prompts, weighted_ranker
 from rankframe.plans import catalog as CAT
 from rankframe.plans.common import t
 from rankframe.plans.dense import KNN_CTE, knn_self
@@ -156,7 +156,8 @@ def q_apply_order(spark, sf):
 
 
 def q_rerank_topk(spark, sf):
-    return rerank(window(spark, sf)).select("query_id", "rank", "catalog_idx")
+    """W10 through the plug-in hook: a Python ranker per query (applyInPandas) + order repair."""
+    return rerank(window(spark, sf), ranker=weighted_ranker).select("query_id", "rank", "catalog_idx")
 
 
 QUERIES = {

@@ -80,7 +80,7 @@ def recommend(queries: DataFrame, catalog: DataFrame, k_retrieve: int = S.TOP_K_
            .join(catalog.select("catalog_idx", "test_types", "duration_minutes", "job_levels"), "catalog_idx")
            .join(q.select("query_id", "intent.*"), "query_id")
            .withColumn("score", C.weighted_score()))
-    out = rerank(win, k=k_final) if ranker is None else rerank(win, ranker=ranker, k=k_final)
+    out = rerank(win, ranker=ranker, k=k_final)
     return out.select("query_id", "rank", "catalog_idx", "sim", "score")
 
 
