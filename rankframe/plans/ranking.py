@@ -289,3 +289,22 @@ SQL = {
         select query_id, row_number() over (partition by query_id order by opos is null, opos, pos) as rank, catalog_idx, pos from pl""",
     "rerank_topk": _top("weighted", where="pos <= 20"),
 }
+
+
+# rerank prompts: instruction + query + intent JSON (Spark's to_json omits NULL fields) + item blocks
+from rankframe.operators.rerank import RERANK_INSTRUCTION  # noqa: E402
+
+_INSTR = RERANK_INSTRUCTION.replace("'", "''")
+_INTENT_JSON = ("""concat('{"skills":[],"soft_skills":[]',
+    case when max_duration_minutes is not null then concat(',"max_duration_minutes":', cast(max_duration_minutes as varchar)) else '' end,
+    case when job_level is not null then concat(',"job_level":"', job_level, '"') else '' end,
+    ',"required_test_types":[', array_to_string(list_transform(req, lambda x: concat('"', x, '"')), ','), ']}')""")
+_LINE = ("""concat('[', cast(pos - 1 as varchar), '] Name: ', assessment_name, chr(10), 'Description: ', coalesce(description, 'None'),
+    chr(10), 'Duration: ', coalesce(cast(duration_minutes as varchar), 'None'), ' mins', chr(10), 'Test Types: ',
+    '[', array_to_string(list_transform(test_types, lambda x: concat(chr(39), x, chr(39))), ', '), ']', chr(10))""")
+SQL["rerank_prompts"] = f"""with {CTE},
+    lines as (select query_id, string_agg({_LINE}, chr(10) order by pos) as items from ws where pos <= 20 group by query_id)
+    select l.query_id, concat(chr(10), '{_INSTR}', chr(10), 'QUERY:', chr(10), i.query, chr(10), chr(10), 'INTENT:', chr(10),
+        {_INTENT_JSON},
+        chr(10), chr(10), 'ASSESSMENTS:', chr(10), l.items, chr(10)) as prompt
+    from lines l join itv i on i.query_id = l.query_id"""

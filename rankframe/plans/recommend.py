@@ -345,3 +345,17 @@ SQL["stage_counts"] = f"""with {REC_CTE}
     union all select 'queries', count(*) from users
     union all select 'recommended', count(*) from recs
     union all select 'queries_with_results', count(distinct query_id) from recs"""
+
+SQL["response_json"] = f"""with {REC_CTE},
+    it as (select r.query_id, r.rank, c.assessment_url, c.assessment_name, coalesce(c.description, '') as description,
+                  c.duration_minutes, c.test_types, s.adaptive_irt, s.remote_testing
+           from recs r join items c using (catalog_idx) join src s using (catalog_idx)),
+    js as (select query_id, rank, concat('{{"url":"', assessment_url, '","name":"', assessment_name,
+                  '","adaptive_support":"', case when adaptive_irt = 'Yes' then 'Yes' else 'No' end,
+                  '","description":"', description, '"',
+                  case when duration_minutes is not null then concat(',"duration":', cast(duration_minutes as varchar)) else '' end,
+                  ',"remote_support":"', case when remote_testing = 'Yes' then 'Yes' else 'No' end,
+                  '","test_type":[', array_to_string(list_transform(test_types, lambda x: concat('"', x, '"')), ','), ']}}') as j
+           from it)
+    select query_id, concat('{{"recommended_assessments":[', string_agg(j, ',' order by rank), ']}}') as response
+    from js group by query_id"""
