@@ -58,3 +58,75 @@ def test_merges(spark):
     m = merge_by_key(keyed, "url").orderBy("rank").collect()
     # u10 first seen at dense pos 1, last value = sparse item 10 at pos 3 (after item 13 at pos 2)
     assert [(r.url, r.item_id) for r in m] == [("u10", 10), ("u11", 11), ("u12", 12)]
+
+
+def test_bm25_topk_partition_invariance(spark):
+    import __spark_entry__ as E
+    q = E.queries()["bm25_topk"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = sorted(q(spark, SMALL).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        b = sorted(q(spark, SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b and len(a) > 0
+
+
+def _loop_merge(lists, mode):
+    if mode == "dense_first":
+        seq = [x for l in lists for x in l]
+    else:  # interleave
+        seq = [l[i] for i in range(max(map(len, lists), default=0)) for l in lists if i < len(l)]
+    out, seen = [], set()
+    for x in seq:
+        if x not in seen:
+            out.append(x)
+            seen.add(x)
+    return out
+
+
+def _loop_rrf(lists):
+    score = {}
+    for l in lists:
+        for p, x in enumerate(l, 1):
+            score[x] = score.get(x, 0.0) + 1.0 / (60 + p)
+    return sorted(score, key=lambda x: (-round(score[x], 12), x))
+
+
+def _loop_by_key(lists, key):
+    d = {}
+    for l in lists:
+        for x in l:
+            d[key(x)] = x
+    return [(k, v) for k, v in d.items()]
+
+
+def test_merges_equal_loops(spark):
+    import random
+    rng = random.Random(5)
+    cases = {q: [rng.sample(range(30), rng.randint(0, 12)) for _ in range(2)] for q in range(200)}
+    rows = [[(q, x, p + 1) for q, ls in cases.items() for p, x in enumerate(ls[s])] for s in range(2)]
+    dfs = [spark.createDataFrame(r, "query_id long, item_id long, rank int") for r in rows]
+
+    def lists_of(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append(r.item_id)
+        return out
+
+    for mode in ("dense_first", "interleave"):
+        got = lists_of(merge_first(dfs, mode))
+        for q, ls in cases.items():
+            assert got.get(q, []) == _loop_merge(ls, mode), (mode, q)
+    got = lists_of(merge_first(dfs, "rrf"))
+    for q, ls in cases.items():
+        assert got.get(q, []) == _loop_rrf(ls), q
+    keyed = [d.withColumn("url", (F.col("item_id") % 7).cast("string")) for d in dfs]
+    m = merge_by_key(keyed, "url").orderBy("query_id", "rank").collect()
+    got = {}
+    for r in m:
+        got.setdefault(r.query_id, []).append((r.url, r.item_id))
+    for q, ls in cases.items():
+        assert got.get(q, []) == _loop_by_key(ls, lambda x: str(x % 7)), q
