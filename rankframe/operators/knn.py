@@ -40,6 +40,8 @@ QUERY_CHUNK = 256
 SQL_QUERY_ROWS = 10_000
 BROADCAST_QUERY_ROWS = 50_000
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
+SIM_BLOCK_BYTES = 128 * 1024 * 1024
+EXCLUDED_FP = -(1 << 40)  # below any fixed-point similarity, small enough to shift without overflow
 
 
 def _local_topk_fn(k: int, exclude_self: bool):
@@ -79,39 +81,43 @@ def _local_topk_fn(k: int, exclude_self: bool):
 
 def _partition_topk_fn(qids: np.ndarray, qmat_bc, k: int, exclude_self: bool):
     """mapInPandas body: items of one partition against the broadcast query matrix, keeping a
-    running top-k per query across the partition's Arrow batches; emitted once at the end."""
+    running top-k per query across the partition; emitted once at the end.
+
+    Items are taken in chunks so the similarity block (queries x chunk) stays under
+    SIM_BLOCK_BYTES whatever the Arrow batch size and the number of queries.
+    """
+    chunk = max(1, SIM_BLOCK_BYTES // (8 * max(1, len(qids))))
+
     def run(it):
         qmat = qmat_bc.value
-        best_key = best_iid = best_fp = None
+        best_iid = best_fp = None
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            iids = pdf["iid"].to_numpy(dtype=np.int64)
-            imat = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            order = np.argsort(iids, kind="stable")
-            iids, imat = iids[order], imat[order]
-            fp = np.floor((qmat @ imat.T) * SCALE + 0.5).astype(np.int64)
-            # key: fixed-point similarity first, then smaller item id (ids compared as a rank of the
-            # union of kept and new ids, so the key stays exact across batches)
-            if best_key is not None:
-                fp = np.concatenate([best_fp, fp], axis=1)
-                iids_all = np.concatenate([best_iid, np.broadcast_to(iids, (len(qids), len(iids)))], axis=1)
-            else:
+            for s in range(0, len(pdf), chunk):
+                part = pdf.iloc[s:s + chunk]
+                iids = part["iid"].to_numpy(dtype=np.int64)
+                imat = np.stack(part["v"].to_numpy()).astype(np.float64)
+                fp = np.floor((qmat @ imat.T) * SCALE + 0.5).astype(np.int64)
                 iids_all = np.broadcast_to(iids, (len(qids), len(iids)))
-            ranks = np.argsort(np.argsort(iids_all, axis=1, kind="stable"), axis=1)
-            n = iids_all.shape[1]
-            bits = max(1, int(n - 1).bit_length())
-            key = (fp << bits) + (n - 1 - ranks)
-            if exclude_self:
-                key[iids_all == qids[:, None]] = np.iinfo(np.int64).min
-            kk = min(k, n)
-            top = np.argpartition(key, n - kk, axis=1)[:, n - kk:]
-            rows = np.arange(len(qids))[:, None]
-            best_key, best_iid, best_fp = key[rows, top], iids_all[rows, top], fp[rows, top]
-        if best_key is None:
+                if best_fp is not None:
+                    fp = np.concatenate([best_fp, fp], axis=1)
+                    iids_all = np.concatenate([best_iid, iids_all], axis=1)
+                # key: fixed-point similarity first, then the smaller item id (rank of the id among
+                # the kept and the new ids, so the key is exact across chunks)
+                ranks = np.argsort(np.argsort(iids_all, axis=1, kind="stable"), axis=1)
+                n = iids_all.shape[1]
+                bits = max(1, int(n - 1).bit_length())
+                key = (fp << bits) + (n - 1 - ranks)
+                if exclude_self:
+                    key[iids_all == qids[:, None]] = np.iinfo(np.int64).min
+                kk = min(k, n)
+                top = np.argpartition(key, n - kk, axis=1)[:, n - kk:]
+                rows = np.arange(len(qids))[:, None]
+                keep = key[rows, top] != np.iinfo(np.int64).min
+                # excluded pairs never survive: give them the lowest key and drop at the end
+                best_iid, best_fp = iids_all[rows, top], np.where(keep, fp[rows, top], EXCLUDED_FP)
+        if best_fp is None:
             return
-        keep = best_key != np.iinfo(np.int64).min
-        r, c = np.nonzero(keep)
+        r, c = np.nonzero(best_fp != EXCLUDED_FP)
         yield pd.DataFrame({"query_id": qids[r], "item_id": best_iid[r, c], "sim_fp": best_fp[r, c]})
     return run
 
@@ -133,10 +139,13 @@ def knn(queries: DataFrame, items: DataFrame, k: int, qid: str = "query_id", iid
     qp = None
     if method == "auto":
         # one bounded job is both the size check and, when small, the collect of the query matrix
-        head = q.limit(BROADCAST_QUERY_ROWS + 1).toPandas()
-        dim = len(head["v"].iloc[0]) if len(head) else 0
-        small = len(head) <= BROADCAST_QUERY_ROWS and len(head) * dim * 8 <= BROADCAST_QUERY_BYTES
-        method, qp = ("broadcast", head) if small else ("blocked", None)
+        # the row bound follows from the vector dimension, so at most BROADCAST_QUERY_BYTES (+1 row)
+        # ever reach the driver, whether the side turns out small or not
+        first = q.select(F.size("v").alias("d")).limit(1).collect()
+        dim = max(1, first[0]["d"]) if first else 1
+        bound = min(BROADCAST_QUERY_ROWS, BROADCAST_QUERY_BYTES // (8 * dim))
+        head = q.limit(bound + 1).toPandas()
+        method, qp = ("broadcast", head) if len(head) <= bound else ("blocked", None)
     if method == "broadcast":
         qp = q.toPandas() if qp is None else qp
         if len(qp) == 0:
