@@ -29,7 +29,8 @@ def merge_first(lists, mode: str = "dense_first") -> DataFrame:
 
     ``dense_first``: every item of list 0, then unseen items of list 1, ... (order (source, pos));
     ``interleave``: round-robin over the lists (order (pos, source));
-    ``rrf``: reciprocal-rank fusion, score = sum over lists of 1 / (60 + pos), ties by item id.
+    ``rrf``: reciprocal-rank fusion, score = sum over lists of 1 / (60 + pos) (ordered at 1e-9
+    fixed point), ties by item id.
     Output ``(query_id, item_id, rank, source, pos)`` (``score`` too for rrf).
     """
     u = _tagged(lists)
@@ -37,7 +38,8 @@ def merge_first(lists, mode: str = "dense_first") -> DataFrame:
         s = (u.groupBy("query_id", "item_id")
              .agg(F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("pos"))).alias("score"),
                   F.min_by(F.struct("source", "pos"), F.struct("pos", "source")).alias("first")))
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+        w = Window.partitionBy("query_id").orderBy(
+            F.floor(F.col("score") * F.lit(1e9) + F.lit(0.5)).desc(), F.col("item_id").asc())
         return s.select("query_id", "item_id", F.row_number().over(w).alias("rank"),
                         F.col("first.source").alias("source"), F.col("first.pos").alias("pos"), "score")
     order = [F.col("source"), F.col("pos")] if mode == "dense_first" else [F.col("pos"), F.col("source")]

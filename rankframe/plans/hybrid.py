@@ -120,7 +120,7 @@ SQL = {
         select query_id, item_id as doc_id, row_number() over (partition by query_id order by pos, source) as rank, source, pos from f""",
     "hybrid_rrf": f"""{WITH},
         s as (select query_id, item_id, sum(1.0e0 / (60 + pos)) as score from u group by query_id, item_id)
-        select query_id, item_id as doc_id, row_number() over (partition by query_id order by score desc, item_id) as rank,
+        select query_id, item_id as doc_id, row_number() over (partition by query_id order by floor(score * 1e9 + 0.5) desc, item_id) as rank,
                round(score, 9) as score from s""",
     "merge_by_url": f"""{WITH},
         allsc as (select b.item_id as query_id, d.doc_id, coalesce(sc.score, 0.0) as score

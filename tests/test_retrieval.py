@@ -92,7 +92,7 @@ def _loop_rrf(lists):
     for l in lists:
         for p, x in enumerate(l, 1):
             score[x] = score.get(x, 0.0) + 1.0 / (60 + p)
-    return sorted(score, key=lambda x: (-round(score[x], 12), x))
+    return sorted(score, key=lambda x: (-math.floor(score[x] * 1e9 + 0.5), x))
 
 
 def _loop_by_key(lists, key):
