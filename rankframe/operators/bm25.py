@@ -17,6 +17,7 @@ Plan shape (see ``explain``):
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -68,13 +69,20 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
         postings = cut_lineage(postings, "bm25-postings")
     n_items = items.select(id_col).count()
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    # idf on the 1e-9 fixed-point grid: the only transcendental step (log) is rounded once per term,
+    # so every later product and sum has bit-identical inputs on any engine and partitioning; the
+    # mean for the epsilon floor is then an exact integer sum over the vocabulary
     raw = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .withColumn("raw_idf", F.log(F.lit(n_items) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+           .withColumn("raw_fp", F.floor((F.log(F.lit(n_items) - F.col("df") + 0.5)
+                                          - F.log(F.col("df") + 0.5)) * F.lit(1e9) + F.lit(0.5))))
     if materialize:
         raw = cut_lineage(raw, "bm25-terms")
-    avg_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
-    term_stats = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * avg_idf))
-                            .otherwise(F.col("raw_idf")).alias("idf"))
+    agg = raw.agg(F.sum("raw_fp").alias("s"), F.count(F.lit(1)).alias("c")).first()
+    avg_fp = (agg["s"] / agg["c"]) if agg["c"] else 0.0
+    floor_fp = math.floor(epsilon * avg_fp + 0.5)
+    avg_idf = avg_fp / 1e9
+    term_stats = raw.select("term", "df", (F.when(F.col("raw_fp") < 0, F.lit(floor_fp)).otherwise(F.col("raw_fp"))
+                                           / F.lit(1e9)).alias("idf"))
     return Bm25Index(postings, term_stats, n_items, int(total), float(avg_idf), id_col, k1, b)
 
 

@@ -61,10 +61,11 @@ def sql_bm25_cte(p: str, docs: str, did: str, dtext: str, queries: str, qid: str
          from (select doc_id, len(t) as dl, unnest(t) as term from {p}toks) group by doc_id, dl, term),
 {p}nn as (select count(*) as n_items from {docs}),
 {p}tot as (select sum(tf) as total from {p}post),
-{p}raw as (select term, count(*) as df, ln(min(n_items) - count(*) + 0.5) - ln(count(*) + 0.5) as raw_idf
+{p}raw as (select term, count(*) as df,
+               cast(floor((ln(min(n_items) - count(*) + 0.5) - ln(count(*) + 0.5)) * 1e9 + 0.5) as bigint) as raw_fp
         from {p}post, {p}nn group by term),
-{p}avgi as (select avg(raw_idf) as avg_idf from {p}raw),
-{p}ts as (select term, df, case when raw_idf < 0 then 0.25 * avg_idf else raw_idf end as idf from {p}raw, {p}avgi),
+{p}avgi as (select sum(raw_fp) / count(*) as avg_fp from {p}raw),
+{p}ts as (select term, df, case when raw_fp < 0 then floor(0.25 * avg_fp + 0.5) else raw_fp end / 1e9 as idf from {p}raw, {p}avgi),
 {p}qt as (select query_id, term, count(*) as qf
        from (select {qid} as query_id, unnest({sql_tok_ascii(qtext)}) as term from {queries})
        group by query_id, term),

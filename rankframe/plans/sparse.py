@@ -120,10 +120,11 @@ post as (select doc_id, dl, term, count(*) as tf
          from (select doc_id, len(t) as dl, unnest(t) as term from toks) group by doc_id, dl, term),
 nn as (select count(*) as n_items from documents),
 tot as (select sum(tf) as total from post),
-raw as (select term, count(*) as df, ln(min(n_items) - count(*) + 0.5) - ln(count(*) + 0.5) as raw_idf
+raw as (select term, count(*) as df,
+               cast(floor((ln(min(n_items) - count(*) + 0.5) - ln(count(*) + 0.5)) * 1e9 + 0.5) as bigint) as raw_fp
         from post, nn group by term),
-avgi as (select avg(raw_idf) as avg_idf from raw),
-ts as (select term, df, case when raw_idf < 0 then 0.25 * avg_idf else raw_idf end as idf from raw, avgi),
+avgi as (select sum(raw_fp) / count(*) as avg_fp from raw),
+ts as (select term, df, case when raw_fp < 0 then floor(0.25 * avg_fp + 0.5) else raw_fp end / 1e9 as idf from raw, avgi),
 qt as (select query_id, term, count(*) as qf
        from (select item_id as query_id, unnest({sql_tok_ascii('text')}) as term from benchmark)
        group by query_id, term),
