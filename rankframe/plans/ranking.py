@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankframe import schemas as S
 from rankframe.operators import rank as R
 from rankframe.operators import score as C
-from rankframe.operators.rerank import apply_order, rerank, rerank_prompts, weighted_ranker
+from rankframe.operators.rerank import RERANK_INSTRUCTION, apply_order, rerank, rerank_prompts, weighted_ranker
 from rankframe.plans import catalog as CAT
 from rankframe.plans.common import t
 from rankframe.plans.dense import KNN_CTE, knn_self
@@ -292,7 +292,6 @@ SQL = {
 
 
 # rerank prompts: instruction + query + intent JSON (Spark's to_json omits NULL fields) + item blocks
-from rankframe.operators.rerank import RERANK_INSTRUCTION  # noqa: E402
 
 _INSTR = RERANK_INSTRUCTION.replace("'", "''")
 _INTENT_JSON = ("""concat('{"skills":[],"soft_skills":[]',

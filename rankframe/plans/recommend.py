@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe import schemas as S
+from rankframe.functions import intent as I
 from rankframe.functions.intent import (parse_intent_json, parse_job_level, parse_max_duration, tag_intent,
                                         tag_types)
 from rankframe.functions.text import bool_to_yes_no, bm25_text, embedding_text
@@ -24,10 +25,11 @@ from rankframe.operators.knn import hash_embed, knn
 from rankframe.operators.rerank import rerank
 from rankframe.plans import catalog as CAT
 from rankframe.plans import hybrid as HY
+from rankframe.plans import ranking as RK
 from rankframe.plans import sparse as SP
-from rankframe.plans.common import index_artifact, t
+from rankframe.plans.common import index_artifact, sql_bm25_cte, sql_hash_cte, t
 from rankframe.plans.ranking import T8
-from rankframe.session import broadcast_if_small, cut_lineage
+from rankframe.session import broadcast_if_small, cut_lineage, scratch_path
 
 DIM = 64
 WINDOW_BROADCAST_ROWS = 2_000_000
@@ -211,7 +213,6 @@ QUERIES = {
 }
 
 # ------------------------------------------------------------------ DuckDB oracle SQL
-from rankframe.functions import intent as I  # noqa: E402
 
 
 def _sql_types():
@@ -267,7 +268,6 @@ SQL = {
 
 def q_recommend_stream(spark, sf):
     """M1 registered: the stream over the conversations file, drained with an availableNow trigger."""
-    from rankframe.session import scratch_path
     from rankframe.streaming.recommend_stream import recommend_stream, user_query_stream
     cat = CAT.catalog_typed(spark, sf)
     sink, ck = scratch_path(spark, "recs-sink"), scratch_path(spark, "recs-ckpt")
@@ -280,8 +280,6 @@ QUERIES["recommend_stream"] = q_recommend_stream
 
 
 # ---- oracle SQL for the recommend cascade (same steps, DuckDB dialect)
-from rankframe.plans import ranking as RK  # noqa: E402
-from rankframe.plans.common import sql_bm25_cte, sql_hash_cte  # noqa: E402
 
 
 def _sql_types_list(col):
