@@ -26,6 +26,7 @@ BASE_URL = "https://x.example"
 LISTING_URL = BASE_URL + "/products/product-catalog/?type=1&start="
 VIEW = BASE_URL + "/products/product-catalog/view/"
 ROW_CLASS = "product-catalogue-training-calendar__row typ"
+LANDING_FILES = 4
 
 SRC = {
     "catalog_idx": "p_partkey",
@@ -285,8 +286,30 @@ def q_bm25_text(spark, sf):
                     bm25_text("name_desc_types").alias("name_desc_types"))
 
 
+def q_pages_stream_dedupe(spark, sf):
+    """M2 registered: the rendered listing pages (with the repeated pages) land as parquet files and
+    are read as a stream, one file per trigger; repeated pages are dropped by signature state."""
+    from rankframe.streaming.recommend_stream import new_listing_pages
+    folder, sink, ck = (scratch_path(spark, n) for n in ("pages-landing", "pages-new", "pages-ckpt"))
+    # land the pages the way a crawler would, in fetch (start) order: sequential files, each sorted
+    # by start; the stream takes one file per trigger in arrival order, so the first copy of a
+    # repeated page is always the one kept
+    pages = cut_lineage(listing_pages(spark, sf, with_repeats=True), "pages-rendered")
+    lo, hi = pages.agg(F.min("start"), F.max("start")).first()
+    for c in range(LANDING_FILES):
+        (pages.where((F.col("start") - lo) * LANDING_FILES >= c * (hi - lo + 1))
+         .where((F.col("start") - lo) * LANDING_FILES < (c + 1) * (hi - lo + 1))
+         .coalesce(1).sortWithinPartitions("start").write.mode("append").parquet(folder))
+    stream = (spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    q = (new_listing_pages(stream, BASE_URL).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("assessment_id", "start", "row_pos")
+
+
 QUERIES = {
     "pages_scan": q_pages_scan,
+    "pages_stream_dedupe": q_pages_stream_dedupe,
     "page_links": q_page_links,
     "resolve_url": q_resolve_url,
     "extract_listing": q_extract_listing,
@@ -342,6 +365,9 @@ SQL = {
     "extract_details": f"""with {SQL_SOURCE}
         select assessment_url, description, rtrim(job_levels) as job_levels, case when lang_has_p then languages end as languages,
                assessment_length from src where has_detail""",
+    "pages_stream_dedupe": f"""with {SQL_SOURCE}
+        select assessment_id, pg * 12 + 1 as start,
+               cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos from src""",
     "pages_until_repeat": f"""with {SQL_SOURCE}
         select assessment_id, pg * 12 + 1 as start,
                cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos from src""",

@@ -44,3 +44,15 @@ def recommend_stream(stream: DataFrame, catalog: DataFrame, sink: str, checkpoin
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def new_listing_pages(page_stream: DataFrame, base_url: str) -> DataFrame:
+    """M2: the stream form of the seen-page check.  Each arriving listing page is parsed with its
+    signature in one call; pages that are empty or whose signature was already seen are dropped
+    (``dropDuplicates`` keeps the set of seen signatures as state, one entry per distinct page).
+    Output: one row per listing row of every new page."""
+    from rankframe.operators.extract import extract_listing_pages
+
+    pages = extract_listing_pages(page_stream, base_url).where(F.col("n_rows") > 0)
+    return (pages.dropDuplicates(["signature"])
+            .select("page_id", "start", F.explode("rows").alias("r")).select("page_id", "start", "r.*"))
