@@ -5,8 +5,8 @@ Plan shape (see ``explain``):
 * postings  = text shuffled by item -> tokens -> explode -> count per (item, term) with no further
   shuffle.  Written once as a parquet table in the shared checkpoint folder, so the text is
   tokenised a single time; each file holds whole items.
-* term stats = postings -> partial count -> shuffle on term -> df, idf.  A very common term is one
-  row here, never a hot partition, because the count is pre-aggregated map-side.
+* term stats = postings -> partial count -> shuffle on term -> df, idf (on a 1e-9 fixed-point grid).
+  A very common term is one row here, never a hot partition: the count is pre-aggregated map-side.
 * corpus stats = item count (id-only scan), token total and mean idf: one row, folded in as literals.
 * scores = query terms (small, size-checked broadcast; else a shuffle join with AQE skew split on
   hot terms) joined to postings on term -> partial sum per (query, item) that collapses almost

@@ -1,8 +1,8 @@
 """Exact "text contains passage" pairs without a passages x documents product.
 
-If passage P occurs in document D then every *interior* token of P (a maximal [a-z0-9] run of the
-lower-cased P that does not touch P's first or last character position) is also a token of D: the
-lower-casing and the tokenizer work character by character.  So each passage is joined, through its
+If passage P occurs in document D then every *interior* token of P (every token but the first and
+the last, which may be cut parts of longer words in D) is also a whole token of D: the lower-casing
+and the tokenizer work character by character.  So each passage is joined, through its
 rarest interior token (lowest document frequency), to the postings of that one token; only those
 candidate documents are checked with ``contains`` on the whole texts.  Passages with fewer than
 three tokens have no interior token and are checked against every document (bounded, size-checked
