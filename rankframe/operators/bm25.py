@@ -148,13 +148,14 @@ def bm25_topk_padded(scores: DataFrame, queries: DataFrame, items: DataFrame, id
 
     Without a Q x N product: BM25 scores are never negative here (idf is floored at a positive
     epsilon share), so a query's list is its scored items followed by the smallest item ids it did
-    not score.  Those always lie within the 2k smallest ids of the whole corpus: a bounded set
-    (2k rows) that is the only thing broadcast.
+    not score.  Those always lie within the 2k smallest ids of the whole corpus: a bounded list
+    (2k ids) exploded per query, so no join is needed.
     """
-    smallest = (items.select(F.col(id_col).alias("item_id"))
-                .orderBy("item_id").limit(2 * k))  # global top-k; k rows per partition before merge
+    # the 2k smallest ids: a global top-k (each partition sends at most 2k ids), then a literal
+    smallest = [r[0] for r in items.select(F.col(id_col).alias("item_id")).orderBy("item_id").limit(2 * k).collect()]
     pads = (queries.select(F.col(qid).alias("query_id")).distinct()
-            .crossJoin(F.broadcast(smallest)).withColumn("score", F.lit(0.0)))
+            .select("query_id", F.explode(F.array(*[F.lit(i) for i in smallest]).cast("array<bigint>")).alias("item_id"))
+            .withColumn("score", F.lit(0.0)))
     scored = topk(scores, k, order=[order_key(), F.col("item_id").asc()]).select("query_id", "item_id", "score")
     both = scored.unionByName(pads)
     best = both.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))

@@ -133,11 +133,9 @@ def listing_pages(spark, sf, with_repeats=False):
                     F.lit("</table></body></html>"))
     pages = pages.select(F.col("pg").alias("page_id"), html.alias("html"))
     if with_repeats:
-        last = pages.agg(F.max("page_id").alias("last"))
-        rep_last = (pages.crossJoin(F.broadcast(last)).where("page_id = last")
-                    .select((F.col("last") + 1).alias("page_id"), "html"))
-        rep_first = (pages.crossJoin(F.broadcast(last)).where("page_id = 0")
-                     .select((F.col("last") + 2).alias("page_id"), "html"))
+        last = pages.agg(F.max("page_id")).first()[0]
+        rep_last = pages.where(F.col("page_id") == last).select(F.lit(last + 1).cast("long").alias("page_id"), "html")
+        rep_first = pages.where(F.col("page_id") == 0).select(F.lit(last + 2).cast("long").alias("page_id"), "html")
         pages = pages.unionByName(rep_last).unionByName(rep_first)
     return pages.select("page_id", (F.col("page_id") * 12 + 1).alias("start"),
                         F.concat(F.lit(LISTING_URL), (F.col("page_id") * 12 + 1).cast("string")).alias("url"),
