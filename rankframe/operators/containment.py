@@ -47,12 +47,15 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
     # The candidate count is known exactly without touching the postings: the sum of anchor dfs.
     n_cand = anchored.agg(F.coalesce(F.sum("anchor_df"), F.lit(0))).first()[0]
     pairs = F.broadcast(cand) if n_cand <= CANDIDATE_BROADCAST_ROWS else cand
-    ptexts = broadcast_if_small(p.select("query_id", "ptext"), SHORT_PASSAGE_BROADCAST_ROWS)
+    # one count of the passages bounds both passage-side broadcasts below (short ones are a subset)
+    few = passages.limit(SHORT_PASSAGE_BROADCAST_ROWS + 1).count() <= SHORT_PASSAGE_BROADCAST_ROWS
+    ptexts = p.select("query_id", "ptext")
+    ptexts = F.broadcast(ptexts) if few else ptexts
     long_hits = (texts.join(pairs, "item_id").join(ptexts, "query_id")
                  .where(F.col("dtext").contains(F.col("ptext")))
                  .select("query_id", "item_id"))
-    short = broadcast_if_small(p.where(F.size("ptoks") < 3).select("query_id", "ptext"),
-                               SHORT_PASSAGE_BROADCAST_ROWS)
+    short = p.where(F.size("ptoks") < 3).select("query_id", "ptext")
+    short = F.broadcast(short) if few else broadcast_if_small(short, SHORT_PASSAGE_BROADCAST_ROWS)
     short_hits = (texts.join(short, F.col("dtext").contains(F.col("ptext")))
                   .select("query_id", "item_id"))
     return long_hits.unionByName(short_hits)
