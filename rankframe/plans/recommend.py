@@ -178,20 +178,34 @@ def q_intent_json(spark, sf):
                     F.array_join("i.required_test_types", "|").alias("required_test_types"))
 
 
-def _hybrid_top10(spark, sf):
+def _hybrid_top10(spark, sf, mode="dense_first"):
     idx, s = SP._scores(spark, sf)
-    m = merge_first([HY.dense_list(spark, sf), bm25_topk(s, 40)], "dense_first")
+    m = merge_first([HY.dense_list(spark, sf), bm25_topk(s, 40)], mode)
     return idx, m
 
 
-def q_mean_recall(spark, sf):
-    """Mean recall@10 of the hybrid (dense-first) lists against the containment truth."""
-    idx, m = _hybrid_top10(spark, sf)
+def _mean_recall_mode(spark, sf, mode):
+    idx, m = _hybrid_top10(spark, sf, mode)
     truth = SP.passage_truth(spark, sf, idx)
     r = recall_at_k(m, truth, 10)
     return mean_recall(r, truth).select(F.round("mean_recall", 6).alias("mean_recall"), "n_queries")
 
 
+def q_mean_recall(spark, sf):
+    """Mean recall@10 of the hybrid (dense-first, production) lists against the containment truth."""
+    return _mean_recall_mode(spark, sf, "dense_first")
+
+
+def q_mean_recall_interleave(spark, sf):
+    """Q2: the same evaluation with the interleaved merge (the sparse list can reach the top 10)."""
+    return _mean_recall_mode(spark, sf, "interleave")
+
+
+def q_mean_recall_rrf(spark, sf):
+    """Q2: the same evaluation with reciprocal-rank fusion."""
+    return _mean_recall_mode(spark, sf, "rrf")
+
+
 def q_group_truth(spark, sf):
     """A1: truth per query as counts and bounds (aggregated, never collected into one list)."""
     truth = SP.passage_truth(spark, sf)
@@ -209,6 +223,8 @@ QUERIES = {
     "intent_level": q_intent_level,
     "intent_json": q_intent_json,
     "mean_recall": q_mean_recall,
+    "mean_recall_interleave": q_mean_recall_interleave,
+    "mean_recall_rrf": q_mean_recall_rrf,
     "group_truth": q_group_truth,
 }
 
@@ -235,6 +251,16 @@ def _sql_level():
                               for p, l in I.LEVEL_RULES) + " end"
 
 
+def _recall_sql(first_order: str, rank_order: str) -> str:
+    return f"""{HY.WITH},
+        f as (select * from (select *, row_number() over ({first_order}) as n from u) where n = 1),
+        r as (select query_id, item_id, row_number() over (partition by query_id {rank_order}) as rank from f),
+        p as (select distinct query_id, item_id as doc_id from r where rank <= 10),
+        rq as (select t.query_id, count(p.doc_id) / count(*) as recall
+               from truth t left join p on p.query_id = t.query_id and p.doc_id = t.doc_id group by t.query_id)
+        select round(coalesce(avg(recall), 0.0), 6) as mean_recall, count(*) as n_queries from rq"""
+
+
 ALLOWED_SQL = "[" + ", ".join(f"'{x}'" for x in S.ALLOWED_TEST_TYPES) + "]"
 USERS = "(select * from conversations where role = 'user')"
 
@@ -254,9 +280,12 @@ SQL = {
                max_duration_minutes, job_level,
                array_to_string(list_filter(req, lambda x, i: list_position(req, x) = i and list_contains({ALLOWED_SQL}, x)), '|')
                  as required_test_types from p""",
-    "mean_recall": f"""{HY.WITH},
-        f as (select * from (select *, row_number() over (partition by query_id, item_id order by source, pos) as n from u) where n = 1),
-        r as (select query_id, item_id, row_number() over (partition by query_id order by source, pos) as rank from f),
+    "mean_recall": _recall_sql("partition by query_id, item_id order by source, pos", "order by source, pos"),
+    "mean_recall_interleave": _recall_sql("partition by query_id, item_id order by pos, source", "order by pos, source"),
+    "mean_recall_rrf": f"""{HY.WITH},
+        s as (select query_id, item_id, sum(1.0e0 / (60 + pos)) as score from u group by query_id, item_id),
+        r as (select query_id, item_id,
+                     row_number() over (partition by query_id order by floor(score * 1e9 + 0.5) desc, item_id) as rank from s),
         p as (select distinct query_id, item_id as doc_id from r where rank <= 10),
         rq as (select t.query_id, count(p.doc_id) / count(*) as recall
                from truth t left join p on p.query_id = t.query_id and p.doc_id = t.doc_id group by t.query_id)
