@@ -18,6 +18,7 @@ from rankframe.operators.rerank import RERANK_INSTRUCTION, apply_order, rerank,
 from rankframe.plans import catalog as CAT
 from rankframe.plans.common import t
 from rankframe.plans.dense import KNN_CTE, knn_self
+from rankframe.session import cut_lineage
 
 K_CAND = 40
 RERANK_K = S.RERANK_K
@@ -54,8 +55,9 @@ def candidates(spark, sf):
                                             F.col("rank").alias("pos"))
     cat = CAT.catalog_typed(spark, sf).select("catalog_idx", "assessment_name", "assessment_url", "description",
                                              "test_types", "duration_minutes", "job_levels")
-    return (nn.join(cat, "catalog_idx")
-            .join(intents(spark, sf).drop("query", "skills", "soft_skills"), "query_id"))
+    # written once: every rank rule reads the same retrieval output in several branches
+    return cut_lineage(nn.join(cat, "catalog_idx")
+                       .join(intents(spark, sf).drop("query", "skills", "soft_skills"), "query_id"), "candidates")
 
 
 def _ids(df, *extra):
