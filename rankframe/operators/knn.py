@@ -188,14 +188,13 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     """Signed feature hashing of the tokens, L2-normalised; needs no model.
 
     slot = (first 8 hex digits of md5(term)) mod dim; sign = +1 when the next 8 hex digits are even.
-    One shuffle of the raw text by id; the per-(id, slot) and per-id aggregates both reuse that
-    partitioning (no further exchange), and the per-id list is bounded by ``dim``.  An item without
-    tokens gets the zero vector.
+    The per-(id, slot) sum is pre-aggregated where the text is read (a text of any length leaves
+    its task as at most ``dim`` rows), then the per-id list, bounded by ``dim``, becomes the vector.
+    An item without tokens gets the zero vector (``explode_outer``; no join back to the ids).
     """
     h1 = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5("term"), 9, 8), 16, 10).cast("long")
-    toks = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).repartition("id")
-            .select("id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
+    toks = (df.select(F.col(id_col).alias("id"), F.explode_outer(tokenizer(F.col(text_col))).alias("term"))
             .select("id", F.pmod(h1, F.lit(dim)).alias("slot"),
                     F.when(F.pmod(h2, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn")))
     slots = toks.groupBy("id", "slot").agg(F.sum("sgn").cast("double").alias("val"))
