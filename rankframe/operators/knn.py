@@ -194,7 +194,14 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     """
     h1 = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5("term"), 9, 8), 16, 10).cast("long")
-    toks = (df.select(F.col(id_col).alias("id"), F.explode_outer(tokenizer(F.col(text_col))).alias("term"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    if not src.isStreaming:
+        # hashing is CPU work: an input read in fewer partitions than the cluster has cores (a small
+        # table) is spread by id first; large inputs are aggregated where they are read
+        par = src.sparkSession.sparkContext.defaultParallelism
+        if src.rdd.getNumPartitions() < par:
+            src = src.repartition(par, "id")
+    toks = (src.select("id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
             .select("id", F.pmod(h1, F.lit(dim)).alias("slot"),
                     F.when(F.pmod(h2, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn")))
     slots = toks.groupBy("id", "slot").agg(F.sum("sgn").cast("double").alias("val"))
