@@ -130,3 +130,17 @@ def test_merges_equal_loops(spark):
         got.setdefault(r.query_id, []).append((r.url, r.item_id))
     for q, ls in cases.items():
         assert got.get(q, []) == _loop_by_key(ls, lambda x: str(x % 7)), q
+
+
+def test_empty_inputs(spark):
+    from rankframe.operators.knn import hash_embed
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    none_q = spark.createDataFrame([], "item_id long, text string")
+    idx = bm25_index(docs, "doc_id", "text")
+    assert bm25_topk(bm25_scores(none_q, idx, qid="item_id", qtext="text"), 10).count() == 0
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    assert knn(e.limit(0), e, 5, qid="vec_id", iid="vec_id").count() == 0
+    assert knn(e, e.limit(0), 5, qid="vec_id", iid="vec_id").count() == 0
+    assert hash_embed(none_q, "item_id", "text").count() == 0
+    empty_list = spark.createDataFrame([], "query_id long, item_id long, rank int")
+    assert merge_first([empty_list, empty_list], "rrf").count() == 0
