@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +32,24 @@ def clean_text(c) -> Column:
     return strip(c)
 
 
+@functools.lru_cache(maxsize=1)
+def decimal_digit_table() -> tuple[str, str]:
+    """Every non-ASCII Unicode decimal digit (category Nd) and its ASCII digit, built by rule from
+    the Unicode database; used to read digit runs the way Python's ``int`` does."""
+    src, dst = [], []
+    for cp in range(sys.maxunicode + 1):
+        ch = chr(cp)
+        if cp > 127 and unicodedata.category(ch) == "Nd":
+            src.append(ch)
+            dst.append(str(unicodedata.digit(ch)))
+    return "".join(src), "".join(dst)
+
+
 def parse_duration(c) -> Column:
-    """The first run of digits as INT; no digits or NULL -> NULL."""
-    return F.nullif(F.regexp_extract(_c(c), "([0-9]+)", 1), F.lit("")).try_cast("int")
+    """The first run of decimal digits (any script, as Python's ``\\d``) as INT; none -> NULL."""
+    src, dst = decimal_digit_table()
+    run = F.nullif(F.regexp_extract(_c(c), "(\\p{Nd}+)", 1), F.lit(""))
+    return F.translate(run, src, dst).try_cast("int")
 
 
 def code_map() -> Column:

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankframe import schemas as S
-from rankframe.functions.text import (bm25_text, clean_text, embedding_text, map_test_types,
+from rankframe.functions.text import (bm25_text, clean_text, decimal_digit_table, embedding_text, map_test_types,
                                       parse_duration, parse_list_field, url_slug, yes_no_to_bool)
 from rankframe.operators.clean import canonicalise, prepare_catalog
 from rankframe.operators.extract import (enrich_catalog, extract_details, extract_links, extract_listing,
                                          resolve_against, take_pages_until_repeat)
 from rankframe.plans.common import sql_strip, t
+
+ND_SRC, ND_DST = decimal_digit_table()
 from rankframe.session import cut_lineage, scratch_path
 from rankframe.sources.tables import read_catalog_json, write_catalog_json
 
@@ -382,7 +384,8 @@ SQL = {
     "parse_duration": f"""with {SQL_SOURCE}
         select assessment_id as key, {DURATION} as minutes from src
         union all select concat('doc-', cast(doc_id as varchar)) as key,
-               try_cast(nullif(regexp_extract(text, '([0-9]+)', 1), '') as integer) as minutes from documents""",
+               try_cast(translate(nullif(regexp_extract(text, '(\\p{{Nd}}+)', 1), ''), '{ND_SRC}', '{ND_DST}') as integer)
+                 as minutes from documents""",
     "map_test_types": f"with {SQL_SOURCE} select catalog_idx, {TYPES_JOINED} as test_types from src",
     "split_list": f"""with {SQL_SOURCE}
         select catalog_idx, concat(level, '|', p_brand) as job_levels,

@@ -67,7 +67,8 @@ def test_clean_text(spark):
 
 
 def test_parse_duration(spark):
-    vals = ["Approximate Completion Time in minutes = 30", "30-40 minutes", "max 60", "Variable", None, ""]
+    vals = ["Approximate Completion Time in minutes = 30", "30-40 minutes", "max 60", "Variable", None, "",
+            "\u0663\u0660 minutes", "x\u0969\u096636"]
     assert one(spark, vals, TX.parse_duration) == [py_duration(v) for v in vals]
 
 

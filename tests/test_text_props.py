@@ -15,7 +15,7 @@ def rand_text(rng):
 
 
 def expected(t):
-    m = re.search(r"([0-9]+)", t)
+    m = re.search(r"(\d+)", t)
     return dict(strip=t.strip(), ta=re.sub(r"[^a-z0-9\s]", " ", t.lower()).split(),
                 tw=re.findall(r"\b\w+\b", t.lower()),
                 pl=[x.strip() for x in t.split(",") if x.strip()],
