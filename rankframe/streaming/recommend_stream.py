@@ -38,8 +38,14 @@ def recommend_stream(stream: DataFrame, catalog: DataFrame, sink: str, checkpoin
     prepared = prepared or prepare_items(catalog)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        recs = recommend(batch, catalog, prepared=prepared)
-        recs.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        # the micro-batch feeds several jobs (vectors, size checks, scoring): keep it for their
+        # duration only (recomputable from the source offsets if an executor is lost)
+        batch.persist()
+        try:
+            recs = recommend(batch, catalog, prepared=prepared)
+            recs.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
