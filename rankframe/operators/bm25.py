@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from rankframe.functions.text import tokenize_ascii
 from rankframe.session import broadcast_if_small, cut_lineage
 
 QUERY_SIDE_BROADCAST_ROWS = 2_000_000
+MAX_SCORING_PASSES = 4
 
 
 @dataclass
@@ -100,10 +102,24 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, qid: str = "query_id", qte
     # join, so neither the term table nor the postings are shuffled
     qterms = cut_lineage(query_terms(queries, qid, qtext, tokenizer), "query-terms")
     terms = index.term_stats.select("term", "idf")
-    if qterms.limit(query_side_rows + 1).count() <= query_side_rows:
-        qt = F.broadcast(terms.join(F.broadcast(qterms), "term"))
-    else:
-        qt = qterms.join(terms, "term")
+    n_qt = qterms.count()
+    if n_qt <= query_side_rows:
+        return _score_block(index, F.broadcast(terms.join(F.broadcast(qterms), "term")))
+    # a few broadcastable blocks (split by query, so a query's terms stay together): each block is
+    # one pass over the postings read in place, which beats shuffling every posting by term
+    n_blocks = -(-n_qt * 2 // query_side_rows)  # ~half the bound per block leaves room for hash skew
+    if n_blocks <= MAX_SCORING_PASSES:
+        blocks = qterms.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+        largest = blocks.groupBy("_blk").count().agg(F.max("count")).first()[0]
+        if largest <= query_side_rows:
+            parts = [_score_block(index, F.broadcast(terms.join(
+                F.broadcast(blocks.where(F.col("_blk") == i).drop("_blk")), "term"))) for i in range(n_blocks)]
+            return reduce(lambda x, y: x.unionByName(y), parts)
+    return _score_block(index, qterms.join(terms, "term"))
+
+
+def _score_block(index: Bm25Index, qt: DataFrame) -> DataFrame:
+    """Join query terms (with idf) to the postings and sum the fixed-point contributions."""
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
     avgdl = F.lit(index.avgdl)

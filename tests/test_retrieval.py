@@ -144,3 +144,15 @@ def test_empty_inputs(spark):
     assert hash_embed(none_q, "item_id", "text").count() == 0
     empty_list = spark.createDataFrame([], "query_id long, item_id long, rank int")
     assert merge_first([empty_list, empty_list], "rrf").count() == 0
+
+
+def test_bm25_scoring_paths_agree(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    idx = bm25_index(docs, "doc_id", "text")
+    full = sorted(bm25_scores(bench, idx, qid="item_id", qtext="text").collect())
+    passes = bm25_scores(bench, idx, qid="item_id", qtext="text", query_side_rows=700)
+    shuffled = bm25_scores(bench, idx, qid="item_id", qtext="text", query_side_rows=50)
+    assert "Union" in passes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(passes.collect()) == full
+    assert sorted(shuffled.collect()) == full
