@@ -23,6 +23,7 @@ the same in every partitioning.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ SQL_QUERY_ROWS = 10_000
 BROADCAST_QUERY_ROWS = 50_000
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 SIM_BLOCK_BYTES = 128 * 1024 * 1024
+MAX_KNN_PASSES = 4
 EXCLUDED_FP = -(1 << 40)  # below any fixed-point similarity, small enough to shift without overflow
 
 
@@ -137,15 +139,42 @@ def knn(queries: DataFrame, items: DataFrame, k: int, qid: str = "query_id", iid
     if normalize:
         q, i = l2_normalize(q, "v"), l2_normalize(i, "v")
     qp = None
-    if method == "auto":
-        # one bounded job is both the size check and, when small, the collect of the query matrix
+    if method in ("auto", "passes"):
         # the row bound follows from the vector dimension, so at most BROADCAST_QUERY_BYTES (+1 row)
-        # ever reach the driver, whether the side turns out small or not
+        # of query vectors ever reach the driver per block, whether the side turns out small or not
         first = q.select(F.size("v").alias("d")).limit(1).collect()
         dim = max(1, first[0]["d"]) if first else 1
-        bound = min(BROADCAST_QUERY_ROWS, BROADCAST_QUERY_BYTES // (8 * dim))
+        bound = max(1, min(BROADCAST_QUERY_ROWS, BROADCAST_QUERY_BYTES // (8 * dim)))
+    if method == "auto":
+        # one bounded job is both the size check and, when small, the collect of the query matrix
         head = q.limit(bound + 1).toPandas()
-        method, qp = ("broadcast", head) if len(head) <= bound else ("blocked", None)
+        method, qp = ("broadcast", head) if len(head) <= bound else ("passes", None)
+    if method == "passes":
+        # a query side a few times the bound: split it by query into blocks that each fit, and run
+        # one broadcast pass per block over the items read in place (items are never shuffled)
+        nq = q.count()
+        n_blocks = -(-2 * nq // bound)
+        blocks = []
+        if n_blocks <= MAX_KNN_PASSES:
+            keyed = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
+            for b_i in range(n_blocks):
+                part = keyed.where(F.col("_blk") == b_i).drop("_blk").limit(bound + 1).toPandas()
+                if len(part) > bound:
+                    blocks = []
+                    break
+                blocks.append(part)
+        if blocks:
+            cands = []
+            for part in blocks:
+                if len(part) == 0:
+                    continue
+                bc = queries.sparkSession.sparkContext.broadcast(np.stack(part["v"].to_numpy()).astype(np.float64))
+                cands.append(i.mapInPandas(_partition_topk_fn(part["qid"].to_numpy(dtype=np.int64), bc, k, exclude_self),
+                                           schema="query_id long, item_id long, sim_fp long"))
+            cand = reduce(lambda x, y: x.unionByName(y), cands)
+            method = "done"
+        else:
+            method = "blocked"
     if method == "broadcast":
         qp = q.toPandas() if qp is None else qp
         if len(qp) == 0:
@@ -161,6 +190,8 @@ def knn(queries: DataFrame, items: DataFrame, k: int, qid: str = "query_id", iid
             pairs = pairs.where(F.col("qid") != F.col("iid"))
         cand = pairs.select(F.col("qid").alias("query_id"), F.col("iid").alias("item_id"),
                             F.floor(dot("qv", "v") * F.lit(float(SCALE)) + F.lit(0.5)).alias("sim_fp"))
+    elif method == "done":
+        pass
     elif method == "blocked":
         nq, ni = q.count(), i.count()
         if nq == 0 or ni == 0:

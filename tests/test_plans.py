@@ -31,8 +31,15 @@ def test_knn_broadcast_path_does_not_shuffle_items(spark):
     assert "MapInPandas" in p and "FlatMapCoGroupsInPandas" not in p
 
 
-def test_knn_switches_to_blocked_beyond_the_bound(spark, monkeypatch):
+def test_knn_switches_to_passes_then_blocked_beyond_the_bound(spark, monkeypatch):
     from rankframe.operators import knn as K
-    monkeypatch.setattr(K, "BROADCAST_QUERY_ROWS", 10)
-    p = plan(E.queries()["knn_topk"](spark, SMALL))
-    assert "FlatMapCoGroupsInPandas" in p
+    base = sorted(E.queries()["knn_topk"](spark, SMALL).collect())
+    monkeypatch.setattr(K, "BROADCAST_QUERY_ROWS", 300)   # 500 queries: two broadcast passes
+    df = E.queries()["knn_topk"](spark, SMALL)
+    p = plan(df)
+    assert "MapInPandas" in p and "Union" in p and "FlatMapCoGroupsInPandas" not in p
+    assert sorted(df.collect()) == base
+    monkeypatch.setattr(K, "BROADCAST_QUERY_ROWS", 10)    # too many passes: blocked cogroup
+    df = E.queries()["knn_topk"](spark, SMALL)
+    assert "FlatMapCoGroupsInPandas" in plan(df)
+    assert sorted(df.collect()) == base
