@@ -114,3 +114,31 @@ def test_repartition_invariance(spark):
     a = ranked(R.rank_quota(df.repartition(1), "score", 10))
     b = ranked(R.rank_quota(df.repartition(16, "catalog_idx"), "score", 10))
     assert a == b
+
+
+def loop_apply_order(n, order):
+    seen, out = set(), []
+    for i in order:
+        if 0 <= i < n and i not in seen:
+            out.append(i)
+            seen.add(i)
+    out.extend(i for i in range(n) if i not in seen)
+    return out
+
+
+def test_apply_order_repair_equals_loop(spark):
+    from rankframe.operators.rerank import apply_order
+    rng = random.Random(21)
+    cases = {}
+    for q in range(200):
+        n = rng.randint(0, 20)
+        order = [rng.randint(-2, n + 2) for _ in range(rng.randint(0, n + 4))]
+        cases[q] = (n, order)
+    cands = spark.createDataFrame([(q, p + 1, 1000 * q + p) for q, (n, _) in cases.items() for p in range(n)],
+                                  "query_id long, pos long, catalog_idx long")
+    orders = spark.createDataFrame([(q, o) for q, (_, o) in cases.items()], "query_id long, order array<int>")
+    got = {}
+    for r in apply_order(cands, orders).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.pos - 1)
+    for q, (n, order) in cases.items():
+        assert got.get(q, []) == loop_apply_order(n, order), q
