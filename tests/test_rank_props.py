@@ -142,3 +142,27 @@ def test_apply_order_repair_equals_loop(spark):
         got.setdefault(r.query_id, []).append(r.pos - 1)
     for q, (n, order) in cases.items():
         assert got.get(q, []) == loop_apply_order(n, order), q
+
+
+def test_recall_at_k_equals_loop(spark):
+    from rankframe.operators.evaluate import mean_recall, recall_at_k
+    rng = random.Random(4)
+    slug = lambda u: u.split("view/")[-1].rstrip("/").lower()
+    urls = [f"https://x/view/Item-{i}/" if i % 3 else f"https://x/solutions/view/item-{i}//" for i in range(15)]
+    preds, truth = {}, {}
+    for q in range(150):
+        preds[q] = [rng.choice(urls) for _ in range(rng.randint(0, 14))]
+        truth[q] = [rng.choice(urls) for _ in range(rng.randint(1, 5))]
+    p = spark.createDataFrame([(q, u, r + 1) for q, ps in preds.items() for r, u in enumerate(ps)],
+                              "query_id long, item_id string, rank int")
+    t = spark.createDataFrame([(q, u) for q, ts in truth.items() for u in ts], "query_id long, item_id string")
+    got = {r.query_id: r.recall for r in recall_at_k(p, t, 10, slug=True).collect()}
+    exp = {}
+    for q in truth:
+        pi = {slug(u) for u in preds[q][:10]}
+        ti = {slug(u) for u in truth[q]}
+        exp[q] = len(pi & ti) / len(ti)
+    assert got.keys() == exp.keys()
+    assert all(abs(got[q] - exp[q]) < 1e-12 for q in exp)
+    m = mean_recall(recall_at_k(p, t, 10, slug=True), t).first()
+    assert abs(m.mean_recall - sum(exp.values()) / len(exp)) < 1e-12 and m.n_queries == len(exp)
