@@ -166,3 +166,45 @@ def test_recall_at_k_equals_loop(spark):
     assert all(abs(got[q] - exp[q]) < 1e-12 for q in exp)
     m = mean_recall(recall_at_k(p, t, 10, slug=True), t).first()
     assert abs(m.mean_recall - sum(exp.values()) / len(exp)) < 1e-12 and m.n_queries == len(exp)
+
+
+def test_scores_equal_loops(spark):
+    from rankframe.operators import score as C
+    rng = random.Random(9)
+    levels = ["Senior", "Entry-level", "Mid-Professional", ""]
+    rows = []
+    for i in range(400):
+        rows.append((i, rng.sample(TYPES, rng.randint(0, 3)), rng.choice([None, 0, 10, 30, 45, 60]),
+                     rng.sample(levels[:3], rng.randint(0, 2)), rng.choice([None, 0, 20, 30, 45]),
+                     rng.choice([None] + levels), [rng.choice(TYPES) for _ in range(rng.randint(0, 3))],
+                     rng.choice(["Sales Manager", "Professional Verify", "team lead x", "plain"])))
+    df = spark.createDataFrame(rows, "i int, test_types array<string>, duration_minutes int, job_levels array<string>, "
+                                     "max_duration_minutes int, job_level string, required_test_types array<string>, "
+                                     "assessment_name string")
+    got = {r.i: r for r in df.select("i", C.soft_score().alias("s"), C.intent_score_capped().alias("c"),
+                                     C.role_adjustment().alias("r")).collect()}
+
+    def soft(t, d, lv, mx, jl, req):
+        s = sum(3.0 for x in req if x in t)
+        if mx and d:
+            s += 2.0 if d <= mx else (1.0 if d <= mx + 15 else 0.0)
+        if jl and jl in lv:
+            s += 1.0
+        return s
+
+    def capped(t, d, mx, req):
+        s = min(len(set(req) & set(t)), 2) * 2.0
+        if mx and d:
+            s += 1.5 if d <= mx else (0.5 if d <= mx + 15 else 0.0)
+        return s
+
+    def role(name):
+        n = name.lower()
+        if "professional" in n:
+            return 1.0
+        return -1.5 if any(k in n for k in ["manager", "supervisor", "team lead"]) else 0.0
+
+    for i, t, d, lv, mx, jl, req, name in rows:
+        assert got[i].s == soft(t, d, lv, mx, jl, req), i
+        assert got[i].c == capped(t, d, mx, req), i
+        assert got[i].r == role(name), i
