@@ -66,14 +66,20 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is always honoured.  Only when it is
-    unset (local tests) do we create a scratch folder of our own.
+    On a cluster this setting names shared storage and is always honoured; without it a cluster
+    session is refused, since a folder of one machine would lose what the others write.  Only a
+    ``local`` master (tests) gets a scratch folder of our own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="rankframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc = spark.sparkContext
+    if getattr(sc, "_rankframe_ckpt", None) != d:
+        sc.setCheckpointDir(d)
+        sc._rankframe_ckpt = d
     return d
 
 
