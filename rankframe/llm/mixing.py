@@ -4,7 +4,8 @@ Every source gets a target number of words; each of its documents has the same w
 copies (target over source size).  The whole part is taken as it is.  The fractional parts are
 settled by pairing: two documents exchange words, in a random direction whose odds keep each
 one's expected copies, until one of them holds none or a whole copy.  The words of the pair do not
-change, so a source's sum is kept until its very last open document.  Blocks of a bounded number
+change, so a source's sum is kept until its very last open document, which is rounded to the
+nearer side: a source misses its target by half of one document at most.  Blocks of a bounded number
 of documents settle by themselves; each leaves at most one open document, and those meet in the
 next level of a reduction tree until one per source is left.
 """
@@ -83,7 +84,7 @@ def _settle_block(seed: int, last: bool):
         rng = np.random.default_rng(zlib.crc32(f"{seed}/{no}/{block}/{last}".encode()))
         p, left = settle(rows["size"].to_numpy(float), rows["open"].to_numpy(float), rng)
         if last and left >= 0:
-            p[left], left = float(rng.random() < p[left]), -1
+            p[left], left = float(p[left] >= 0.5), -1
         settled = np.arange(len(p)) != left
         rows["copies"] += np.where(settled, np.rint(p), 0).astype("int64")
         rows["open"] = np.where(settled, 0.0, p)
