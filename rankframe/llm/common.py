@@ -36,3 +36,35 @@ def crc_bucket(id_col: str, mod: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start, slice_bytes: int = 1 << 20) -> DataFrame:
+    """``rows`` with new columns computed from one text column, in Arrow slices of about ``slice_bytes``.
+
+    ``start()`` runs once per task and returns a function from an Arrow string array to one array per
+    new column (``outputs``: name to SQL type).  Columns of ``rows`` named like a new one are replaced.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    gone = {n.lower() for n in outputs}
+    kept = [c for c in rows.columns if c.lower() not in gone]
+    given = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_of_row"))
+
+    def run(batches):
+        make = start()
+        for batch in batches:
+            texts = batch.column(len(kept))
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                done = ends[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, done + slice_bytes, "right")))
+                part = batch.slice(begin, stop - begin)
+                made = make(part.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *made], names=[*kept, *outputs])
+                begin = stop
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:len(kept)]]
+    return given.mapInArrow(run, ", ".join([*types, *[f"`{n}` {t}" for n, t in outputs.items()]]))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, exact, mixing
-from rankframe.llm.common import table
+from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, mixing, secretscan
+from rankframe.llm.common import crc_bucket, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -21,6 +21,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def held_out(mod: int):
+    """Whether a document is kept from learning; one without an id is not."""
+    return F.coalesce(crc_bucket("doc_id", mod) == 2, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(crc_bucket("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, word_bpe_path())
@@ -28,12 +40,41 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_chat(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "kind", "call_id", "status", "level", "step", F.array_join("errors", "; ").alias("errors"), "json")
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = fingerprint.with_next(table(spark, sf_dir, "documents"))
+    n, put = F.char_length("text"), F.floor(F.char_length("text") / 4)
+    edited = F.concat(F.substring("text", F.lit(1), (n - put).cast("int")), F.substring("next_text", F.lit(1), put.cast("int")))
+    near = near.withColumn("edited", edited).withColumn("edited_sketch", fingerprint.sketch(F.col("edited")))
+    mine, other, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return near.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprint.as_text(mine).alias("fingerprint"), fingerprint.as_text(other).alias("edited_fingerprint"),
+                       fingerprint.resemblance(mine, other).alias("near_edited"), fingerprint.resemblance(mine, after).alias("near_next"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.train(spark))
+    return found.select("doc_id", "nth", F.concat(F.left("candidate", F.lit(4)), F.lit("...")).alias("masked"), F.length("candidate").alias("n_chars"),
+                        F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies_of(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_bpe, op9_mixing)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = htmlmain.extract(pages, html_labels.trained())
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -41,4 +82,21 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_chat": """
+        WITH e AS (
+            SELECT conv_id, turn, coalesce(text, '') AS text,
+                   CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, role,
+                   CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
+            FROM conversations),
+        met AS (SELECT call_id AS m_id, bool_or(kind = 'call') AS called, bool_or(kind = 'result') AS answered
+                FROM e WHERE call_id IS NOT NULL GROUP BY 1)
+        SELECT conv_id, turn, kind, call_id,
+               CASE WHEN kind = 'message' THEN 'message' WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'open' ELSE 'linked' END AS status,
+               CAST(CASE WHEN called THEN 0 END AS BIGINT) AS level, CAST(CASE WHEN called AND kind = 'call' THEN 0 WHEN called THEN 1 END AS BIGINT) AS step,
+               CASE WHEN kind = 'call' AND text = '' THEN '$.prompt: length out of bounds' ELSE '' END AS errors,
+               CASE kind WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(text) || '},"id":' || to_json(call_id) || ',"name":"reply"}'
+                    WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":' || to_json(call_id) || '}'
+                    ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+        FROM e LEFT JOIN met ON call_id = m_id
+    """,
 }
