@@ -38,33 +38,67 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start, slice_bytes: int = 1 << 20) -> DataFrame:
+#: Rows of an Arrow slice at most (shingle keys have room for 2**14 texts).
+SLICE_ROWS = 8192
+
+
+def arrow_slices(batch, columns, slice_bytes: int):
+    """Slices of an Arrow batch or table with about ``slice_bytes`` of text in ``columns``, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False) for c in columns)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < batch.num_rows:
+        done = ends[begin - 1] if begin else 0
+        stop = min(max(begin + 1, int(np.searchsorted(ends, done + slice_bytes, "right"))), begin + SLICE_ROWS)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
+def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start, slice_bytes: int = 1 << 20, keep_text: bool = True) -> DataFrame:
     """``rows`` with new columns computed from one text column, in Arrow slices of about ``slice_bytes``.
 
     ``start()`` runs once per task and returns a function from an Arrow string array to one array per
-    new column (``outputs``: name to SQL type).  Columns of ``rows`` named like a new one are replaced.
+    new column (``outputs``: name to SQL type).  Columns of ``rows`` named like a new one are
+    replaced; without ``keep_text`` the text column is not returned.
     """
-    import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    gone = {n.lower() for n in outputs}
+    gone = {n.lower() for n in outputs} | ({text_col.lower()} if not keep_text else set())
     kept = [c for c in rows.columns if c.lower() not in gone]
-    given = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_of_row"))
+    names = [c.lower() for c in kept]
+    given, at = rows.select(*[F.col(f"`{c}`") for c in kept]), names.index(text_col.lower()) if text_col.lower() in names else len(kept)
+    if at == len(kept):
+        given = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_of_row"))
 
     def run(batches):
         make = start()
         for batch in batches:
-            texts = batch.column(len(kept))
-            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-            begin = 0
-            while begin < batch.num_rows:
-                done = ends[begin - 1] if begin else 0
-                stop = max(begin + 1, int(np.searchsorted(ends, done + slice_bytes, "right")))
-                part = batch.slice(begin, stop - begin)
-                made = make(part.column(len(kept)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *made], names=[*kept, *outputs])
-                begin = stop
+            for part in arrow_slices(batch, [at], slice_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *make(part.column(at))], names=[*kept, *outputs])
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:len(kept)]]
     return given.mapInArrow(run, ", ".join([*types, *[f"`{n}` {t}" for n, t in outputs.items()]]))
+
+
+#: Bits of a key bitmap: 2**23 bits are 1 MB, broadcast as 256 rows of 4 KB.
+BITMAP_BITS = 23
+_ROW_BITS = 15
+
+
+def key_bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of fixed size that misses no key: rows (bitmap_row, bits)."""
+    pos = keys.select(F.pmod(key, F.lit(1 << BITMAP_BITS)).alias("pos"))
+    return (pos.groupBy(F.shiftright("pos", _ROW_BITS).alias("bitmap_row"))
+            .agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND((1 << _ROW_BITS) - 1)).alias("bits")))
+
+
+def in_bitmap(rows: DataFrame, bitmap: DataFrame, key: Column, out: str) -> DataFrame:
+    """``rows`` with a column that is false only where ``key`` (64-bit hashes) is surely not among the bitmap's keys."""
+    rows = rows.withColumn("_pos", F.pmod(key, F.lit(1 << BITMAP_BITS)))
+    rows = rows.join(F.broadcast(bitmap), F.shiftright("_pos", _ROW_BITS) == F.col("bitmap_row"), "left")
+    bit = F.col("_pos").bitwiseAND((1 << _ROW_BITS) - 1)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return rows.withColumn(out, found).drop("_pos", "bitmap_row", "bits")

@@ -219,8 +219,8 @@ def texts(model: TreeModel, sources: list[str]) -> list[str]:
     return [" ".join([t for node, t in page.runs if p[s + node] >= 0.5]) for page, s in zip(pages, starts)]
 
 
-def extract(pages: DataFrame, model: TreeModel, html_col: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` with its main text.
+def extract(pages: DataFrame, model: TreeModel, html_col: str = "html", out: str = "text", keep_html: bool = True) -> DataFrame:
+    """``pages`` with their main text (and without the markup, unless ``keep_html``).
 
     A null or empty page, or one without content, gives an empty text; repeated rows get equal
     texts; a column named like the new one is replaced; an empty table gives no rows.
@@ -230,4 +230,4 @@ def extract(pages: DataFrame, model: TreeModel, html_col: str = "html", out: str
     def start():
         return lambda sources: [pa.array(texts(shared.value, [s or "" for s in sources.to_pylist()]), pa.string())]
 
-    return add_by_text(pages, html_col, {out: "string"}, start)
+    return add_by_text(pages, html_col, {out: "string"}, start, keep_text=keep_html)

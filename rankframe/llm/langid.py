@@ -157,7 +157,7 @@ def document_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return windows, text, used
 
 
-def identify(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", keep_text: bool = True) -> DataFrame:
     """``docs`` with the predicted language and its probability.
 
     A null text, one without a letter, and any text where no language could be learned get ``und``
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", lan
         tables = model.tables()
         return lambda texts: scored(model, tables, texts)
 
-    return add_by_text(docs, text_col, {lang_out: "string", score_out: "double"}, start)
+    return add_by_text(docs, text_col, {lang_out: "string", score_out: "double"}, start, keep_text=keep_text)
 
 
 def accepted(score: Column, lang: Column, least: float) -> Column:

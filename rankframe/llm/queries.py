@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, mixing, secretscan
+from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, secretscan
 from rankframe.llm.common import crc_bucket, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
@@ -29,10 +33,18 @@ def held_out(mod: int):
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(crc_bucket("doc_id", 4) != 2))
-    found = langid.identify(docs.select("doc_id", "text"), model)
+    found = langid.identify(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = F.coalesce(crc_bucket("doc_id", 7) != 2, F.lit(True))
+    found = lm.score(docs, lm.train(docs, word_bpe_path(), training), training)
+    held = F.coalesce(crc_bucket("doc_id", 7) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, word_bpe_path())
@@ -70,11 +82,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = htmlmain.extract(pages, html_labels.trained())
+    found = htmlmain.extract(pages, html_labels.trained(), keep_html=False)
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html)}
 
 SQL = {
     "op2_exact_dedup": """
