@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankframe.llm import bpe, exact, mixing
-from rankframe.llm.common import cut_lineage, prepare, table
+from pyspark.sql import functions as F
+
+from rankframe.llm import bpe, exact, langid, minhash, mixing
+from rankframe.llm.common import crc_bucket, cut_lineage, prepare, table
 from rankframe.llm.queries import word_bpe_path
 
+#: A document whose most probable language is less probable than this has no language.
+LEAST_LANGUAGE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, or without a language of some probability."""
+    prepare(spark)
+    model = langid.train(docs.filter(crc_bucket("doc_id", 4) != 2))
+    found = langid.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
+    return found.filter(langid.accepted(F.col("_lang_score"), F.col("_lang_pred"), LEAST_LANGUAGE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
@@ -15,6 +28,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    prepare(spark)
+    return minhash.drop_near(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the sources' target weights ask for: not at all, once or twice."""
     prepare(spark)
@@ -27,7 +46,7 @@ def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, word_bpe_path())
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing_sources), ("bpe", bpe_coding)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing_sources), ("bpe", bpe_coding)]
 
 #: Language, near copies, random rounding and subword ids are not for SQL; tests hold the stages against plain code.
 ORACLE_SQL = None

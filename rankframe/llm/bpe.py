@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from rankframe.llm.common import add_by_text
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64
 #: Distinct chunks whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
-SLICE_CHARS = 1 << 20
 
 # Fixed values of the vocabulary file's normaliser and splitter (white space as its regular expressions see it).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -57,6 +57,7 @@ class WordBpe:
         self.ranks = np.array([self.table[k][0] for k in keys], np.int32)
         self.merged = np.array([vocab[a + b] for a, b in spec["model"]["merges"]], np.int64)
         self.find_pieces = regex.compile(PIECES).findall
+        self.find_in_lines = regex.compile(PIECES + "|\n").findall
         self.find_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
         self.memory: dict[str, tuple[bytes, str]] = {}
 
@@ -205,6 +206,24 @@ class WordBpe:
             at = m.end()
         return out + self.chunks(text[at:])
 
+    def ids_of_words(self, lines: str) -> list[list[int]]:
+        """Ids of each line of a text whose lines, each ended by a line feed, are words."""
+        if self.find_special and self.find_special.search(lines):
+            packed = [self.encode_texts([w])[0][0] for w in lines.split("\n")[:-1]]
+            return [np.frombuffer(b, "<u4").tolist() for b in packed]
+        if not unicodedata.is_normalized("NFC", lines):
+            lines = unicodedata.normalize("NFC", lines)
+        pieces, out, own = self.find_in_lines(lines.replace("Σ", "σ").lower()), [], []
+        distinct = list(set(pieces) - {"\n"})
+        ids = dict(zip(distinct, map(self.encode_words([p.encode() for p in distinct]).__getitem__, [p.encode() for p in distinct])))
+        for p in pieces:
+            if p == "\n":
+                out.append(own)
+                own = []
+            else:
+                own += ids[p]
+        return out
+
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(packed ids, decoded text) of each text."""
         parts = [self.split(t) for t in texts]
@@ -232,7 +251,7 @@ def _coder(source: str) -> WordBpe:
     return WordBpe(source)
 
 
-def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
     """``docs`` with two more columns: the text's ids (binary, little-endian unsigned 32 bits) and their decoded text.
 
     A null text counts as empty and has no ids; special tokens written in a text get their own ids;
@@ -241,24 +260,13 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
     """
     with open(vocab_path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in docs.columns if c.lower() not in (ids_col.lower(), decoded_col.lower())]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    at = [c.lower() for c in kept].index(text_col.lower())
 
-    def run(batches):
+    def start():
         coder = _coder(source.value)
-        for batch in batches:
-            texts, start = batch.column(at), 0
-            sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            while start < len(texts):
-                done = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_CHARS, "right")))
-                part = batch.slice(start, stop - start)
-                pairs = coder.encode_texts([t or "" for t in part.column(at).to_pylist()])
-                ids, decoded = pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], names=[*kept, ids_col, decoded_col])
-                start = stop
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{ids_col}` binary", f"`{decoded_col}` string"])
-    return docs.mapInArrow(run, schema)
+
+        def coded(texts: pa.Array) -> list[pa.Array]:
+            pairs = coder.encode_texts([t or "" for t in texts.to_pylist()])
+            return [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())]
+        return coded
+
+    return add_by_text(docs, text_col, {ids_col: "binary", decoded_col: "string"}, start, keep_text=keep_text)

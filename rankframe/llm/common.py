@@ -102,3 +102,18 @@ def in_bitmap(rows: DataFrame, bitmap: DataFrame, key: Column, out: str) -> Data
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
     return rows.withColumn(out, found).drop("_pos", "bitmap_row", "bits")
+
+
+def without(docs: DataFrame, touched: DataFrame, id_col: str, text_col: str, hash_of) -> DataFrame:
+    """``docs`` without the rows that ``touched`` (id, hash, stays) names; of rows that repeat one that stays, one.
+
+    Only rows whose id may be among the touched ones are shuffled: a bitmap of fixed size tells.
+    """
+    ids = F.xxhash64(F.col("id"))
+    marked = in_bitmap(docs.withColumn("_id_of_row", F.col(id_col)), key_bitmap(touched, ids), F.xxhash64(F.col("_id_of_row")), "_maybe")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.filter("_maybe").withColumn("_hash_of_row", hash_of(text_of(text_col)))
+    keys = touched.select(F.col("id").alias("_t_id"), F.col("hash").alias("_t_hash"), F.col("stays").alias("_t_stays"))
+    rest = rest.join(keys, F.col("_id_of_row").eqNullSafe(F.col("_t_id")) & (F.col("_hash_of_row") == F.col("_t_hash")), "left")
+    once = rest.filter("_t_stays").dropDuplicates(["_id_of_row", "_hash_of_row"])
+    return marked.filter("NOT _maybe").select(*names).union(rest.filter("_t_stays IS NULL").select(*names)).union(once.select(*names))

@@ -9,57 +9,44 @@ the bitmap and groups those.  Only fixed-width keys are ever shuffled, never a t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import text_of
+from rankframe.llm.common import cut_lineage, in_bitmap, key_bitmap, text_of, without
 
 PREFIX_CHARS = 64
-#: Bits of the surviving-key bitmap: 2**23 bits are 1 MB, broadcast as 256 rows of 4 KB.
-BITMAP_BITS = 23
-_ROW_BITS = 15
-
-
-def _position(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(1 << BITMAP_BITS))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
-    """One row per row of ``docs``: row_id, the id, keep_id, group_size, kept, full_hash (lowercase hex SHA-256).
+    """One row per row of ``docs``: the id, keep_id, group_size, kept, full_hash (lowercase hex SHA-256).
 
     The row with the largest id of each group of equal texts stays; of rows repeated with that id,
     one.  A null text counts as empty, a null id as smaller than any id, and an empty table gives no
     rows.  Other columns of ``docs`` are not read, whatever their names.  ``full_hash`` is null where
-    the full text needed no hashing, unless ``hash_all``.  ``row_id`` numbers the rows of ``docs``;
-    it is stable for a table that is read again alike.
+    the full text needed no hashing, unless ``hash_all``.
     """
     base = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     length, prefix = F.octet_length("text"), F.xxhash64(F.substring("text", 1, PREFIX_CHARS))
     groups = base.groupBy(length.alias("len"), prefix.alias("ph")).agg(F.count("*").alias("n")).filter("n > 1")
-    position = _position(F.col("len"), F.col("ph"))
-    bitmap = (groups.select(position.alias("pos")).groupBy(F.shiftright("pos", _ROW_BITS).alias("bitmap_row"))
-              .agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND((1 << _ROW_BITS) - 1)).alias("bits")))
-    keyed = base.withColumn("len", length).withColumn("pos", _position(length, prefix))
-    bit = F.col("pos").bitwiseAND((1 << _ROW_BITS) - 1)
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
-    probed = keyed.join(F.broadcast(bitmap), F.shiftright("pos", _ROW_BITS) == F.col("bitmap_row"), "left")
+    key = F.xxhash64("len", "ph")
+    keyed = base.withColumn("len", length).withColumn("ph", prefix)
+    probed = in_bitmap(keyed, key_bitmap(groups, key), key, "maybe")
     full = F.sha2("text", 256)
-    hashed = probed.select("row_id", "id", "len", maybe.alias("maybe"),
-                           (full if hash_all else F.when(maybe, full)).alias("full_hash"))
+    hashed = probed.select("row_id", "id", "len", "maybe", (full if hash_all else F.when(F.col("maybe"), full)).alias("full_hash"))
+    hashed = cut_lineage(hashed, "exact-keys")
     copies = (hashed.filter("maybe").groupBy("len", "full_hash")
               .agg(F.max(F.struct("id", "row_id")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
               .withColumnRenamed("len", "g_len").withColumnRenamed("full_hash", "g_hash"))
     found = hashed.join(copies, F.col("maybe") & (F.col("len") == F.col("g_len")) & (F.col("full_hash") == F.col("g_hash")), "left")
     return found.select(
-        "row_id", F.col("id").alias(id_col),
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
+        F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("keep.row_id") == F.col("row_id"), F.lit(True)).alias("kept"), "full_hash")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` drops; all columns stay as they are."""
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("row_id").alias("_gone_row"))
-    numbered = docs.withColumn("_row_of_docs", F.monotonically_increasing_id())
-    return numbered.join(gone, F.col("_row_of_docs") == F.col("_gone_row"), "left_anti").drop("_row_of_docs")
+    found = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    touched = (found.groupBy(F.col(id_col).alias("id"), F.col("full_hash").alias("hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+               .filter("NOT stays OR n > 1").drop("n"))
+    return without(docs, cut_lineage(touched, "exact-touched"), id_col, text_col, lambda text: F.sha2(text, 256))

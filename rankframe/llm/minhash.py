@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import NEAR, add_by_text, arrow_slices, cut_lineage, in_bitmap, key_bitmap, text_of
+from rankframe.llm.common import NEAR, add_by_text, arrow_slices, cut_lineage, in_bitmap, key_bitmap, text_of, without
 from rankframe.llm.shingles import mix64, shingles
 
 BANDS, ROWS = 16, 4
@@ -202,7 +202,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = cut_lineage(labels, "near-labels")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
     """One row per row of ``docs``: the id, class_id (smallest id of the class), class_size, links, kept.
 
     Equal texts are one node, whatever their number.  Texts without words (null, empty, blank) are
@@ -265,4 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("node").alias("d_node"), "links", "class_size", F.col("first.rep").alias("class_id"), F.col("first.w_node").alias("first_node"))
     rows = texts.select("id", "node").join(found, F.col("node") == F.col("d_node"))
     kept = (F.col("node") == F.col("first_node")) & F.col("id").eqNullSafe(F.col("class_id"))
-    return rows.select(F.col("id").alias(id_col), "class_id", "class_size", "links", kept.alias("kept"))
+    return rows.select(F.col("id").alias(id_col), "class_id", "class_size", "links", kept.alias("kept"), "node")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
+    """``docs`` with one document of each class of :func:`near_duplicates`; all columns stay as they are."""
+    found = near_duplicates(docs, id_col, text_col, least).filter("class_size > 1")
+    touched = (found.groupBy(F.col(id_col).alias("id"), F.col("node").alias("hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+               .filter("NOT stays OR n > 1").drop("n"))
+    return without(docs, cut_lineage(touched, "near-touched"), id_col, text_col, lambda text: F.unhex(F.md5(text)))

@@ -94,16 +94,16 @@ def _settle_block(seed: int, last: bool):
 
 def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
               weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block_rows: int = BLOCK_ROWS,
-              seed: int = SEED) -> DataFrame:
-    """row_id, the id, size, source_size, target, copies for every row of ``docs``.
+              seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """row_id, the id, size, source_size, target, copies for every row of ``docs`` (``row_col``: its own row numbers, if it has any).
 
     A null text has size 0, a null source is a source of its own (the last), documents without
     words take no copies, repeated rows are documents of their own, an empty table gives no rows.
     Draws depend on the seed, source and block only, so reruns agree.  ``row_id`` numbers the rows
     of ``docs`` as they are read; columns besides the three named are ignored.
     """
-    spark = docs.sparkSession
-    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"),
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("id"),
                         F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
     sized = cut_lineage(sized, "mix-sizes")
     targets = cut_lineage(source_targets(sized, weights, share, most), "mix-targets")
@@ -132,9 +132,12 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with each row as often as :func:`copies_of` takes it; the columns stay as they are."""
-    taken = copies_of(docs, **kw).filter("copies > 0").select(F.col("row_id").alias("_row_taken"), F.col("copies").alias("_copies"))
-    numbered = docs.withColumn("_row_of_docs", F.monotonically_increasing_id())
+    """``docs`` with each row as often as :func:`copies_of` takes it; the columns stay as they are.
+
+    The rows are written once with their numbers, so that every later reading agrees on them.
+    """
+    numbered = cut_lineage(docs.withColumn("_row_of_docs", F.monotonically_increasing_id()), "mix-docs")
+    taken = copies_of(numbered, row_col="_row_of_docs", **kw).filter("copies > 0").select(F.col("row_id").alias("_row_taken"), F.col("copies").alias("_copies"))
     joined = numbered.join(taken, F.col("_row_of_docs") == F.col("_row_taken"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     return joined.withColumn("_time", times).select(*[F.col(f"`{c}`") for c in docs.columns])

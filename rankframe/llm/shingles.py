@@ -57,13 +57,13 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> list[int]:
     return [*cuts, n] if cuts[-1] < n else cuts
 
 
-def words(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of every word, where each begins, and at which word each text begins (and the last ends).
+def words(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word, where each begins and ends, and at which word each text begins (and the last ends).
 
     Words are runs of bytes other than blank and 0x09 to 0x0D; ``fold`` takes A-Z as a-z.  Bytes are
     worked on piece by piece, so that the memory besides the results has a bound (but for longer words).
     """
-    cuts, hashed, first = _pieces(data, bounds), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    cuts, hashed, first, last = _pieces(data, bounds), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         part = data[a:b]
         inside = (part != 32) & ((part < 9) | (part > 13))
@@ -84,8 +84,9 @@ def words(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.n
         np.cumsum(value, out=total[1:])
         hashed.append(mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)))
         first.append(lo + a)
+        last.append(hi + a)
     starts = np.concatenate(first)
-    return np.concatenate(hashed), starts, np.searchsorted(starts, bounds)
+    return np.concatenate(hashed), starts, np.concatenate(last), np.searchsorted(starts, bounds)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A text with fewer words than a shingle is one shingle; one without words has none.
     """
-    hashed, _, at = words(*text_bytes(texts))
+    hashed, _, _, at = words(*text_bytes(texts))
     size = np.diff(at)
     per = np.where(size >= SHINGLE_WORDS, size - SHINGLE_WORDS + 1, np.minimum(size, 1))
     text = np.repeat(np.arange(len(size)), per)
