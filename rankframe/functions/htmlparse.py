@@ -1,8 +1,10 @@
-"""A small tolerant HTML tree (stdlib ``html.parser``) with the few lookups the extractors need.
+"""One pass over a page's parse events, filling flat records: table rows with their cells, labelled
+blocks and links.  No tree is built, so a page of any nesting depth costs one walk; what makes a row
+valid and what its cells mean is decided later, by Spark expressions over the records.
 
-Per-row helper only: it runs inside ``mapInPandas`` tasks on one page at a time.
-Unclosed tags are closed by their parent's end tag; void elements never take children;
-``<script>``/``<style>`` bodies are raw text (the stdlib parser's CDATA handling).
+Per-page helper only: it runs inside a task on one page at a time.  An end tag closes the innermost
+open element of its name and everything in it; void elements hold nothing; script and style bodies
+are raw text.
 """
 
 from __future__ import annotations
@@ -13,92 +15,98 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
         "source", "track", "wbr"}
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def get(self, name):
-        return self.attrs.get(name)
-
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
-
-    def iter(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.iter()
-
-    def find_all(self, tag, cls=None):
-        """Descendants named ``tag``; ``cls`` with a space matches the whole class string,
-        without a space any one class of the element."""
-        out = []
-        for n in self.iter():
-            if n.tag != tag:
-                continue
-            if cls is not None:
-                if " " in cls:
-                    if (n.attrs.get("class") or "") != cls:
-                        continue
-                elif cls not in n.classes():
-                    continue
-            out.append(n)
-        return out
-
-    def find(self, tag, cls=None):
-        r = self.find_all(tag, cls)
-        return r[0] if r else None
-
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.strings()
-            else:
-                yield c
-
-    def text(self, strip=True):
-        if strip:
-            return "".join(s.strip() for s in self.strings() if s.strip())
-        return "".join(self.strings())
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
+class PageRecords(HTMLParser):
+    """``rows``, ``blocks`` and ``links`` of one page.
+
+    ``mark`` and ``key`` are classes of spans, ``block`` the class attribute of labelled blocks.
+    Text is the stripped text pieces of an element, joined without a separator.
+    """
+
+    def __init__(self, mark: str, key: str, block: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("[document]", {}, None)
-        self.cur = self.root
+        self.mark, self.key, self.block = mark, key, block
+        self.rows, self.blocks, self.links = [], [], []
+        self._stack, self._open = [], {}
+        self._now = {"row": [], "cell": [], "block": [], "text": []}
 
     def handle_starttag(self, tag, attrs):
-        d = {}
-        for k, v in attrs:
-            if k not in d:
-                d[k] = v if v is not None else ""
-        n = Node(tag, d, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
+        given = {}
+        for name, value in attrs:
+            given.setdefault(name, value or "")
+        opened = []
+        if tag == "tr":
+            opened.append(("row", {"entity": given.get("data-entity-id"), "cells": []}))
+            self.rows.append(opened[0][1])
+        elif tag == "td":
+            cell = {"class": given.get("class", ""), "mark": None, "linked": False, "href": None, "link": [], "keys": []}
+            for row in self._now["row"]:
+                row["cells"].append(cell)
+            opened.append(("cell", cell))
+        elif tag == "div" and given.get("class") == self.block:
+            opened.append(("block", {"label": None, "text": None}))
+            self.blocks.append(opened[0][1])
+        else:
+            opened += [("text", pieces) for pieces in self._pieces(tag, given)]
+        if tag == "a" and "href" in given:
+            self.links.append(given["href"])
+        if tag in VOID:
+            return
+        for kind, record in opened:
+            self._now[kind].append(record)
+        self._stack.append((tag, [kind for kind, _ in opened]))
+        self._open[tag] = self._open.get(tag, 0) + 1
+
+    def _pieces(self, tag, given):
+        """The text lists that an element of this kind begins to fill."""
+        found = []
+        if tag == "a":
+            for cell in self._now["cell"]:
+                if not cell["linked"]:
+                    cell["linked"], cell["href"] = True, given.get("href")
+                    found.append(cell["link"])
+        elif tag == "span":
+            classes = given.get("class", "").split()
+            for cell in self._now["cell"]:
+                if self.mark in classes and cell["mark"] is None:
+                    cell["mark"] = given["class"]
+                if self.key in classes:
+                    cell["keys"].append([])
+                    found.append(cell["keys"][-1])
+        elif tag in ("h4", "p"):
+            field = "label" if tag == "h4" else "text"
+            for block in self._now["block"]:
+                if block[field] is None:
+                    block[field] = []
+                    found.append(block[field])
+        return found
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.cur = self.cur.parent
+            self._close()
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        if self._open.get(tag):
+            while self._close() != tag:
+                pass
+
+    def _close(self):
+        tag, kinds = self._stack.pop()
+        for kind in kinds:
+            self._now[kind].pop()
+        self._open[tag] -= 1
+        return tag
 
     def handle_data(self, data):
-        self.cur.children.append(data)
+        piece = data.strip()
+        if piece:
+            for pieces in self._now["text"]:
+                pieces.append(piece)
 
 
-def parse(html: str | None) -> Node:
-    b = _Builder()
+def page_records(html: str | None, mark: str, key: str, block: str) -> PageRecords:
+    found = PageRecords(mark, key, block)
     if html:
-        b.feed(html)
-        b.close()
-    return b.root
+        found.feed(html)
+        found.close()
+    return found

@@ -25,20 +25,15 @@ TYPE_RULES = [
     ("(reasoning|aptitude|cognitive)", "Ability & Aptitude"),
     (B0 + "(senior|leadership|lead|coo|ceo|cfo|cto|chief|executive|director|head of)" + B1, "Competencies"),
 ]
-# Duration phrases, first match wins: (pattern, group holding the number, minutes per unit).
-DURATION_RULES = [
-    (f"([0-9]+){SP}-{SP}([0-9]+){SP}hours?", 2, 60),
-    (f"([0-9]+){SP}hours?", 1, 60),
-    (f"{B0}(an|one){SP}hour", None, 60),
-    (f"([0-9]+){SP}-{SP}([0-9]+){SP}min", 2, 1),
-    (f"([0-9]+){SP}min", 1, 1),
-]
+# A duration phrase: number, upper number, unit, or a bare hour in words; the first in the text counts.
+DURATION = (f"(^|[^a-z0-9.])(([0-9]+(\\.[0-9]+)?)({SP}-{SP}([0-9]+(\\.[0-9]+)?))?{SP}-?{SP}(hour|hr|min)|(an|one){SP}hour)")
+DURATION_GROUPS = {"from": 3, "to": 6, "unit": 8, "word": 9}
 # Job levels, first match wins.
 LEVEL_RULES = [
-    (B0 + "(coo|ceo|cfo|cto|chief|executive|vp|president)" + B1, "Executive"),
-    ("senior", "Senior"),
-    ("(graduate|entry[- ]level|junior|fresher|intern)", "Entry-level"),
-    ("(mid[- ]level|mid-professional|professional|experienced)", "Mid-Professional"),
+    (B0 + "(coo|ceo|cfo|cto|chief|executives?|vp|president)" + B1, "Executive"),
+    (B0 + "(senior)" + B1, "Senior"),
+    (B0 + "(graduates?|entry[- ]level|juniors?|freshers?|interns?)" + B1, "Entry-level"),
+    (B0 + "(mid[- ]level|mid-professionals?|professionals?|experienced)" + B1, "Mid-Professional"),
 ]
 # ---------------------------------------------------------------------------
 
@@ -54,16 +49,12 @@ def tag_types(text) -> Column:
 
 
 def parse_max_duration(text) -> Column:
-    """I2: '40 minutes' -> 40, 'about an hour' -> 60, '1-2 hours' -> 120 (upper end)."""
-    low = _low(text)
-    out = []
-    for p, g, mult in DURATION_RULES:
-        if g is None:
-            out.append(F.when(low.rlike(p), F.lit(mult)))
-        else:
-            num = F.nullif(F.regexp_extract(low, p, g), F.lit("")).try_cast("int")
-            out.append(num * F.lit(mult))
-    return F.coalesce(*out).cast("int")
+    """I2: '40 minutes' -> 40, 'about an hour' -> 60, '1-2 hours' -> 120 (upper end), '1.5 hours' -> 90;
+    of several phrases the first in the text."""
+    low, g = _low(text), DURATION_GROUPS
+    number = F.coalesce(*[F.nullif(F.regexp_extract(low, DURATION, g[k]), F.lit("")) for k in ("to", "from")]).try_cast("double")
+    minutes = F.when(F.regexp_extract(low, DURATION, g["unit"]) == "min", number).otherwise(number * 60)
+    return F.when(F.regexp_extract(low, DURATION, g["word"]) != "", F.lit(60)).otherwise(F.floor(minutes).try_cast("int"))
 
 
 def parse_job_level(text) -> Column:
@@ -85,14 +76,17 @@ def tag_intent(text) -> Column:
 
 
 def parse_intent_json(reply) -> Column:
-    """I4: a structured reply -> typed intent; junk or missing keys -> NULL / []; requested types
-    kept only when in the allowed list (first occurrence, reply order)."""
-    j = F.from_json(F.col(reply) if isinstance(reply, str) else reply, S.INTENT)
+    """I4: a structured reply -> typed intent; junk or missing keys -> NULL / []; a whole number of
+    minutes counts as text or with a decimal point too; requested types kept only when in the allowed
+    list (first occurrence, reply order)."""
+    kind = ", ".join(f"{f.name} {'string' if f.name == 'max_duration_minutes' else f.dataType.simpleString()}" for f in S.INTENT.fields)
+    j = F.from_json(F.col(reply) if isinstance(reply, str) else reply, kind)
     empty = F.array().cast("array<string>")
     allowed = F.array(*[F.lit(x) for x in S.ALLOWED_TEST_TYPES])
+    minutes = j["max_duration_minutes"].try_cast("double")
     return F.struct(F.coalesce(j["skills"], empty).alias("skills"),
                     F.coalesce(j["soft_skills"], empty).alias("soft_skills"),
-                    j["max_duration_minutes"].alias("max_duration_minutes"),
+                    F.when(minutes == F.floor(minutes), minutes.try_cast("int")).alias("max_duration_minutes"),
                     j["job_level"].alias("job_level"),
                     F.array_intersect(F.coalesce(j["required_test_types"], empty), allowed)
                     .alias("required_test_types"))

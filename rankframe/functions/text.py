@@ -96,23 +96,37 @@ def url_slug(c) -> Column:
     return F.lower(F.regexp_replace(F.substring_index(_c(c), "view/", -1), "/+\\z", ""))
 
 
-def resolve_url(href, base: str) -> Column:
-    """Resolve a link against a base URL the way a browser does for the common forms.
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; one that ends in them ends in a slash."""
+    segments = F.split(path, "/")
+    walked = F.aggregate(segments, F.lit(""), lambda done, s: F.when(s == "..", F.regexp_replace(done, "/[^/]*\\z", ""))
+                         .when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s)))
+    # the text before the first slash is a segment of its own: drop the slash put before it
+    walked = F.when(path.startswith("/"), F.regexp_replace(walked, "^//", "/")).otherwise(walked)
+    return F.concat(walked, F.when(F.element_at(segments, -1).isin(".", "..") & ~walked.endswith("/"), F.lit("/")).otherwise(F.lit("")))
 
-    absolute (has a scheme) -> as is; '//host/..' -> base scheme; '/path' -> base origin + path;
-    NULL or '' -> base; other relative -> base directory + link.
+
+def resolve_url(href, base) -> Column:
+    """A link resolved against a base URL (text or column) as a browser does.
+
+    With a scheme: as is; NULL or '': the base; ``//host``: the base's scheme; ``#x`` and ``?x``: the
+    base up to its own; a path, from the root or from the base's folder, has its dots resolved.
     """
-    h = _c(href)
-    scheme = base.split(":", 1)[0]
-    origin = "/".join(base.split("/")[:3])
-    base_dir = base if base.endswith("/") else base.rsplit("/", 1)[0] + "/"
-    if base.count("/") < 3:
-        base_dir = base.rstrip("/") + "/"
-    return (F.when(h.isNull() | (h == ""), F.lit(base))
+    h, b = F.coalesce(_c(href), F.lit("")), F.lit(base) if isinstance(base, str) else base
+    scheme = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1)
+    origin = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(b, "^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(h, "^([^?#]*)", 1), F.regexp_extract(h, "^[^?#]*(.*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*\\z", ""))
+    # empty segments inside a joined path go, those of a path from the root stay
+    joined = F.concat(F.regexp_replace(folder, "/+", "/"), F.regexp_replace(own, "/+", "/"))
+    return (F.when(h == "", b)
             .when(h.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), h)
-            .when(h.startswith("//"), F.concat(F.lit(scheme + ":"), h))
-            .when(h.startswith("/"), F.concat(F.lit(origin), h))
-            .otherwise(F.concat(F.lit(base_dir), h)))
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("#"), F.concat(F.regexp_extract(b, "^([^#]*)", 1), h))
+            .when(h.startswith("?"), F.concat(origin, path, h))
+            .when(h.startswith("/"), F.concat(origin, _without_dots(own), rest))
+            .otherwise(F.concat(origin, _without_dots(joined), rest)))
 
 
 def tokenize_ascii(c) -> Column:

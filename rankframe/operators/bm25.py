@@ -2,17 +2,17 @@
 
 Plan shape (see ``explain``):
 
-* postings  = text shuffled by item -> tokens -> explode -> count per (item, term) with no further
-  shuffle.  Written once as a parquet table in the shared checkpoint folder, so the text is
-  tokenised a single time; each file holds whole items.
+* postings  = per item, its terms with their counts, counted where the text is read (an item is one
+  row), then shuffled by item in that packed form and written once as a table bucketed by item.  No
+  raw text is shuffled.
 * term stats = postings -> partial count -> shuffle on term -> df, idf (on a 1e-9 fixed-point grid).
   A very common term is one row here, never a hot partition: the count is pre-aggregated map-side.
-* corpus stats = item count (id-only scan), token total and mean idf: one row, folded in as literals.
+* corpus stats = item count, token total and mean idf: one row, folded in as literals.
 * scores = query terms (small, size-checked broadcast; else a shuffle join with AQE skew split on
-  hot terms) joined to postings on term -> partial sum per (query, item) that collapses almost
-  completely map-side (an item's postings share a file) -> shuffle of distinct pairs -> sum.
+  hot terms) joined to postings on term -> sum per (query, item), with no shuffle: a bucket holds
+  all postings of its items.
 * top-k = row_number per query; Catalyst's WindowGroupLimit keeps only k rows per query and
-  partition before the shuffle on query id.
+  bucket before the one shuffle, on query id.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe import schemas as S
 from rankframe.functions.text import tokenize_ascii
-from rankframe.session import broadcast_if_small, cut_lineage
+from rankframe.session import cut_lineage, scratch_path
 
 QUERY_SIDE_BROADCAST_ROWS = 2_000_000
 MAX_SCORING_PASSES = 4
@@ -48,29 +51,44 @@ class Bm25Index:
         return self.total_tokens / self.n_items if self.n_items else 0.0
 
 
+def _count_terms(batches):
+    """Arrow batches (item_id, tokens) -> (item_id, dl, postings): each item's distinct terms with their counts."""
+    for batch in batches:
+        tokens = batch.column(1)
+        flat = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)})
+        counted = flat.group_by(["row", "term"]).aggregate([([], "count_all")]).sort_by("row")
+        per_row = np.bincount(counted.column("row").to_numpy(), minlength=batch.num_rows)
+        pairs = pa.StructArray.from_arrays([counted.column("term").combine_chunks(), counted.column("count_all").combine_chunks()], ["term", "tf"])
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32), pairs)
+        dl = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), dl, lists], names=["item_id", "dl", "postings"])
+
+
 def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=tokenize_ascii,
                epsilon: float = S.BM25_EPSILON, k1: float = S.BM25_K1, b: float = S.BM25_B,
                materialize: bool = True) -> Bm25Index:
-    """A4: build the index tables from ``items(id_col, text_col)``.
+    """A4: build the index tables from ``items(id_col, text_col)``; item ids must be unique.
 
-    Postings are built per item after one shuffle of the raw text and written once to the shared
-    checkpoint folder, so the text is tokenised exactly once however many statistics and queries
-    read the index, and every later per-(query, item) sum finds an item's postings together.  The
-    corpus statistics are three numbers (item count, token total, mean raw idf) read back as one row.
+    The packed postings are written once to the shared checkpoint folder, bucketed by item, so the
+    text is tokenised exactly once however many statistics and queries read the index.  The corpus
+    statistics are three numbers (item count, token total, mean raw idf) read back as one row.
     """
-    # Shuffle the raw text by item (compact, compresses well) and tokenise after the shuffle: every
-    # posting of an item is then produced, and written, by one task.  explode_outer + a term filter
-    # keeps Spark from inferring a size(tokens) > 0 filter below the shuffle (a second tokenisation).
-    toks = (items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_text"))
-            .repartition("item_id")
-            .select("item_id", tokenizer(F.col("_text")).alias("tokens")))
-    postings = (toks.select("item_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-                .where(F.col("term").isNotNull())
-                .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    spark = items.sparkSession
+    n_items, n_ids = items.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    if n_items != n_ids:
+        raise ValueError(f"{id_col} must identify an item: {n_items} items, {n_ids} ids")
+    kind = items.schema[id_col].dataType.simpleString()
+    toks = items.select(F.col(id_col).alias("item_id"), tokenizer(F.col(text_col)).alias("tokens"))
+    packed = toks.mapInArrow(_count_terms, f"item_id {kind}, dl int, postings array<struct<term:string,tf:bigint>>")
     if materialize:
-        postings = cut_lineage(postings, "bm25-postings")
-    n_items = items.select(id_col).count()
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = scratch_path(spark, "bm25-postings")
+        name = "bm25_" + path.rsplit("-", 1)[-1]
+        (packed.repartition(buckets, "item_id").write.bucketBy(buckets, "item_id").option("path", path)
+         .format("parquet").saveAsTable(name))
+        packed = spark.table(name)
+    postings = packed.select("item_id", "dl", F.inline("postings"))
+    total = packed.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
     # idf on the 1e-9 fixed-point grid: the only transcendental step (log) is rounded once per term,
     # so every later product and sum has bit-identical inputs on any engine and partitioning; the
     # mean for the epsilon floor is then an exact integer sum over the vocabulary
@@ -158,21 +176,41 @@ def bm25_topk(scores: DataFrame, k: int = S.TOP_K_RETRIEVAL, positive_only: bool
     return topk(scores, k, order=[order_key(), F.col("item_id").asc()])
 
 
+def id_ranks(items: DataFrame, id_col: str) -> DataFrame:
+    """``(item_id, nth)``: each id with its place among all ids, from 1, without one task holding them all.
+
+    Ids are dealt into ranges by their quantiles; a range's places begin after the rows of those before.
+    """
+    spark = items.sparkSession
+    ids = items.select(F.col(id_col).alias("item_id"))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = ids.agg(F.percentile_approx("item_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    cuts = sorted(set(cuts))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("item_id"))) if cuts else F.lit(0)
+    ids = ids.withColumn("range", at)
+    before = ids.groupBy("range").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.col("range").alias("b_range"),
+        F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("item_id"))
+    return (ids.withColumn("own", within).join(before, F.col("range") == F.col("b_range"))
+            .select("item_id", (F.col("before") + F.col("own")).alias("nth")))
+
+
 def bm25_topk_padded(scores: DataFrame, queries: DataFrame, items: DataFrame, id_col: str, k: int,
                      qid: str = "query_id") -> DataFrame:
     """R2(b): top-k over *all* items, items without a shared term scoring 0 (ties by item id).
 
-    Without a Q x N product: BM25 scores are never negative here (idf is floored at a positive
-    epsilon share), so a query's list is its scored items followed by the smallest item ids it did
-    not score.  Those always lie within the 2k smallest ids of the whole corpus: a bounded list
-    (2k ids) exploded per query, so no join is needed.
+    Scores may be negative (the idf floor takes the sign of the mean idf): those rank behind the
+    items without a shared term.  Without a Q x N product: only a query with fewer than k positive
+    items needs others, and with m scored items its k first unscored ids are among the k + m
+    smallest ids, so what is looked at is in proportion to the scores themselves.
     """
-    # the 2k smallest ids: a global top-k (each partition sends at most 2k ids), then a literal
-    smallest = [r[0] for r in items.select(F.col(id_col).alias("item_id")).orderBy("item_id").limit(2 * k).collect()]
-    pads = (queries.select(F.col(qid).alias("query_id")).distinct()
-            .select("query_id", F.explode(F.array(*[F.lit(i) for i in smallest]).cast("array<bigint>")).alias("item_id"))
-            .withColumn("score", F.lit(0.0)))
-    scored = topk(scores, k, order=[order_key(), F.col("item_id").asc()]).select("query_id", "item_id", "score")
-    both = scored.unionByName(pads)
-    best = both.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    return topk(best, k, order=[order_key(), F.col("item_id").asc()])
+    per = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("score") > 0).alias("positive"))
+    need = (queries.select(F.col(qid).alias("query_id")).distinct().join(per, "query_id", "left").fillna(0, ["m", "positive"])
+            .where(F.col("positive") < k))
+    places = need.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") + k)).alias("nth"))
+    pads = (places.join(id_ranks(items, id_col), "nth")
+            .join(scores.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+            .select("query_id", "item_id", F.lit(0.0).alias("score")))
+    both = scores.select("query_id", "item_id", "score").unionByName(pads)
+    return topk(both, k, order=[order_key(), F.col("item_id").asc()])

@@ -3,7 +3,7 @@ shape.  Pure column expressions: one narrow projection, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions.text import (clean_text, map_test_types, parse_duration, parse_list_field,
@@ -32,13 +32,17 @@ def prepare_catalog(enriched: DataFrame) -> DataFrame:
 
 def canonicalise(prepared: DataFrame, key: str = "catalog_idx") -> DataFrame:
     """Drop the raw list texts, then rename the parsed lists to their names, and add the
-    explicit item key (the numeric listing entity id; a URL hash when the id is not numeric)."""
+    explicit item key (the numeric listing entity id; a URL hash when the id is not numeric).  Rows
+    that repeat a key are items of their own: the later ones, by URL and name, get a hashed key."""
     out = (prepared.drop("job_levels", "languages")
            .withColumnRenamed("job_levels_list", "job_levels")
            .withColumnRenamed("languages_list", "languages"))
     if key not in out.columns:
-        out = out.withColumn(key, F.coalesce(F.col("assessment_id").try_cast("bigint"),
-                                             F.xxhash64("assessment_url")))
+        own = F.coalesce(F.col("assessment_id").try_cast("bigint"), F.xxhash64("assessment_url"))
+        again = F.row_number().over(Window.partitionBy("_own").orderBy("assessment_url", "assessment_name"))
+        out = out.withColumn("_own", own).withColumn("_again", again)
+        out = out.withColumn(key, F.when(F.col("_again") == 1, F.col("_own"))
+                             .otherwise(F.xxhash64("_own", "assessment_url", "assessment_name", "_again")))
     return out.select(key, "category", "assessment_id", "assessment_name", "assessment_url",
                       "remote_testing", "adaptive_irt", "test_type_codes", "description",
                       "assessment_length", "duration_minutes", "test_types", "job_levels", "languages",

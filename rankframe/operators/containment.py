@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.text import tokenize_ascii
 from rankframe.operators.bm25 import Bm25Index
-from rankframe.session import broadcast_if_small
+from rankframe.session import broadcast_if_small, cut_lineage
 
 SHORT_PASSAGE_BROADCAST_ROWS = 100_000
 CANDIDATE_BROADCAST_ROWS = 1_000_000
-INTERIOR_BROADCAST_ROWS = 2_000_000
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid: str, ptext: str,
@@ -32,12 +31,13 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
                 .select("query_id", F.explode(F.slice("ptoks", 2, F.size("ptoks") - 2)).alias("term"))
                 .distinct())
     # rarest interior token per passage (ties: smallest term); an unknown token means no match at all
-    interior = broadcast_if_small(interior, INTERIOR_BROADCAST_ROWS, materialize=True)
-    anchored = (index.term_stats.select("term", "df").join(interior, "term", "right")
-                .groupBy("query_id")
-                .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("anchor"),
-                     F.min(F.coalesce("df", F.lit(0))).alias("anchor_df"))
-                .where("anchor_df > 0"))
+    interior = cut_lineage(interior, "interior-terms")
+    # an inner join, so that the side of the passages is the one that can be broadcast; a passage with
+    # a token that no document has cannot match
+    tokens = interior.groupBy("query_id").agg(F.count(F.lit(1)).alias("tokens"))
+    found = (index.term_stats.select("term", "df").join(interior, "term").groupBy("query_id")
+             .agg(F.min_by("term", F.struct("df", "term")).alias("anchor"), F.min("df").alias("anchor_df"), F.count(F.lit(1)).alias("known")))
+    anchored = found.join(tokens, "query_id").where("known = tokens").select("query_id", "anchor", "anchor_df")
     cand = (anchored.join(index.postings.select(F.col("term").alias("anchor"), "item_id"), "anchor")
             .select("query_id", "item_id"))
     texts = docs.select(F.col(did).alias("item_id"), F.col(dtext).alias("dtext"))
@@ -55,6 +55,8 @@ def passage_matches(passages: DataFrame, docs: DataFrame, index: Bm25Index, pid:
                  .where(F.col("dtext").contains(F.col("ptext")))
                  .select("query_id", "item_id"))
     short = p.where(F.size("ptoks") < 3).select("query_id", "ptext")
+    if short.isEmpty():
+        return long_hits
     short = F.broadcast(short) if few else broadcast_if_small(short, SHORT_PASSAGE_BROADCAST_ROWS)
     short_hits = (texts.join(short, F.col("dtext").contains(F.col("ptext")))
                   .select("query_id", "item_id"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from rankframe.functions.text import url_slug
 
 
-def group_truth(truth: DataFrame, query_col: str = "Query", url_col: str = "Assessment_url") -> DataFrame:
-    """A1: truth URLs per query in input order; for display (lists are bounded by the labels per query)."""
-    return truth.groupBy(query_col).agg(F.collect_list(url_col).alias("urls"))
+def group_truth(truth: DataFrame, query_col: str = "Query", url_col: str = "Assessment_url", pos_col: str | None = None) -> DataFrame:
+    """A1: truth entries per query in the order of ``pos_col`` (without it, of the entries); for
+    display (lists are bounded by the labels per query)."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(pos_col or url_col).alias("at"), F.col(url_col).alias("url"))))
+    return truth.groupBy(query_col).agg(F.transform(pairs, lambda p: p["url"]).alias("urls"))
 
 
 def recall_at_k(pred: DataFrame, truth: DataFrame, k: int, key_col: str = "item_id",

@@ -88,35 +88,35 @@ def _partition_topk_fn(qids: np.ndarray, qmat_bc, k: int, exclude_self: bool):
     Items are taken in chunks so the similarity block (queries x chunk) stays under
     SIM_BLOCK_BYTES whatever the Arrow batch size and the number of queries.
     """
-    chunk = max(1, SIM_BLOCK_BYTES // (8 * max(1, len(qids))))
+    # similarities, their fixed-point form, the sort key and argpartition's indices: 8 bytes each
+    chunk = max(1, SIM_BLOCK_BYTES // (4 * 8 * max(1, len(qids))))
+
+    def best_of(fp, ids, kk):
+        """The kk best columns of each row by similarity, then the smaller id; ids ascend along the columns."""
+        n = fp.shape[1]
+        if n <= kk:
+            return fp, np.broadcast_to(ids, fp.shape)
+        bits = int(n - 1).bit_length()
+        top = np.argpartition((fp << bits) - np.arange(n), n - kk, axis=1)[:, n - kk:]
+        return np.take_along_axis(fp, top, 1), ids[top]
 
     def run(it):
         qmat = qmat_bc.value
         best_iid = best_fp = None
         for pdf in it:
             for s in range(0, len(pdf), chunk):
-                part = pdf.iloc[s:s + chunk]
+                part = pdf.iloc[s:s + chunk].sort_values("iid", kind="stable")
                 iids = part["iid"].to_numpy(dtype=np.int64)
-                imat = np.stack(part["v"].to_numpy()).astype(np.float64)
-                fp = np.floor((qmat @ imat.T) * SCALE + 0.5).astype(np.int64)
-                iids_all = np.broadcast_to(iids, (len(qids), len(iids)))
-                if best_fp is not None:
-                    fp = np.concatenate([best_fp, fp], axis=1)
-                    iids_all = np.concatenate([best_iid, iids_all], axis=1)
-                # key: fixed-point similarity first, then the smaller item id (rank of the id among
-                # the kept and the new ids, so the key is exact across chunks)
-                ranks = np.argsort(np.argsort(iids_all, axis=1, kind="stable"), axis=1)
-                n = iids_all.shape[1]
-                bits = max(1, int(n - 1).bit_length())
-                key = (fp << bits) + (n - 1 - ranks)
+                fp = np.floor((qmat @ np.stack(part["v"].to_numpy()).astype(np.float64).T) * SCALE + 0.5).astype(np.int64)
                 if exclude_self:
-                    key[iids_all == qids[:, None]] = np.iinfo(np.int64).min
-                kk = min(k, n)
-                top = np.argpartition(key, n - kk, axis=1)[:, n - kk:]
-                rows = np.arange(len(qids))[:, None]
-                keep = key[rows, top] != np.iinfo(np.int64).min
-                # excluded pairs never survive: give them the lowest key and drop at the end
-                best_iid, best_fp = iids_all[rows, top], np.where(keep, fp[rows, top], EXCLUDED_FP)
+                    fp[qids[:, None] == iids[None, :]] = EXCLUDED_FP
+                fp, ids = best_of(fp, iids, k)
+                if best_fp is not None:
+                    # the kept and the new ones, at most 2k per query
+                    fp, ids = np.concatenate([best_fp, fp], axis=1), np.concatenate([best_iid, ids], axis=1)
+                    order = np.lexsort((ids, -fp), axis=1)[:, :k]
+                    fp, ids = np.take_along_axis(fp, order, 1), np.take_along_axis(ids, order, 1)
+                best_iid, best_fp = ids, fp
         if best_fp is None:
             return
         r, c = np.nonzero(best_fp != EXCLUDED_FP)
@@ -226,12 +226,6 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     h1 = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5("term"), 9, 8), 16, 10).cast("long")
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    if not src.isStreaming:
-        # hashing is CPU work: an input read in fewer partitions than the cluster has cores (a small
-        # table) is spread by id first; large inputs are aggregated where they are read
-        par = src.sparkSession.sparkContext.defaultParallelism
-        if src.rdd.getNumPartitions() < par:
-            src = src.repartition(par, "id")
     toks = (src.select("id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
             .select("id", F.pmod(h1, F.lit(dim)).alias("slot"),
                     F.when(F.pmod(h2, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn")))

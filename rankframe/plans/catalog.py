@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 
 from rankframe import schemas as S
 from rankframe.functions.text import (bm25_text, clean_text, decimal_digit_table, embedding_text, map_test_types,
-                                      parse_duration, parse_list_field, url_slug, yes_no_to_bool)
+                                      nan_safe_int, parse_duration, parse_list_field, parse_test_types, resolve_url, url_slug, yes_no_to_bool)
 from rankframe.operators.clean import canonicalise, prepare_catalog
-from rankframe.operators.extract import (enrich_catalog, extract_details, extract_links, extract_listing,
-                                         resolve_against, take_pages_until_repeat)
+from rankframe.operators.extract import enrich_catalog, extract_details, extract_links, extract_listing, take_pages_until_repeat
+from rankframe.plans.build import build_catalog
 from rankframe.plans.common import sql_strip, t
 
 ND_SRC, ND_DST = decimal_digit_table()
 from rankframe.session import cut_lineage, scratch_path
-from rankframe.sources.tables import read_catalog_json, write_catalog_json
+from rankframe.sources.tables import (read_catalog, read_catalog_json, read_vectors, write_catalog_json, write_table,
+                                      write_vectors)
 
 BASE_URL = "https://x.example"
 LISTING_URL = BASE_URL + "/products/product-catalog/?type=1&start="
 VIEW = BASE_URL + "/products/product-catalog/view/"
 ROW_CLASS = "product-catalogue-training-calendar__row typ"
-LANDING_FILES = 4
 
 SRC = {
     "catalog_idx": "p_partkey",
@@ -148,22 +148,13 @@ def listing(spark, sf):
     return extract_listing(listing_pages(spark, sf), BASE_URL)
 
 
-def build_catalog(spark, sf):
-    """Listing pages -> rows -> take-while -> detail pages -> left join -> clean -> canonical.
-
-    Each extraction's output is written once to the checkpoint folder (a stage boundary, as each
-    step of the offline build hands a table to the next), so the HTML is parsed exactly once even
-    though the take-while reads the rows twice.
-    """
-    pages = listing_pages(spark, sf, with_repeats=True)
-    extracted = cut_lineage(extract_listing(pages, BASE_URL), "listing-rows")
-    rows = take_pages_until_repeat(extracted, pages.select("page_id", "start"))
-    details = cut_lineage(extract_details(detail_pages(spark, sf)), "detail-fields")
-    return canonicalise(prepare_catalog(enrich_catalog(rows.drop("page_id", "row_pos", "start"), details)))
+def built_catalog(spark, sf):
+    """E1 on the rendered pages, with the repeated listing pages at the end."""
+    return build_catalog(listing_pages(spark, sf, with_repeats=True), detail_pages(spark, sf), BASE_URL)
 
 
 def catalog_typed(spark, sf):
-    """The typed catalogue straight from ``part`` (equal to ``build_catalog``; checked by its oracle)."""
+    """The typed catalogue straight from ``part`` (equal to ``built_catalog``; checked by its oracle)."""
     s = source(spark, sf)
     enriched = s.select("assessment_id", "assessment_name", "assessment_url", "remote_testing", "adaptive_irt",
                         F.col("codes").alias("test_type_codes"), "catalog_idx",
@@ -193,10 +184,16 @@ def q_page_links(spark, sf):
     return extract_links(t(spark, sf, "pages"))
 
 
+#: Relative links tried against every page's URL besides the links of the page.
+TRIED_LINKS = ["#top", "?q=1", "../up", "./x/../y/", "..", "a//b", "/r/./s/../t?u=../v", ""]
+
+
 def q_resolve_url(spark, sf):
     p = t(spark, sf, "pages")
     l = extract_links(p).join(p.select("page_id", F.col("url").alias("base")), "page_id")
-    return l.select("page_id", "pos", resolve_against("href", "base").alias("url"))
+    tried = p.select("page_id", F.posexplode(F.array(*[F.lit(x) for x in TRIED_LINKS])).alias("at", "href"), F.col("url").alias("base"))
+    l = l.select("page_id", "pos", "href", "base").unionByName(tried.select("page_id", (-F.col("at") - 1).alias("pos"), "href", "base"))
+    return l.select("page_id", "pos", resolve_url("href", F.col("base")).alias("url"))
 
 
 def q_extract_listing(spark, sf):
@@ -221,12 +218,12 @@ def q_enrich_left_join(spark, sf):
 
 
 def q_catalog_build(spark, sf):
-    return _flat(build_catalog(spark, sf))
+    return _flat(built_catalog(spark, sf))
 
 
 def q_catalog_json_roundtrip(spark, sf):
     path = scratch_path(spark, "catalog-json")
-    write_catalog_json(build_catalog(spark, sf), path)
+    write_catalog_json(built_catalog(spark, sf), path)
     return _flat(read_catalog_json(spark, path))
 
 
@@ -291,15 +288,13 @@ def q_pages_stream_dedupe(spark, sf):
     are read as a stream, one file per trigger; repeated pages are dropped by signature state."""
     from rankframe.streaming.recommend_stream import new_listing_pages
     folder, sink, ck = (scratch_path(spark, n) for n in ("pages-landing", "pages-new", "pages-ckpt"))
-    # land the pages the way a crawler would, in fetch (start) order: sequential files, each sorted
-    # by start; the stream takes one file per trigger in arrival order, so the first copy of a
-    # repeated page is always the one kept
+    # the stream takes one file per trigger in arrival order, so the first copy of a repeated page is
+    # the one kept
     pages = cut_lineage(listing_pages(spark, sf, with_repeats=True), "pages-rendered")
-    lo, hi = pages.agg(F.min("start"), F.max("start")).first()
-    for c in range(LANDING_FILES):
-        (pages.where((F.col("start") - lo) * LANDING_FILES >= c * (hi - lo + 1))
-         .where((F.col("start") - lo) * LANDING_FILES < (c + 1) * (hi - lo + 1))
-         .coalesce(1).sortWithinPartitions("start").write.mode("append").parquet(folder))
+    last = pages.agg(F.max("start")).first()[0] or 0
+    # each landing is written by as many tasks as its pages need; the two repeated pages come last
+    for lo, hi in ((0, last - 12), (last - 12, last + 1)):
+        pages.where((F.col("start") >= lo) & (F.col("start") < hi)).write.mode("append").parquet(f"{folder}/at={lo}")
     stream = (spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder))
     q = (new_listing_pages(stream, BASE_URL).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
@@ -307,6 +302,53 @@ def q_pages_stream_dedupe(spark, sf):
     return spark.read.parquet(sink).select("assessment_id", "start", "row_pos")
 
 
+def q_catalog_table_roundtrip(spark, sf):
+    """The typed catalogue through the table sink and the typed scan."""
+    path = scratch_path(spark, "catalog-table")
+    write_table(catalog_typed(spark, sf), path)
+    return _flat(read_catalog(spark, path))
+
+
+def q_vectors_roundtrip(spark, sf):
+    """Every embedding through the vector sink and scan."""
+    path = scratch_path(spark, "vectors")
+    write_vectors(t(spark, sf, "embeddings").withColumnRenamed("vec_id", "catalog_idx"), path)
+    return read_vectors(spark, path).select("catalog_idx", F.posexplode("embedding").alias("i", "x")).select(
+        "catalog_idx", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def q_catalog_json_array(spark, sf):
+    """Files that each hold one indented JSON array of records."""
+    path = scratch_path(spark, "catalog-array")
+    rows = catalog_typed(spark, sf)
+    record = F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    files = (rows.select(F.floor(F.col("catalog_idx") / 1000).alias("file"), record.alias("record")).groupBy("file")
+             .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("value")))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _flat(read_catalog_json(spark, path, array=True))
+
+
+def q_enrich_duplicate_details(spark, sf):
+    """J1 with a second detail page for every URL: the page with the smaller id counts, rows stay single."""
+    d = extract_details(detail_pages(spark, sf))
+    again = d.select((F.col("page_id") + 1_000_000_000).alias("page_id"), "assessment_url", F.lit("later page").alias("description"),
+                     "job_levels", "languages", "assessment_length")
+    e = enrich_catalog(listing(spark, sf), again.unionByName(d))
+    return e.select("assessment_id", "assessment_url", "description", "job_levels", "languages", "assessment_length")
+
+
+def q_revive_list_text(spark, sf):
+    """The stored text form of the code list, parsed and mapped."""
+    text = F.concat(F.lit("['"), F.array_join("codes", "', '"), F.lit("']"))
+    return source(spark, sf).select("catalog_idx", F.array_join(parse_test_types(text), "|").alias("test_types"))
+
+
+def q_nan_safe_int(spark, sf):
+    """A float column with NaN and NULL."""
+    x = F.expr("case when p_partkey % 5 = 0 then double('NaN') when p_partkey % 7 = 0 then null else p_size + 0.75D end")
+    return t(spark, sf, "part").select("p_partkey", nan_safe_int(x).alias("minutes"))
+
+
 QUERIES = {
     "pages_scan": q_pages_scan,
     "pages_stream_dedupe": q_pages_stream_dedupe,
@@ -326,6 +368,12 @@ QUERIES = {
     "url_slug": q_url_slug,
     "embedding_text": q_embedding_text,
     "bm25_text": q_bm25_text,
+    "catalog_table_roundtrip": q_catalog_table_roundtrip,
+    "vectors_roundtrip": q_vectors_roundtrip,
+    "catalog_json_array": q_catalog_json_array,
+    "enrich_duplicate_details": q_enrich_duplicate_details,
+    "revive_list_text": q_revive_list_text,
+    "nan_safe_int": q_nan_safe_int,
 }
 
 # ------------------------------------------------------------------ DuckDB oracle SQL
@@ -355,9 +403,20 @@ LINKS = """lk as (select page_id, unnest(h) as href, unnest(range(1, len(h) + 1)
 SQL = {
     "pages_scan": "select page_id, url, length(html) as html_chars from pages",
     "page_links": f"with {LINKS} select page_id, pos, href from lk",
-    "resolve_url": f"""with {LINKS}
-        select lk.page_id, lk.pos, concat(regexp_extract(p.url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1), lk.href) as url
-        from lk join pages p using (page_id)""",
+    "resolve_url": f"""with {LINKS},
+        b as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) as origin,
+                     regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^([^#]*)', 1) as whole from pages),
+        d as (select *, regexp_replace(path, '[^/]*$', '') as folder from b),
+        u as (select *, case when folder = '/' then '/' else regexp_replace(folder, '[^/]+/$', '') end as upper from d)
+        select lk.page_id, lk.pos, concat(u.origin, lk.href) as url from lk join u using (page_id)
+        union all select page_id, -1, concat(whole, '#top') from u
+        union all select page_id, -2, concat(origin, path, '?q=1') from u
+        union all select page_id, -3, concat(origin, upper, 'up') from u
+        union all select page_id, -4, concat(origin, folder, 'y/') from u
+        union all select page_id, -5, concat(origin, upper) from u
+        union all select page_id, -6, concat(origin, folder, 'a/b') from u
+        union all select page_id, -7, concat(origin, '/r/t?u=../v') from u
+        union all select page_id, -8, url from u""",
     "extract_listing": f"""with {SQL_SOURCE}
         select pg as page_id, cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos,
                '{S.LISTING_CATEGORY}' as category, assessment_id, assessment_name, assessment_url,
@@ -412,3 +471,13 @@ SQL = {
                concat_ws(' ', nullif(assessment_name, ''), nullif(description, ''), nullif(replace(test_types, '|', ' '), '')) as name_desc_types
         from typed""",
 }
+SQL |= {
+    "catalog_table_roundtrip": SQL["catalog_build"],
+    "catalog_json_array": SQL["catalog_build"],
+    "enrich_duplicate_details": SQL["enrich_left_join"],
+    "revive_list_text": SQL["map_test_types"],
+    "vectors_roundtrip": """select vec_id as catalog_idx, cast(i as integer) as i, round(cast(cast(embedding[i + 1] as float) as double), 6) as x
+        from (select vec_id, embedding, unnest(range(len(embedding))) as i from embeddings)""",
+    "nan_safe_int": """select p_partkey, case when p_partkey % 5 = 0 or p_partkey % 7 = 0 then null else cast(p_size as integer) end as minutes
+        from part""",
+}

@@ -31,11 +31,20 @@ def r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
+def _version(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a table folder's files: what tells a rewritten input from the old one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def index_artifact(spark: SparkSession, key: tuple, build):
-    """Offline artifacts (BM25 index, item vectors) are built once per session and reused by every
-    query, as an index is built once and served many times.  They live as parquet tables in the
-    shared checkpoint folder, so a lost executor never loses them."""
+    """Offline artifacts (BM25 index, item vectors) are built once per session and version of their
+    input folder (``key[1]``) and reused by every query, as an index is built once and served many
+    times.  They live as parquet tables in the shared checkpoint folder, so a lost executor never
+    loses them."""
     memo = spark.__dict__.setdefault("_rankframe_index", {})
+    key = (*key, _version(spark, key[1]))
     if key not in memo:
         memo[key] = build()
     return memo[key]

@@ -1,10 +1,8 @@
 """Registered queries: filters, scores, balanced/weighted ranks and reranking.
 
-Queries are all ``embeddings`` rows; each query's candidates are its 40 nearest other embeddings
-(exact blocked kNN over the whole table), with ``pos`` = neighbour rank and ``sim``; the candidate
-item ``vec_id`` is the catalogue item ``catalog_idx`` (the part-derived catalogue, whole table).
-A query's intent (duration limit, job level, requested types) is derived from the ``customer`` row
-with the same key.
+Queries are all ``customer`` rows: an intent (duration limit, job level, requested types) and a
+text.  Items are all ``part`` rows as the catalogue.  A query's candidates are its 40 nearest items
+by hashed text vectors, exact over the whole catalogue, with ``pos`` = neighbour rank and ``sim``.
 """
 
 from __future__ import annotations
@@ -16,11 +14,13 @@ from rankframe.operators import rank as R
 from rankframe.operators import score as C
 from rankframe.operators.rerank import RERANK_INSTRUCTION, apply_order, rerank, rerank_prompts, weighted_ranker
 from rankframe.plans import catalog as CAT
-from rankframe.plans.common import t
-from rankframe.plans.dense import KNN_CTE, knn_self
+from rankframe.functions.text import embedding_text
+from rankframe.operators.knn import hash_embed, knn
+from rankframe.plans.common import index_artifact, sql_hash_cte, t
 from rankframe.session import cut_lineage
 
 K_CAND = 40
+DIM = 64
 RERANK_K = S.RERANK_K
 FIX_KEYWORDS = ["widget", "gear", "anvil"]
 FIX_PLUS = ["ring"]
@@ -37,7 +37,7 @@ INTENT_SRC = {
     "t0": f"case when c_custkey % 10 <> 9 then {T8.format(x='c_custkey')} end",
     "t1": f"case when c_custkey % 10 <> 9 and c_custkey % 3 >= 1 then {T8.format(x='(c_custkey + 3)')} end",
     "t2": f"case when c_custkey % 10 <> 9 and c_custkey % 3 = 2 then {T8.format(x='(c_custkey + 5)')} end",
-    "query": "concat('Hiring for the ', lower(c_mktsegment), ' team, ', c_name)",
+    "query": f"concat('Hiring for the ', lower(c_mktsegment), ' team, ', c_name, ', skills: ', {T8.format(x='c_custkey')})",
 }
 
 
@@ -50,14 +50,20 @@ def intents(spark, sf):
 
 
 def candidates(spark, sf):
-    """Candidate frame: kNN neighbours x catalogue columns x intent columns."""
-    nn = knn_self(spark, sf, K_CAND).select("query_id", F.col("item_id").alias("catalog_idx"), "sim",
-                                            F.col("rank").alias("pos"))
-    cat = CAT.catalog_typed(spark, sf).select("catalog_idx", "assessment_name", "assessment_url", "description",
-                                             "test_types", "duration_minutes", "job_levels")
-    # written once: every rank rule reads the same retrieval output in several branches
-    return cut_lineage(nn.join(cat, "catalog_idx")
-                       .join(intents(spark, sf).drop("query", "skills", "soft_skills"), "query_id"), "candidates")
+    """Candidate frame: each query's nearest items x catalogue columns x intent columns.
+
+    Built once per input version: every rank rule reads the same retrieval output.
+    """
+    def build():
+        cat, it = CAT.catalog_typed(spark, sf), intents(spark, sf)
+        items = cat.select("catalog_idx", embedding_text("assessment_name", "description", "test_types", "job_levels").alias("etext"))
+        ivec = cut_lineage(hash_embed(items, "catalog_idx", "etext", DIM), "item-vectors")
+        qvec = cut_lineage(hash_embed(it, "query_id", "query", DIM), "intent-vectors")
+        nn = knn(qvec, ivec, K_CAND, qid="query_id", iid="catalog_idx", normalize=False)
+        nn = nn.select("query_id", F.col("item_id").alias("catalog_idx"), "sim", F.col("rank").alias("pos"))
+        cols = cat.select("catalog_idx", "assessment_name", "assessment_url", "description", "test_types", "duration_minutes", "job_levels")
+        return cut_lineage(nn.join(cols, "catalog_idx", "left").join(it.drop("query", "skills", "soft_skills"), "query_id", "left"), "candidates")
+    return index_artifact(spark, ("candidates", sf), build)
 
 
 def _ids(df, *extra):
@@ -184,7 +190,7 @@ QUERIES = {
 
 # ------------------------------------------------------------------ DuckDB oracle SQL
 TN = CAT.TYPE_NAME
-CTE = f"""{KNN_CTE}, {CAT.SQL_SOURCE},
+CTE = f"""{CAT.SQL_SOURCE},
 cat as (select catalog_idx, assessment_name, assessment_url,
           case when has_detail then description end as description,
           ([{TN.format(c='code1')}] || case when code1 <> code2 then [{TN.format(c='code2')}] else []::varchar[] end
@@ -194,6 +200,14 @@ cat as (select catalog_idx, assessment_name, assessment_url,
 it as (select {', '.join(f'{v} as {k}' for k, v in INTENT_SRC.items())} from customer),
 itv as (select query_id, max_duration_minutes, job_level, query,
           list_filter([t0, t1, t2], lambda x: x is not null) as req from it),
+items as (select *, concat_ws(' ', nullif(assessment_name, ''), nullif(description, ''), nullif(array_to_string(test_types, ' '), ''),
+                        nullif(array_to_string(job_levels, ' '), '')) as etext from cat),
+{sql_hash_cte('iv', 'items', 'catalog_idx', 'etext')},
+{sql_hash_cte('qv', 'it', 'query_id', 'query')},
+dots as (select q.id as query_id, i.id as item_id, sum(q.val * i.val) as dot from qv_v q join iv_v i on q.slot = i.slot group by q.id, i.id),
+pairs as (select it.query_id, cat.catalog_idx as item_id, floor(coalesce(d.dot, 0.0) * 1e9 + 0.5) as sim_fp
+          from it cross join cat left join dots d on d.query_id = it.query_id and d.item_id = cat.catalog_idx),
+nn as (select query_id, item_id, sim_fp / 1e9 as sim, row_number() over (partition by query_id order by sim_fp desc, item_id) as rank from pairs),
 cand as (select nn.query_id, nn.item_id as catalog_idx, nn.sim, nn.rank as pos, cat.assessment_name, cat.assessment_url,
            cat.description, cat.test_types, cat.duration_minutes, cat.job_levels,
            itv.max_duration_minutes, itv.job_level, itv.req
@@ -293,13 +307,13 @@ SQL = {
 }
 
 
-# rerank prompts: instruction + query + intent JSON (Spark's to_json omits NULL fields) + item blocks
+# rerank prompts: instruction + query + indented intent JSON with nulls + item blocks
 
 _INSTR = RERANK_INSTRUCTION.replace("'", "''")
-_INTENT_JSON = ("""concat('{"skills":[],"soft_skills":[]',
-    case when max_duration_minutes is not null then concat(',"max_duration_minutes":', cast(max_duration_minutes as varchar)) else '' end,
-    case when job_level is not null then concat(',"job_level":"', job_level, '"') else '' end,
-    ',"required_test_types":[', array_to_string(list_transform(req, lambda x: concat('"', x, '"')), ','), ']}')""")
+_INTENT_JSON = ("""concat('{', chr(10), '  "skills": [],', chr(10), '  "soft_skills": [],', chr(10), '  "max_duration_minutes": ',
+    coalesce(cast(max_duration_minutes as varchar), 'null'), ',', chr(10), '  "job_level": ', case when job_level is null then 'null' else concat('"', job_level, '"') end, ',', chr(10),
+    '  "required_test_types": ', case when len(req) = 0 then '[]' else concat('[', chr(10),
+        array_to_string(list_transform(req, lambda x: concat('    "', x, '"')), concat(',', chr(10))), chr(10), '  ]') end, chr(10), '}')""")
 _LINE = ("""concat('[', cast(pos - 1 as varchar), '] Name: ', assessment_name, chr(10), 'Description: ', coalesce(description, 'None'),
     chr(10), 'Duration: ', coalesce(cast(duration_minutes as varchar), 'None'), ' mins', chr(10), 'Test Types: ',
     '[', array_to_string(list_transform(test_types, lambda x: concat(chr(39), x, chr(39))), ', '), ']', chr(10))""")

@@ -19,7 +19,7 @@ from rankframe.functions.text import bool_to_yes_no, bm25_text, embedding_text
 from rankframe.functions.vectors import dot
 from rankframe.operators import score as C
 from rankframe.operators.bm25 import bm25_index, bm25_scores, bm25_topk
-from rankframe.operators.evaluate import mean_recall, recall_at_k
+from rankframe.operators.evaluate import group_truth, mean_recall, recall_at_k
 from rankframe.operators.hybrid import merge_first
 from rankframe.operators.knn import hash_embed, knn
 from rankframe.operators.rerank import rerank
@@ -30,6 +30,7 @@ from rankframe.plans import sparse as SP
 from rankframe.plans.common import index_artifact, sql_bm25_cte, sql_hash_cte, t
 from rankframe.plans.ranking import T8
 from rankframe.session import broadcast_if_small, cut_lineage, scratch_path
+from rankframe.sources.tables import read_ground_truth, write_submission
 
 DIM = 64
 WINDOW_BROADCAST_ROWS = 2_000_000
@@ -88,7 +89,7 @@ def recommend(queries: DataFrame, catalog: DataFrame, k_retrieve: int = S.TOP_K_
 
 def to_response(recs: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(query_id, response)``: JSON ``{"recommended_assessments": [...]}`` in rank
-    order; flags from the typed booleans (NULL -> "No"), missing description -> ''."""
+    order; flags from the typed booleans (NULL -> "No"), missing description -> '', missing duration -> null."""
     item = F.struct(F.col("assessment_url").alias("url"), F.col("assessment_name").alias("name"),
                     bool_to_yes_no("adaptive_irt_bool").alias("adaptive_support"),
                     F.coalesce(F.col("description"), F.lit("")).alias("description"),
@@ -97,8 +98,8 @@ def to_response(recs: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.coalesce(F.col("test_types"), F.array().cast("array<string>")).alias("test_type"))
     j = recs.join(catalog, "catalog_idx").select("query_id", "rank", item.alias("item"))
     g = j.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("l"))
-    return g.select("query_id", F.to_json(F.struct(F.transform("l", lambda s: s["item"])
-                                                   .alias("recommended_assessments"))).alias("response"))
+    return g.select("query_id", F.to_json(F.struct(F.transform("l", lambda s: s["item"]).alias("recommended_assessments")),
+                                          {"ignoreNullFields": "false"}).alias("response"))
 
 
 def submission(recs: DataFrame, queries: DataFrame, catalog: DataFrame, k: int = S.FINAL_RESULTS) -> DataFrame:
@@ -136,6 +137,23 @@ def q_submission_rows(spark, sf):
     return submission(r, q, cat)
 
 
+def q_submission_csv(spark, sf):
+    """The submission through its CSV sink, read back."""
+    path = scratch_path(spark, "submission")
+    write_submission(q_submission_rows(spark, sf), path)
+    return read_ground_truth(spark, path)
+
+
+def q_intent_phrases(spark, sf):
+    """I2/I3 on phrases made from every customer: decimals, ranges, several phrases, words that hold a level."""
+    n = "cast(c_custkey % 50 + 2 as string)"
+    text = (f"case c_custkey % 6 when 0 then concat({n}, '.5 hours of coding') when 1 then concat({n}, ' mins and 1 hour coffee') "
+            f"when 2 then 'about an hour, graduates' when 3 then concat({n}, '-99 hours for an executive') "
+            f"when 4 then 'internal role, presenior' else concat('Senior engineer, ', {n}, ' to 60 minutes') end")
+    q = t(spark, sf, "customer").selectExpr("c_custkey", f"{text} as text")
+    return q.select("c_custkey", parse_max_duration("text").alias("minutes"), parse_job_level("text").alias("level"))
+
+
 def q_stage_counts(spark, sf):
     """One row per stage with its row count (union of one-row aggregates)."""
     cat = CAT.catalog_typed(spark, sf)
@@ -164,7 +182,8 @@ def q_intent_level(spark, sf):
 REPLY = ("case when c_custkey % 13 = 0 then 'not json {' "
          "when c_custkey % 4 = 0 then concat('{\"required_test_types\": [\"', {t0}, '\", \"Unknown\"]}') "
          "else concat('{\"skills\": [\"', lower(c_mktsegment), '\"], \"soft_skills\": [], \"max_duration_minutes\": ', "
-         "cast(10 + c_custkey % 50 as string), ', \"job_level\": \"Senior\", \"required_test_types\": [\"', {t0}, "
+         "case when c_custkey % 6 = 1 then '\"' when c_custkey % 6 = 3 then '' else '' end, cast(10 + c_custkey % 50 as string), "
+         "case when c_custkey % 6 = 1 then '\"' when c_custkey % 6 = 3 then '.0' when c_custkey % 6 = 5 then '.5' else '' end, ', \"job_level\": \"Senior\", \"required_test_types\": [\"', {t0}, "
          "'\", \"', {t1}, '\", \"Unknown\", \"', {t0}, '\"]}') end").replace(
     "{t0}", T8.format(x="c_custkey")).replace("{t1}", T8.format(x="(c_custkey + 1)"))
 
@@ -207,16 +226,18 @@ def q_mean_recall_rrf(spark, sf):
 
 
 def q_group_truth(spark, sf):
-    """A1: truth per query as counts and bounds (aggregated, never collected into one list)."""
-    truth = SP.passage_truth(spark, sf)
-    return truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_truth"), F.min("item_id").alias("first_doc"),
-                                         F.max("item_id").alias("last_doc"))
+    """A1: each query's truth list (bounded by its labels), told by its size, first and last entry."""
+    lists = group_truth(SP.passage_truth(spark, sf), "query_id", "item_id", pos_col="item_id")
+    return lists.select("query_id", F.size("urls").cast("long").alias("n_truth"), F.element_at("urls", 1).alias("first_doc"),
+                        F.element_at("urls", -1).alias("last_doc"))
 
 
 QUERIES = {
     "recommend_cascade": q_recommend_cascade,
     "response_json": q_response_json,
     "submission_rows": q_submission_rows,
+    "submission_csv": q_submission_csv,
+    "intent_phrases": q_intent_phrases,
     "stage_counts": q_stage_counts,
     "intent_types": q_intent_types,
     "intent_duration": q_intent_duration,
@@ -236,14 +257,12 @@ def _sql_types():
     return f"concat_ws('|', {', '.join(parts)})"
 
 
-def _sql_duration():
-    parts = []
-    for p, g, mult in I.DURATION_RULES:
-        if g is None:
-            parts.append(f"case when regexp_matches(lower(coalesce(text, '')), '{p}') then {mult} end")
-        else:
-            parts.append(f"try_cast(nullif(regexp_extract(lower(coalesce(text, '')), '{p}', {g}), '') as integer) * {mult}")
-    return f"cast(coalesce({', '.join(parts)}) as integer)"
+def _sql_duration(text="text"):
+    low, g = f"lower(coalesce({text}, ''))", I.DURATION_GROUPS
+    get = lambda k: f"regexp_extract({low}, '{I.DURATION}', {g[k]})"
+    number = f"try_cast(coalesce(nullif({get('to')}, ''), nullif({get('from')}, '')) as double)"
+    return (f"case when {get('word')} <> '' then 60 else try_cast(floor(case when {get('unit')} = 'min' then {number} "
+            f"else {number} * 60 end) as integer) end")
 
 
 def _sql_level():
@@ -273,11 +292,11 @@ SQL = {
         p as (select query_id,
                 coalesce(from_json(json_extract(j, '$.skills'), '["VARCHAR"]'), []) as skills,
                 coalesce(from_json(json_extract(j, '$.soft_skills'), '["VARCHAR"]'), []) as soft_skills,
-                cast(json_extract(j, '$.max_duration_minutes') as integer) as max_duration_minutes,
+                try_cast(json_extract_string(j, '$.max_duration_minutes') as double) as minutes,
                 json_extract_string(j, '$.job_level') as job_level,
                 coalesce(from_json(json_extract(j, '$.required_test_types'), '["VARCHAR"]'), []) as req from j)
         select query_id, array_to_string(skills, '|') as skills, array_to_string(soft_skills, '|') as soft_skills,
-               max_duration_minutes, job_level,
+               case when minutes = floor(minutes) then cast(minutes as integer) end as max_duration_minutes, job_level,
                array_to_string(list_filter(req, lambda x, i: list_position(req, x) = i and list_contains({ALLOWED_SQL}, x)), '|')
                  as required_test_types from p""",
     "mean_recall": _recall_sql("partition by query_id, item_id order by source, pos", "order by source, pos"),
@@ -345,7 +364,7 @@ win as (select * from (select query_id, catalog_idx, row_number() over (partitio
         where pos <= 20),
 cand as (select w.query_id, w.catalog_idx, w.pos, floor(coalesce(d.dot, 0.0) * 1e9 + 0.5) / 1e9 as sim,
            c.test_types, c.duration_minutes, c.job_levels,
-           {_sql_duration().replace('text', 'u.query')} as max_duration_minutes,
+           {_sql_duration('u.query')} as max_duration_minutes,
            {_sql_level().replace('text', 'u.query')} as job_level,
            {_sql_types_list('u.query')} as req
          from win w join items c using (catalog_idx) join users u using (query_id)
@@ -380,9 +399,14 @@ SQL["response_json"] = f"""with {REC_CTE},
     js as (select query_id, rank, concat('{{"url":"', assessment_url, '","name":"', assessment_name,
                   '","adaptive_support":"', case when adaptive_irt = 'Yes' then 'Yes' else 'No' end,
                   '","description":"', description, '"',
-                  case when duration_minutes is not null then concat(',"duration":', cast(duration_minutes as varchar)) else '' end,
+                  ',"duration":', coalesce(cast(duration_minutes as varchar), 'null'),
                   ',"remote_support":"', case when remote_testing = 'Yes' then 'Yes' else 'No' end,
                   '","test_type":[', array_to_string(list_transform(test_types, lambda x: concat('"', x, '"')), ','), ']}}') as j
            from it)
     select query_id, concat('{{"recommended_assessments":[', string_agg(j, ',' order by rank), ']}}') as response
     from js group by query_id"""
+SQL["submission_csv"] = f"""select "Query", "Assessment_url" from ({SQL['submission_rows']})"""
+SQL["intent_phrases"] = """select c_custkey,
+    cast(case c_custkey % 6 when 0 then (c_custkey % 50 + 2) * 60 + 30 when 1 then c_custkey % 50 + 2 when 2 then 60 when 3 then 99 * 60
+         when 5 then 60 end as integer) as minutes,
+    case c_custkey % 6 when 2 then 'Entry-level' when 3 then 'Executive' when 5 then 'Senior' end as level from customer"""

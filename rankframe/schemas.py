@@ -28,8 +28,6 @@ ALLOWED_TEST_TYPES = [
     "Biodata & Situational Judgement",
     "Development & 360",
 ]
-# Job levels named for the intent's job_level field.
-JOB_LEVELS = ["Entry-level", "Mid-Professional", "Senior", "Executive"]
 # Canonical-bonus keywords and role words of the keyword-bias experiment.
 CANONICAL_KEYWORDS = ["verify", "verbal", "numerical", "inductive", "english comprehension", "opq",
                       "personality questionnaire"]
@@ -37,7 +35,6 @@ ROLE_PLUS_WORDS = ["professional"]
 ROLE_MINUS_WORDS = ["manager", "supervisor", "team lead"]
 # Listing-page constants.
 LISTING_CATEGORY = "Individual Test Solutions"
-LISTING_PAGE_SIZE = 12
 # Labels of the detail-page blocks.
 DETAIL_LABELS = {"description": "Description", "job_levels": "Job levels", "languages": "Languages",
                  "assessment_length": "Assessment length"}
@@ -51,24 +48,6 @@ BM25_B = 0.75
 BM25_EPSILON = 0.25
 # ---------------------------------------------------------------------------
 
-RAW_LISTING = T.StructType([
-    T.StructField("category", T.StringType()),
-    T.StructField("assessment_id", T.StringType()),
-    T.StructField("assessment_name", T.StringType()),
-    T.StructField("assessment_url", T.StringType()),
-    T.StructField("remote_testing", T.StringType()),
-    T.StructField("adaptive_irt", T.StringType()),
-    T.StructField("test_type_codes", T.ArrayType(T.StringType())),
-])
-
-DETAIL_FIELDS = T.StructType([
-    T.StructField("assessment_url", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("job_levels", T.StringType()),
-    T.StructField("languages", T.StringType()),
-    T.StructField("assessment_length", T.StringType()),
-])
-
 CATALOG = T.StructType([
     T.StructField("catalog_idx", T.LongType()),
     T.StructField("category", T.StringType()),
@@ -96,16 +75,6 @@ INTENT = T.StructType([
     T.StructField("required_test_types", T.ArrayType(T.StringType())),
 ])
 
-RESPONSE_ITEM = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("adaptive_support", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("duration", T.IntegerType()),
-    T.StructField("remote_support", T.StringType()),
-    T.StructField("test_type", T.ArrayType(T.StringType())),
-])
-
 GROUND_TRUTH = T.StructType([
     T.StructField("Query", T.StringType()),
     T.StructField("Assessment_url", T.StringType()),

@@ -16,11 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed HTML pages ``(page_id, url, html)``; fetching is not part of this library."""
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-
-
 def require_columns(df: DataFrame, cols, what: str = "input") -> DataFrame:
     """Raise ``ValueError`` when a required column is missing (checked on the schema, no job)."""
     missing = [c for c in cols if c not in df.columns]
@@ -47,9 +42,12 @@ def write_catalog_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_catalog_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON scan; ``multiLine`` would also take a single JSON array."""
-    return spark.read.schema(schema or S.CATALOG).json(path)
+def read_catalog_json(spark: SparkSession, path: str, schema=None, array: bool = False) -> DataFrame:
+    """JSON scan: one record per line, or (``array``) files that each hold one JSON array.
+
+    A file of the other kind, or a broken record, fails the read instead of giving NULL rows.
+    """
+    return (spark.read.schema(schema or S.CATALOG).option("multiLine", array).option("mode", "FAILFAST").json(path))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankframe.session import scratch_scope
+
 CONVERSATIONS = T.StructType([
     T.StructField("conv_id", T.LongType()),
     T.StructField("turn", T.LongType()),
@@ -42,8 +44,9 @@ def recommend_stream(stream: DataFrame, catalog: DataFrame, sink: str, checkpoin
         # duration only (recomputable from the source offsets if an executor is lost)
         batch.persist()
         try:
-            recs = recommend(batch, catalog, prepared=prepared)
-            recs.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            with scratch_scope(batch.sparkSession):
+                recs = recommend(batch, catalog, prepared=prepared)
+                recs.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

@@ -112,5 +112,7 @@ def test_embedding_text(spark):
 def test_resolve_url(spark):
     from urllib.parse import urljoin
     base = "https://www.example.com"
-    vals = ["/products/x/", "https://other.example/y", "//cdn.example/z", "rel/p", ""]
-    assert one(spark, vals, lambda c: TX.resolve_url(c, base)) == [urljoin(base, v) for v in vals]
+    vals = ["/products/x/", "https://other.example/y", "//cdn.example/z", "rel/p", "", "#top", "?q=1", "../a", "./b/../c/", "..", ".",
+            "a//b", "/a/./b/../../c?x=../y#z", "../../../d", "/..", "a/..", "x?y=/../z"]
+    for base in (base, base + "/", base + "/dir/page?x=1#f", base + "/a/b/c/"):
+        assert one(spark, vals, lambda c: TX.resolve_url(c, base)) == [urljoin(base, v) for v in vals]

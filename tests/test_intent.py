@@ -34,3 +34,18 @@ def test_parse_intent_json(spark):
     assert rows[0].required_test_types == ["Simulations"] and rows[0].job_level == "Senior"
     assert rows[1].required_test_types == [] and rows[1].max_duration_minutes is None
     assert rows[2].max_duration_minutes == 30 and rows[2].skills == []
+
+
+def test_phrases(spark):
+    given = [("1.5 hours", 90, None), ("30 mins and 1 hour coffee", 30, None), ("internal role", None, None), ("presenior", None, None),
+             ("30 to 40 minutes", 40, None), ("a 90-minute test for interns", 90, "Entry-level"), ("1 - 2 hrs", 120, None), (None, None, None)]
+    df = spark.createDataFrame([(g[0],) for g in given], "q string")
+    rows = df.select(parse_max_duration("q").alias("d"), parse_job_level("q").alias("l")).collect()
+    assert [(r.d, r.l) for r in rows] == [(d, l) for _, d, l in given]
+
+
+def test_minutes_in_replies(spark):
+    given = [('{"max_duration_minutes": "40"}', 40), ('{"max_duration_minutes": 40.0}', 40), ('{"max_duration_minutes": 40.5}', None),
+             ('{"max_duration_minutes": "soon"}', None), ('{"max_duration_minutes": null}', None)]
+    df = spark.createDataFrame([(g[0],) for g in given], "r string")
+    assert [r[0] for r in df.select(parse_intent_json("r").max_duration_minutes).collect()] == [m for _, m in given]

@@ -156,3 +156,35 @@ def test_bm25_scoring_paths_agree(spark):
     assert "Union" in passes._jdf.queryExecution().executedPlan().toString()
     assert sorted(passes.collect()) == full
     assert sorted(shuffled.collect()) == full
+
+
+def test_padded_topk_ranks_negative_scores_last(spark):
+    """Words that most items share have a negative idf; the floor takes the sign of their mean."""
+    from rankframe.operators.bm25 import bm25_topk_padded
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a b c"), (4, "zzz")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, "zzz"), (3, "none")], "query_id long, query string")
+    idx = bm25_index(docs, "doc_id", "text")
+    scores = bm25_scores(queries, idx).cache()
+    raw = {(r.query_id, r.item_id): r.score for r in scores.collect()}
+    for k in (1, 2, 4, 9):
+        got = bm25_topk_padded(scores, queries, docs, "doc_id", k).collect()
+        for q in (1, 2, 3):
+            want = sorted(((-raw.get((q, d), 0.0), d) for d in (1, 2, 3, 4)))[:k]
+            assert [(-r.score, r.item_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_item_ids_must_be_unique(spark):
+    import pytest
+    docs = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        bm25_index(docs, "doc_id", "text")
+
+
+def test_scoring_shuffles_nothing_before_the_cut(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "common w1"), (2, "w2")], "query_id long, query string")
+    idx = bm25_index(docs, "doc_id", "text")
+    from rankframe.operators.bm25 import bm25_topk
+    plan = bm25_topk(bm25_scores(queries, idx), 5)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("query_id" in line and "item_id" in line for line in exchanges) == 0, plan

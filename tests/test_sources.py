@@ -50,3 +50,11 @@ def test_submission_csv_is_ordered_and_quoted(spark):
                 out.extend(r[1:])
     assert [u for _, u in out] == ["u1", "u3", "u2", "u4"]
     assert out[2][0] == 'say "hi", then\nleave'
+
+
+def test_json_array_needs_its_option(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[\n  {"catalog_idx": 1, "assessment_name": "a"},\n  {"catalog_idx": 2}\n]')
+    path = str(tmp_path)
+    assert [r.catalog_idx for r in T.read_catalog_json(spark, path, array=True).orderBy("catalog_idx").collect()] == [1, 2]
+    with pytest.raises(Exception):
+        T.read_catalog_json(spark, path).collect()
