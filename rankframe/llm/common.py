@@ -88,20 +88,20 @@ _ROW_BITS = 15
 
 
 def key_bitmap(keys: DataFrame, key: Column) -> DataFrame:
-    """A bitmap of fixed size that misses no key: rows (bitmap_row, bits)."""
+    """A bitmap of fixed size that misses no key: rows (_bitmap_row, _bits)."""
     pos = keys.select(F.pmod(key, F.lit(1 << BITMAP_BITS)).alias("pos"))
-    return (pos.groupBy(F.shiftright("pos", _ROW_BITS).alias("bitmap_row"))
-            .agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND((1 << _ROW_BITS) - 1)).alias("bits")))
+    return (pos.groupBy(F.shiftright("pos", _ROW_BITS).alias("_bitmap_row"))
+            .agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_bits")))
 
 
 def in_bitmap(rows: DataFrame, bitmap: DataFrame, key: Column, out: str) -> DataFrame:
     """``rows`` with a column that is false only where ``key`` (64-bit hashes) is surely not among the bitmap's keys."""
     rows = rows.withColumn("_pos", F.pmod(key, F.lit(1 << BITMAP_BITS)))
-    rows = rows.join(F.broadcast(bitmap), F.shiftright("_pos", _ROW_BITS) == F.col("bitmap_row"), "left")
+    rows = rows.join(F.broadcast(bitmap), F.shiftright("_pos", _ROW_BITS) == F.col("_bitmap_row"), "left")
     bit = F.col("_pos").bitwiseAND((1 << _ROW_BITS) - 1)
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
-    return rows.withColumn(out, found).drop("_pos", "bitmap_row", "bits")
+    return rows.withColumn(out, found).drop("_pos", "_bitmap_row", "_bits")
 
 
 def without(docs: DataFrame, touched: DataFrame, id_col: str, text_col: str, hash_of) -> DataFrame:

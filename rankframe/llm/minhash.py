@@ -127,9 +127,14 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def _fullness(buckets: DataFrame) -> DataFrame:
-    """Buckets of two members or more, with each member's fullness: members it shares buckets with, over all buckets."""
+    """Buckets of two members or more, with each member's fullness: members it shares buckets with, over all buckets.
+
+    Most buckets hold one text; a bitmap of fixed size keeps those that surely do out of the shuffles.
+    """
     size = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = buckets.join(size, "bucket")
+    size = cut_lineage(size, "near-sizes")
+    some = in_bitmap(buckets, key_bitmap(size, F.col("bucket")), F.col("bucket"), "maybe").filter("maybe").drop("maybe")
+    shared = cut_lineage(some.join(size, "bucket"), "near-shared")
     per = shared.groupBy("node").agg(F.sum("members").alias("fullness")).withColumnRenamed("node", "f_node")
     return shared.join(per, F.col("node") == F.col("f_node")).select("bucket", "node", "fullness")
 
@@ -185,30 +190,43 @@ def _sampler(idf: np.ndarray) -> Sampler:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node of ``links`` (a, b) is connected with.
 
-    Rounds of taking the neighbours' smallest label and then that label's own label, until nothing
-    changes; each round is a written table.
+    In each round a node hears the labels of its neighbours and of the node its own label names, and
+    takes the smallest, until nothing changes: about as many rounds as the logarithm of the longest
+    path, each one join, one aggregation and one written table.
     """
     edges = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "near-edges")
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = cut_lineage(labels, "near-labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("n_node"), F.col("label").alias("n_label")), F.col("b") == F.col("n_node"))
-        near = near.groupBy(F.col("a").alias("m_node")).agg(F.min("n_label").alias("m_label"))
-        lower = labels.join(near, F.col("node") == F.col("m_node")).select("node", F.col("label").alias("old"), F.least("label", "m_label").alias("label"))
-        lower = cut_lineage(lower, "near-lower")
-        if not lower.filter("label <> old").limit(1).count():
+        hears = edges.select("a", "b").union(labels.select(F.col("label"), F.col("node")))
+        heard = hears.join(labels.select(F.col("node").alias("n_node"), "label"), F.col("a") == F.col("n_node"))
+        every = heard.select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("own")).union(
+            labels.select("node", "label", F.col("label").alias("own")))
+        now = cut_lineage(every.groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("old")), "near-labels")
+        labels = now.select("node", "label")
+        if now.filter("label <> old").isEmpty():
             return labels
-        jump = lower.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        labels = lower.join(jump, F.col("label") == F.col("j_node"), "left").select("node", F.least("label", F.coalesce("j_label", "label")).alias("label"))
-        labels = cut_lineage(labels, "near-labels")
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links between nodes that have one or none yet: only the classes they touch are worked on."""
+    ends = [links.join(labels.select(F.col("node").alias("n_node"), F.col("label").alias(to)), F.col(end) == F.col("n_node"), "left")
+            .select("a", "b", F.coalesce(to, end).alias(to)) for end, to in (("a", "la"), ("b", "lb"))]
+    both = ends[0].join(ends[1], ["a", "b"])
+    merged = components(both.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = merged.select(F.col("node").alias("old_label"), F.col("label").alias("new_label"))
+    named = labels.union(both.select(F.col("a").alias("node"), F.col("la").alias("label"))).union(both.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
+    named = named.join(merged, F.col("label") == F.col("old_label"), "left")
+    return cut_lineage(named.select("node", F.coalesce("new_label", "label").alias("label")), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
-    """One row per row of ``docs``: the id, class_id (smallest id of the class), class_size, links, kept.
+    """One row per row of ``docs``: the id, class_id (smallest id of the class), class_size, found_links, kept, node (hash of the text).
 
     Equal texts are one node, whatever their number.  Texts without words (null, empty, blank) are
-    alike only when equal; null counts as empty.  ``links`` is how many other texts were found
-    similar to the row's.  The smallest id of a class is kept, null ids before others; rows that
-    repeat an id and text are both kept or both not.  An empty table gives no rows; other columns of ``docs`` are ignored.
+    alike only when equal; null counts as empty.  ``found_links`` counts the links found with
+    the row's text: at least one in a class of several texts, not all of a large class.  The smallest id of a class is kept (a null one only where it has no other);
+    rows that repeat an id and text are both kept or both not.  An empty table gives no rows; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -252,20 +270,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if new.isEmpty():
             break
         links = links.union(new)
-        labels = components(links)
+        labels = joined_labels(labels, new)
     ends = links.select(F.col("a").alias("e_node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     degree = ends.groupBy("e_node").agg(F.count("*").alias("links"))
     labels = labels.withColumnRenamed("node", "c_node")
     classed = (nodes.join(labels, F.col("node") == F.col("c_node"), "left").join(degree, F.col("node") == F.col("e_node"), "left")
-               .select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+               .select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("found_links")))
     classed = cut_lineage(classed, "near-classes")
     whole = classed.groupBy(F.col("label").alias("w_label")).agg(
-        F.min(F.struct("rep", F.col("node").alias("w_node"))).alias("first"), F.sum("copies").alias("class_size"))
+        F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("node").alias("w_node"))).alias("first"), F.sum("copies").alias("class_size"))
     found = classed.join(whole, F.col("label") == F.col("w_label")).select(
-        F.col("node").alias("d_node"), "links", "class_size", F.col("first.rep").alias("class_id"), F.col("first.w_node").alias("first_node"))
+        F.col("node").alias("d_node"), "found_links", "class_size", F.col("first.rep").alias("class_id"), F.col("first.w_node").alias("first_node"))
     rows = texts.select("id", "node").join(found, F.col("node") == F.col("d_node"))
     kept = (F.col("node") == F.col("first_node")) & F.col("id").eqNullSafe(F.col("class_id"))
-    return rows.select(F.col("id").alias(id_col), "class_id", "class_size", "links", kept.alias("kept"), "node")
+    return rows.select(F.col("id").alias(id_col), "class_id", "class_size", "found_links", kept.alias("kept"), "node")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
