@@ -60,6 +60,7 @@ class WordBpe:
         self.find_in_lines = regex.compile(PIECES + "|\n").findall
         self.find_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
         self.memory: dict[str, tuple[bytes, str]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, NONE where there is no merge (or a symbol is below 0)."""
@@ -214,8 +215,12 @@ class WordBpe:
         if not unicodedata.is_normalized("NFC", lines):
             lines = unicodedata.normalize("NFC", lines)
         pieces, out, own = self.find_in_lines(lines.replace("Σ", "σ").lower()), [], []
-        distinct = list(set(pieces) - {"\n"})
-        ids = dict(zip(distinct, map(self.encode_words([p.encode() for p in distinct]).__getitem__, [p.encode() for p in distinct])))
+        ids = self.pieces
+        if len(ids) > REMEMBERED:
+            ids.clear()
+        distinct = [p for p in set(pieces) if p not in ids and p != "\n"]
+        raw = [p.encode() for p in distinct]
+        ids.update(zip(distinct, map(self.encode_words(raw).__getitem__, raw)))
         for p in pieces:
             if p == "\n":
                 out.append(own)

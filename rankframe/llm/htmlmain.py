@@ -40,7 +40,8 @@ OTHER_WORDS = [{"ad", "ads", "advert", "adverts", "advertisement", "advertising"
                {"cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "dialog", "warning", "message"},
                {"comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "thread"},
                {"share", "social", "newsletter", "subscribe", "signup", "login", "search", "form", "register", "follow"}]
-N_FEATURES = len(GROUPS) + 2 + len(OTHER_WORDS) + 7
+MAIN, ASIDE = GROUPS[0], set().union(*GROUPS[7:12])
+N_FEATURES = len(GROUPS) + 2 + len(OTHER_WORDS) + 11
 
 
 @dataclass
@@ -135,7 +136,9 @@ def parse(source: str) -> Page:
 
 
 def features(page: Page) -> np.ndarray:
-    """Of each node: element group, words of class, id and role, and its own text."""
+    """Of each node: element group, words of class, id and role, its own text, and where it stands:
+    inside or outside of the page's article elements, inside what is named like an aside, and the
+    share of the page's text that its parent's children hold."""
     n = len(page.tag)
     x, chars, runs, stops = np.zeros((n, N_FEATURES)), np.zeros(n), np.zeros(n), np.zeros(n)
     for node, t in page.runs:
@@ -157,6 +160,17 @@ def features(page: Page) -> np.ndarray:
     x[:, at + 4] = stops > 0
     x[:, at + 5] = np.log1p(stops) / 2
     x[:, at + 6] = chars == 0
+    other = x[:, len(GROUPS) + 2:at].any(1) | np.array([t in ASIDE for t in page.tag])
+    main, aside, held = np.array([t in MAIN for t in page.tag]) & ~other, other.copy(), np.zeros(n)
+    for i in range(1, n):
+        up = page.parent[i]
+        main[i] |= main[up]
+        aside[i] |= aside[up]
+        held[up] += chars[i]
+    x[:, at + 7] = main
+    x[:, at + 8] = ~main & main.any()
+    x[:, at + 9] = aside
+    x[1:, at + 10] = (held / max(chars.sum(), 1))[np.array(page.parent[1:], np.int64)]
     return x
 
 

@@ -106,7 +106,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
             before, candidate = words(r.randint(0, 5)) + " " + r.choice(named) + r.choice(given), r.choice(issued)()
         else:
             before, candidate = r.choice(harmless)()
-        out.append({"candidate": candidate, "before": before[-BEFORE:], "after": r.choice(('" ', '"', " ", "\n", "' ", "")) + words(1)[:8], "label": i % 2})
+        out.append({"candidate": candidate, "before": before[-BEFORE:], "after": r.choice(('" ', '"', " ", "\n", "' ", ", ")) + words(1)[:8], "label": i % 2})
     return out
 
 
