@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import NEAR, add_by_text, arrow_slices, cut_lineage, in_bitmap, key_bitmap, text_of, without
+from rankframe.llm.common import NEAR, add_by_text, arrow_slices, cut_lineage, in_bitmap, key_bitmap, shuffle_width, text_of, without
 from rankframe.llm.shingles import mix64, shingles
 
 BANDS, ROWS = 16, 4
@@ -119,6 +119,11 @@ class Sampler:
         return np.where(whole > 0, shared / np.where(whole > 0, whole, 1), 1.0)
 
 
+def _table(rows: DataFrame, name: str) -> DataFrame:
+    """A written table of keys, ranks or links: far smaller than the texts, so a task takes eight shuffle partitions."""
+    return cut_lineage(rows.coalesce(max(8, shuffle_width(rows.sparkSession) // 8)), name)
+
+
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, node) for every band and every two adjacent bands; texts without shingles are in none."""
     pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.get("bands", i), F.get("bands", (i + 1) % BANDS), i, F.lit(2)))
@@ -132,9 +137,9 @@ def _fullness(buckets: DataFrame) -> DataFrame:
     Most buckets hold one text; a bitmap of fixed size keeps those that surely do out of the shuffles.
     """
     size = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    size = cut_lineage(size, "near-sizes")
+    size = _table(size, "near-sizes")
     some = in_bitmap(buckets, key_bitmap(size, F.col("bucket")), F.col("bucket"), "maybe").filter("maybe").drop("maybe")
-    shared = cut_lineage(some.join(size, "bucket"), "near-shared")
+    shared = _table(some.join(size, "bucket"), "near-shared")
     per = shared.groupBy("node").agg(F.sum("members").alias("fullness")).withColumnRenamed("node", "f_node")
     return shared.join(per, F.col("node") == F.col("f_node")).select("bucket", "node", "fullness")
 
@@ -151,7 +156,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sampler, lea
     """The pairs whose texts are similar enough.  Only texts of candidates are shuffled, in shares per leader."""
     spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(nodes.join(ids, "node", "left_semi").select("node", "rep"), "near-wanted")
+    wanted = _table(nodes.join(ids, "node", "left_semi").select("node", "rep"), "near-wanted")
     rep_key = F.xxhash64("node", F.col("rep"))
     some = in_bitmap(texts, key_bitmap(wanted, rep_key), F.xxhash64("node", "id"), "maybe").filter("maybe").select("node", "id", "text")
     wanted = wanted.select(F.col("node").alias("w_node"), "rep")
@@ -194,15 +199,15 @@ def components(links: DataFrame) -> DataFrame:
     takes the smallest, until nothing changes: about as many rounds as the logarithm of the longest
     path, each one join, one aggregation and one written table.
     """
-    edges = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "near-edges")
+    edges = _table(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "near-edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut_lineage(labels, "near-labels")
+    labels = _table(labels, "near-labels")
     while True:
         hears = edges.select("a", "b").union(labels.select(F.col("label"), F.col("node")))
         heard = hears.join(labels.select(F.col("node").alias("n_node"), "label"), F.col("a") == F.col("n_node"))
         every = heard.select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("own")).union(
             labels.select("node", "label", F.col("label").alias("own")))
-        now = cut_lineage(every.groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("old")), "near-labels")
+        now = _table(every.groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("old")), "near-labels")
         labels = now.select("node", "label")
         if now.filter("label <> old").isEmpty():
             return labels
@@ -217,7 +222,7 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = merged.select(F.col("node").alias("old_label"), F.col("label").alias("new_label"))
     named = labels.union(both.select(F.col("a").alias("node"), F.col("la").alias("label"))).union(both.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
     named = named.join(merged, F.col("label") == F.col("old_label"), "left")
-    return cut_lineage(named.select("node", F.coalesce("new_label", "label").alias("label")), "near-labels")
+    return _table(named.select("node", F.coalesce("new_label", "label").alias("label")), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
@@ -246,10 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = texts.withColumn("has_shingles", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     signed = add_by_text(signed, "text", {"bands": "array<bigint>"}, start, 1 << 19, keep_text=False)
     nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("has_shingles").alias("has_shingles"))
-    nodes = cut_lineage(nodes, "near-nodes")
-    members = cut_lineage(_fullness(_bucket_rows(nodes)), "near-buckets")
-    pairs = cut_lineage(_leader_pairs(members), "near-pairs")
-    links = cut_lineage(_verified(pairs, nodes, texts, shared, least), "near-links")
+    nodes = _table(nodes, "near-nodes")
+    members = _table(_fullness(_bucket_rows(nodes)), "near-buckets")
+    pairs = _table(_leader_pairs(members), "near-pairs")
+    links = _table(_verified(pairs, nodes, texts, shared, least), "near-links")
     tried, labels = pairs, components(links)
     while True:
         # buckets whose members are in several classes by now: the next leader is the fullest one outside the last leader's class
@@ -262,10 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         second = second.select(F.col("bucket").alias("s_bucket"), F.col("top.node").alias("a"), F.col("top.label").alias("a_label"))
         more = rest.join(second, F.col("bucket") == F.col("s_bucket")).filter("label <> a_label").select("a", F.col("node").alias("b")).distinct()
         seen = tried.select(F.least("a", "b").alias("s_a"), F.greatest("a", "b").alias("s_b"))
-        more = cut_lineage(more.join(seen, (F.least("a", "b") == F.col("s_a")) & (F.greatest("a", "b") == F.col("s_b")), "left_anti"), "near-more")
+        more = _table(more.join(seen, (F.least("a", "b") == F.col("s_a")) & (F.greatest("a", "b") == F.col("s_b")), "left_anti"), "near-more")
         if more.isEmpty():
             break
-        new = cut_lineage(_verified(more, nodes, texts, shared, least), "near-links")
+        new = _table(_verified(more, nodes, texts, shared, least), "near-links")
         tried = tried.union(more)
         if new.isEmpty():
             break
@@ -276,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = labels.withColumnRenamed("node", "c_node")
     classed = (nodes.join(labels, F.col("node") == F.col("c_node"), "left").join(degree, F.col("node") == F.col("e_node"), "left")
                .select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("found_links")))
-    classed = cut_lineage(classed, "near-classes")
+    classed = _table(classed, "near-classes")
     whole = classed.groupBy(F.col("label").alias("w_label")).agg(
         F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("node").alias("w_node"))).alias("first"), F.sum("copies").alias("class_size"))
     found = classed.join(whole, F.col("label") == F.col("w_label")).select(
@@ -291,4 +296,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     found = near_duplicates(docs, id_col, text_col, least).filter("class_size > 1")
     touched = (found.groupBy(F.col(id_col).alias("id"), F.col("node").alias("hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
                .filter("NOT stays OR n > 1").drop("n"))
-    return without(docs, cut_lineage(touched, "near-touched"), id_col, text_col, lambda text: F.unhex(F.md5(text)))
+    return without(docs, _table(touched, "near-touched"), id_col, text_col, lambda text: F.unhex(F.md5(text)))

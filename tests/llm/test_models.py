@@ -112,16 +112,19 @@ def brute_base(rows, training):
     return {i: (len(ts), sum(count[w] > 0 for w in ts), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ts)) for i, ts in tokens.items()}
 
 
-def test_lm_query(spark):
-    got = {r.doc_id: r for r in queries.op4_lm_score(spark, SMALL).collect()}
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    want = brute_base([(d.doc_id, d.text) for d in docs], lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+def test_lm_scores(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    training = F.coalesce(crc_bucket("doc_id", 7) != 2, F.lit(True))
+    model = lm.train(docs, queries.word_bpe_path(), training, steps=150)
+    got = {r.doc_id: r for r in lm.score(docs, model, training).collect()}
+    rows = docs.collect()
+    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    want = brute_base([(d.doc_id, d.text) for d in rows], train)
     for i, (n, known, total, base) in want.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base)
         assert r.score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for i, r in got.items() if train(i)) > sum(r.base_score for i, r in got.items() if train(i))
 
 
 def test_lm_of_odd_rows(spark):
