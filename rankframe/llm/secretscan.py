@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankframe.llm.common import text_of
 
 _CHARS = r"A-Za-z0-9_+/.\-"
-CANDIDATE = rf"(?<![{_CHARS}=])[{_CHARS}]{{16,}}+={{0,2}}"
+CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}+={{0,2}}"
 BEFORE, AFTER = 48, 16
 
 # Words of the neighbourhood, of made-up secrets, and frequent letter pairs.
