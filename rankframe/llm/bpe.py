@@ -22,7 +22,7 @@ from rankframe.llm.common import add_by_text
 NONE = np.int32(2**31 - 1)
 SHORT = 64
 #: Distinct chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 # Fixed values of the vocabulary file's normaliser and splitter (white space as its regular expressions see it).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -169,8 +169,8 @@ class WordBpe:
             else:
                 by.setdefault(max(len(w) - 1, 1).bit_length(), []).append(w)
         for same in by.values():
-            for at in range(0, len(same), 20_000):
-                part = same[at:at + 20_000]
+            for at in range(0, len(same), 4_000):
+                part = same[at:at + 4_000]
                 out.update(zip(part, self.encode_short(part)))
         return out
 

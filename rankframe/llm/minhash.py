@@ -29,7 +29,7 @@ SAMPLES = BANDS * ROWS
 SLOT_BITS = 16
 SMOOTH = 0.05
 #: Rows of the table of random draws; a shingle's draws are those of its hash's row.
-DRAW_BITS = 16
+DRAW_BITS = 15
 SEED = 41
 #: At most so many pairs of one text meet in one task of the verification.
 _PAIRS_PER_SALT = 64
