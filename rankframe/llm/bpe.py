@@ -39,6 +39,22 @@ def byte_symbols() -> list[str]:
     return [at[b] for b in range(256)]
 
 
+# Code points that the installed regular expressions know as letters or numbers but the
+# vocabulary's splitter does not (first-last), and lower-case forms newer than Python's own.
+NEWER = ("558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d "
+         "107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f "
+         "12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 "
+         "1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 "
+         "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f")
+LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
+LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
+def newer_characters() -> str:
+    """NEWER as the inside of a character class."""
+    return "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (r.split("-") for r in NEWER.split()))
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file (JSON text)."""
 
@@ -56,12 +72,18 @@ class WordBpe:
         self.keys = np.array(keys, np.int64)
         self.ranks = np.array([self.table[k][0] for k in keys], np.int32)
         self.merged = np.array([vocab[a + b] for a, b in spec["model"]["merges"]], np.int64)
-        self.find_pieces = regex.compile(PIECES).findall
-        self.find_in_lines = regex.compile(PIECES + "|\n").findall
+        self.newer = regex.compile(f"[{newer_characters()}]")
+        known = PIECES.replace(r"\p{L}+", rf"(?:(?![{newer_characters()}])\p{{L}})+").replace(r"|\p{N}|", rf"|(?![{newer_characters()}])\p{{N}}|")
+        known = known[:known.rindex("[^")] + f"(?:[{newer_characters()}]|" + known[known.rindex("[^"):-1] + ")+"
+        self.splitters = {end: (regex.compile(PIECES + end).findall, regex.compile(known + end).findall) for end in ("", "|\n")}
         self.find_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
         self.memory: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, list[int]] = {}
 
+    def find_pieces(self, text: str, end: str = "") -> list[str]:
+        quick, exact = self.splitters[end]
+        return quick(text) if text.isascii() or not self.newer.search(text) else exact(text)
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, NONE where there is no merge (or a symbol is below 0)."""
         key = (a << 20) | b
@@ -181,7 +203,7 @@ class WordBpe:
         """White-space-separated parts of a text without special tokens, normalised."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()
+        text = text.lower() if text.isascii() else text.translate(LOWER).lower()
         if not text.isascii() or ODD_SPACE.search(text):
             return regex.findall(f"[^{SPACE}]+", text)
         return text.split()
@@ -214,7 +236,7 @@ class WordBpe:
             return [np.frombuffer(b, "<u4").tolist() for b in packed]
         if not unicodedata.is_normalized("NFC", lines):
             lines = unicodedata.normalize("NFC", lines)
-        pieces, out, own = self.find_in_lines(lines.replace("Σ", "σ").lower()), [], []
+        pieces, out, own = self.find_pieces(lines.translate(LOWER).lower(), "|\n"), [], []
         ids = self.pieces
         if len(ids) > REMEMBERED:
             ids.clear()
