@@ -55,6 +55,12 @@ def dialogue_events(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "turn", F.explode(F.when(has_calls, called).otherwise(F.array(one))).alias("v")).select("conv_id", "turn", "v.*")
 
 
+def _spread() -> Column:
+    """The identifier to join on; events without one need no partner and are spread, so that they don't meet in one task."""
+    alone = (F.col("kind") == "message") | F.col("call_id").isNull()
+    return F.when(alone, F.concat(F.lit("\x00"), F.col("row_id").cast("string"))).otherwise(F.col("call_id"))
+
+
 def link(events: DataFrame) -> DataFrame:
     """Events with ``row_id`` and ``status``: linked, open (a call without result), orphan (a result without call),
     repeated (an identifier's later calls or results, by conversation, turn and row), unnamed (no identifier), message.
@@ -68,7 +74,7 @@ def link(events: DataFrame) -> DataFrame:
     status = (F.when(F.col("kind") == "message", "message").when(F.col("call_id").isNull(), "unnamed")
               .when(own != F.col("row_id"), "repeated").when(F.col("call").isNull(), "orphan")
               .when(F.col("result").isNull(), "open").otherwise("linked"))
-    return e.join(ends, (F.col("call_id") == F.col("l_id")) & (F.col("kind") != "message"), "left").withColumn("status", status).select(*e.columns, "status")
+    return e.withColumn("key", _spread()).join(ends, F.col("key") == F.col("l_id"), "left").withColumn("status", status).select(*e.columns, "status")
 
 
 def levels(linked: DataFrame) -> DataFrame:
@@ -147,9 +153,7 @@ def format_chat(turns: DataFrame, schemas: dict = REPLY_SCHEMA) -> DataFrame:
     """
     linked = cut_lineage(link(dialogue_events(turns)), "chat-linked")
     order = levels(linked).withColumnRenamed("call_id", "o_id")
-    # events without identifier need no partner: spread, so that they don't meet in one task
-    key = F.coalesce("call_id", F.concat(F.lit("\x00"), F.col("row_id").cast("string")))
-    rows = linked.withColumn("key", key).join(order, F.col("key") == F.col("o_id"), "left")
+    rows = linked.withColumn("key", _spread()).join(order, F.col("key") == F.col("o_id"), "left")
     live = F.col("status").isin("linked", "open")
     rows = rows.withColumn("level", F.when(live, F.col("level")))
     rows = rows.withColumn("step", 2 * F.col("level") + (F.col("kind") == "result").cast("long"))
