@@ -8,10 +8,12 @@ quantised weight, equal for two texts with the probability of their weighted Jac
 Samples are banded; texts that share a band or two adjacent ones are candidates, and links are
 those of at least the wanted weighted Jaccard similarity, computed on the whole texts.
 
-A bucket of any size gives one pair per member: with its leader, the member whose buckets are the
-fullest over all bands.  In a group of copies with edits of their own that is the common original.
-Members that no link ties to their leader's class meet the next leader in a further round, until
-no round finds a link.
+A bucket of any size first gives one pair per member: with its leader, the member whose buckets are
+the fullest over all bands.  In a group of copies with edits of their own that is the common original.
+Members that no link ties to the leader's class then lead themselves, more of them each round, and
+meet every member of another class, until each has led or joined that class: so every two members of
+a bucket are in one class or have been looked at.  Weighted Jaccard distance is a metric, so two
+members whose distances to the leader differ by more than a link's distance need no look.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ DRAW_BITS = 15
 SEED = 41
 #: At most so many pairs of one text meet in one task of the verification.
 _PAIRS_PER_SALT = 64
+#: Leaders of a bucket in the first further round, and how many times more in each next one.
+_LEADERS = 4
 _CHUNK = 4096
 
 
@@ -144,16 +148,32 @@ def _fullness(buckets: DataFrame) -> DataFrame:
     return shared.join(per, F.col("node") == F.col("f_node")).select("bucket", "node", "fullness")
 
 
-def _leader_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b), a the leader: per bucket the member with the greatest fullness, ties to the smallest node."""
+def _leaders(members: DataFrame) -> DataFrame:
+    """(t_bucket, a): per bucket the member with the greatest fullness, ties to the smallest node."""
     top = members.groupBy("bucket").agg(F.min(F.struct((-F.col("fullness")).alias("f"), "node")).alias("top"))
-    top = top.select(F.col("bucket").alias("t_bucket"), F.col("top.node").alias("a"))
-    pairs = members.join(top, F.col("bucket") == F.col("t_bucket")).filter("a <> node")
+    return top.select(F.col("bucket").alias("t_bucket"), F.col("top.node").alias("a"))
+
+
+def _leader_pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Distinct (a, b), a the leader of a bucket of b."""
+    pairs = members.join(leaders, F.col("bucket") == F.col("t_bucket")).filter("a <> node")
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sampler, least: float) -> DataFrame:
-    """The pairs whose texts are similar enough.  Only texts of candidates are shuffled, in shares per leader."""
+def _open_members(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold two classes or more, with ``outside``: not in the leader's class, and ``outsiders``: how many are not."""
+    own = labels.select(F.col("node").alias("c_node"), "label")
+    led = labels.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
+    classed = rest.join(own, F.col("node") == F.col("c_node"), "left").join(led, F.col("leader") == F.col("t_node"), "left")
+    classed = classed.select("bucket", "node", "leader", "away", F.coalesce("label", "node").alias("label"), F.coalesce("t_label", "leader").alias("t_label"))
+    classed = classed.withColumn("outside", F.col("label") != F.col("t_label"))
+    size = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("outside").alias("outsiders"))
+    size = size.filter("lo <> hi").select(F.col("bucket").alias("o_bucket"), "outsiders")
+    return classed.join(size, F.col("bucket") == F.col("o_bucket")).select("bucket", "node", "leader", "away", "label", "outside", "outsiders")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sampler) -> DataFrame:
+    """The pairs with their texts' similarity.  Only texts of candidates are shuffled, in shares per leader."""
     spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = _table(nodes.join(ids, "node", "left_semi").select("node", "rep"), "near-wanted")
@@ -177,7 +197,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sampler, lea
                 like = model.similarities(part.column(2), part.column(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(like)], names=["a", "b", "similarity"])
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= least).dropDuplicates(["a", "b"])
+    return both.mapInArrow(run, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 _SAMPLERS: dict = {}
@@ -253,29 +273,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("has_shingles").alias("has_shingles"))
     nodes = _table(nodes, "near-nodes")
     members = _table(_fullness(_bucket_rows(nodes)), "near-buckets")
-    pairs = _table(_leader_pairs(members), "near-pairs")
-    links = _table(_verified(pairs, nodes, texts, shared, least), "near-links")
+    leaders = _table(_leaders(members), "near-leaders")
+    pairs = _table(_leader_pairs(members, leaders), "near-pairs")
+    found = _table(_verified(pairs, nodes, texts, shared), "near-found")
+    links = found.filter(F.col("similarity") >= least)
     tried, labels = pairs, components(links)
+    led = members.join(leaders, F.col("bucket") == F.col("t_bucket")).filter("a <> node").select("bucket", "node", F.col("a").alias("leader"))
+    like = found.select("a", "b", (1 - F.col("similarity")).alias("away"))
+    rest = led.join(like, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b"))).select("bucket", "node", "leader", "away")
+    wide = _LEADERS
     while True:
-        # buckets whose members are in several classes by now: the next leader is the fullest one outside the last leader's class
-        classed = members.join(labels.select(F.col("node").alias("c_node"), "label"), F.col("node") == F.col("c_node"), "left")
-        classed = classed.select("bucket", "node", "fullness", F.coalesce("label", "node").alias("label"))
-        top = classed.groupBy("bucket").agg(F.min(F.struct((-F.col("fullness")).alias("f"), "node", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        top = top.filter("lo <> hi").select(F.col("bucket").alias("t_bucket"), F.col("top.label").alias("t_label"))
-        rest = classed.join(top, F.col("bucket") == F.col("t_bucket"))
-        second = rest.filter("label <> t_label").groupBy("bucket").agg(F.min(F.struct((-F.col("fullness")).alias("f"), "node", "label")).alias("top"))
-        second = second.select(F.col("bucket").alias("s_bucket"), F.col("top.node").alias("a"), F.col("top.label").alias("a_label"))
-        more = rest.join(second, F.col("bucket") == F.col("s_bucket")).filter("label <> a_label").select("a", F.col("node").alias("b")).distinct()
-        seen = tried.select(F.least("a", "b").alias("s_a"), F.greatest("a", "b").alias("s_b"))
-        more = _table(more.join(seen, (F.least("a", "b") == F.col("s_a")) & (F.greatest("a", "b") == F.col("s_b")), "left_anti"), "near-more")
-        if more.isEmpty():
-            break
-        new = _table(_verified(more, nodes, texts, shared, least), "near-links")
-        tried = tried.union(more)
-        if new.isEmpty():
+        # buckets whose members are in several classes by now: some members outside the leader's class lead, and are done with
+        rest = _table(_open_members(rest, labels), "near-rest")
+        if rest.isEmpty():
             break
-        links = links.union(new)
-        labels = joined_labels(labels, new)
+        rest = rest.withColumn("leads", F.col("outside") & (F.pmod(F.xxhash64("node", "bucket"), F.col("outsiders")) < wide))
+        lead = rest.filter("leads").select(F.col("bucket").alias("l_bucket"), F.col("node").alias("l_node"), F.col("label").alias("l_label"), F.col("away").alias("l_away"))
+        near = F.abs(F.col("away") - F.col("l_away")) <= 1 - least + 1e-6
+        more = rest.join(lead, (F.col("bucket") == F.col("l_bucket")) & (F.col("label") != F.col("l_label")) & near)
+        # of two leaders' pair, the one way round
+        more = more.filter("NOT leads OR node > l_node").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
+        seen = tried.select(F.least("a", "b").alias("s_a"), F.greatest("a", "b").alias("s_b"))
+        more = more.join(seen, (F.least("a", "b") == F.col("s_a")) & (F.greatest("a", "b") == F.col("s_b")), "left_anti")
+        more = _table(more, "near-more")
+        if not more.isEmpty():
+            new = _table(_verified(more, nodes, texts, shared).filter(F.col("similarity") >= least), "near-links")
+            tried = tried.union(more)
+            if not new.isEmpty():
+                links = links.union(new)
+                labels = joined_labels(labels, new.select("a", "b"))
+        rest, wide = rest.filter("NOT leads").select("bucket", "node", "leader", "away"), wide * _LEADERS
     ends = links.select(F.col("a").alias("e_node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     degree = ends.groupBy("e_node").agg(F.count("*").alias("links"))
     labels = labels.withColumnRenamed("node", "c_node")

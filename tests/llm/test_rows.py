@@ -149,6 +149,35 @@ def test_near_classes_equal_all_pairs(spark, copies, edits):
     assert wrong == 0, wrong
 
 
+def test_one_bucket_of_chains_trees_and_twins_is_looked_at_whole(spark, monkeypatch):
+    r = random.Random(8)
+    base, texts = ["".join(r.choices("abcdefghij", k=5)) for _ in range(120)], []
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[r.randrange(len(words))] = "".join(r.choices("klmnop", k=6))
+        texts.append(words)
+        return words
+    for _ in range(4):
+        last = edited(base, 12)
+        for _ in range(7):  # a chain
+            last = edited(last, 1)
+    for _ in range(3):
+        top = edited(base, 14)
+        for _ in range(3):  # a tree
+            edited(edited(top, 1), 1)
+    for _ in range(12):  # twins
+        edited(edited(base, r.randint(8, 20)), 1)
+    r.shuffle(texts)
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    monkeypatch.setattr(minhash, "_bucket_rows", lambda nodes: nodes.filter("has_shingles").select(F.lit(0).cast("long").alias("bucket"), "node"))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(table(spark, rows)).collect()}
+    classes, _ = brute_classes(rows)
+    assert len(set(classes)) > 15
+    assert got == {row[0]: c for row, c in zip(rows, classes)}
+
+
 def test_drop_near_keeps_one_of_each_class(spark):
     rows = odd_rows() + [(100 + r[0], *r[1:]) for r in edited_rows(2, 3, 4, 1)]
     docs = table(spark, rows)
