@@ -29,7 +29,8 @@ from rankframe.llm.shingles import mix64, shingles
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 SLOT_BITS = 16
-SMOOTH = 0.05
+#: A shingle of all texts weighs log(1.5) / log(2) = 0.58 of a rare one, so that a group's size hardly moves its pairs' similarity.
+SMOOTH = 1.0
 #: Rows of the table of random draws; a shingle's draws are those of its hash's row.
 DRAW_BITS = 15
 SEED = 41

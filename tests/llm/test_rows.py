@@ -178,6 +178,23 @@ def test_one_bucket_of_chains_trees_and_twins_is_looked_at_whole(spark, monkeypa
     assert got == {row[0]: c for row, c in zip(rows, classes)}
 
 
+def test_a_third_of_all_rows_links_as_a_small_group_does(spark):
+    r = random.Random(12)
+    word = lambda of, k: "".join(r.choices(of, k=k))
+    base = [word("abcdefghij", 5) for _ in range(160)]
+    texts = [" ".join(base)]
+    for i in range(50):
+        w = list(base)
+        for at in r.sample(range(8, 150, 10), 3):
+            w[at] = word("klmnop", 8)
+        texts.append(" ".join(w))
+    plain = [len(shingle_set(texts[0]) & shingle_set(t)) / len(shingle_set(texts[0]) | shingle_set(t)) for t in texts[1:]]
+    assert 0.82 < min(plain) and max(plain) < 0.84
+    texts += [" ".join(word("qrstuv", 7) for _ in range(160)) for _ in range(102)]
+    got = {x.doc_id: x.class_size for x in minhash.near_duplicates(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(51)] == [51] * 51 and {got[i] for i in range(51, 153)} == {1}
+
+
 def test_drop_near_keeps_one_of_each_class(spark):
     rows = odd_rows() + [(100 + r[0], *r[1:]) for r in edited_rows(2, 3, 4, 1)]
     docs = table(spark, rows)
