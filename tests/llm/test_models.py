@@ -141,6 +141,28 @@ def test_lm_of_odd_rows(spark):
     assert {r.train_tokens for r in alone} == {0} and {r.base_score for r in alone} == {0.0}
 
 
+@pytest.mark.parametrize("of", [lambda i: (None, f"text {i}"), lambda i: (7, "the same text"), lambda i: (None, "w " * 4000 if i % 20 == 0 else "w")])
+def test_lm_blocks_stay_bounded_whatever_the_ids(spark, monkeypatch, of):
+    docs = spark.createDataFrame([of(i) for i in range(400)], "doc_id long, text string").repartition(3)
+    model = lm.train(docs, queries.word_bpe_path(), F.lit(True), sample=5, steps=2)
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 8000)
+    ask = lm._ask
+
+    def bounded(n_ranges):
+        run = ask(n_ranges)
+
+        def check(table):
+            assert table.num_rows < 80, table.num_rows
+            assert sum(len(t) for t in table.column("text").to_pylist()) < 64_000
+            return run(table)
+        return check
+    monkeypatch.setattr(lm, "_ask", bounded)
+    got = lm.score(docs, model, F.lit(True)).collect()
+    tokens = sum(len(of(i)[1].split()) + 1 for i in range(400))
+    assert len(got) == 400 and {r.train_tokens for r in got} == {tokens} and sum(r.n_tokens for r in got) == tokens
+
+
 # ------------------------------------------------------------------ subwords
 @pytest.fixture(scope="module")
 def coders():
