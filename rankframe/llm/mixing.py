@@ -28,7 +28,7 @@ MOST_COPIES = 2
 BLOCK_ROWS = 4096
 SEED = 20240
 _SALTS = 16
-_OPEN = "row_id long, id long, size long, copies long, open double, source_no long, block long"
+_OPEN = "row_id long, id long, spread long, size long, copies long, open double, source_no long, block long"
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +79,7 @@ def settle(sizes: np.ndarray, open_: np.ndarray, rng: np.random.Generator) -> tu
 
 def _settle_block(seed: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "id", "row_id"], ascending=[False, True, True], ignore_index=True)
+        rows = rows.sort_values(["size", "spread"], ascending=[False, True], ignore_index=True)
         no, block = int(rows["source_no"].iloc[0]), int(rows["block"].iloc[0])
         rng = np.random.default_rng(zlib.crc32(f"{seed}/{no}/{block}/{last}".encode()))
         p, left = settle(rows["size"].to_numpy(float), rows["open"].to_numpy(float), rng)
@@ -92,6 +92,22 @@ def _settle_block(seed: int, last: bool):
     return run
 
 
+def _numbered_among_equals(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``spread``: a hash of the row's ``same`` and of its number among rows with the same, from 0.
+
+    Equal rows are numbered within the parts that ``row_id`` names and offset by the counts of earlier
+    parts, so no task gathers them all.  They are alike, so it does not matter which has which number.
+    """
+    sized = sized.withColumn("part", F.shiftright("row_id", 33))
+    inside = F.row_number().over(Window.partitionBy("same", "part").orderBy("row_id"))
+    per = sized.groupBy("same", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select(F.col("same").alias("p_same"), F.col("part").alias("p_part"), "before")
+    numbered = sized.withColumn("inside", inside).join(per, (F.col("same") == F.col("p_same")) & (F.col("part") == F.col("p_part")), "left")
+    number = F.coalesce("before", F.lit(0)).cast("long") + F.col("inside") - 1
+    return numbered.select("row_id", "id", "source", "size", F.xxhash64("same", number).alias("spread"))
+
+
 def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
               weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block_rows: int = BLOCK_ROWS,
               seed: int = SEED, row_col: str | None = None) -> DataFrame:
@@ -99,22 +115,25 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A null text has size 0, a null source is a source of its own (the last), documents without
     words take no copies, repeated rows are documents of their own, an empty table gives no rows.
-    Draws depend on the seed, source and block only, so reruns agree.  ``row_id`` numbers the rows
-    of ``docs`` as they are read; columns besides the three named are ignored.
+    Draws depend on the seed, source and block only, and a document's block on its id, source and
+    text, so reruns agree however the rows are split; of equal rows any may be the one taken.  ``row_id``
+    numbers the rows of ``docs`` as they are read; columns besides the three named are ignored.
     """
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     sized = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("id"),
-                        F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
+                        F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"),
+                        F.xxhash64(*[x for c in (id_col, source_col, text_col) for x in (F.col(c), F.col(c).isNull())]).alias("same"))
     sized = cut_lineage(sized, "mix-sizes")
+    sized = cut_lineage(_numbered_among_equals(sized), "mix-numbered")
     targets = cut_lineage(source_targets(sized, weights, share, most), "mix-targets")
     most_rows = targets.agg(F.max("n_rows")).first()[0] or 0
     salted = targets.withColumnRenamed("source", "t_source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    rows = (sized.withColumn("spread", F.xxhash64("id", "row_id")).withColumn("t_salt", F.pmod("spread", F.lit(_SALTS)))
+    rows = (sized.withColumn("t_salt", F.pmod("spread", F.lit(_SALTS)))
             .join(salted, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("t_salt") == F.col("salt"))))
     wanted = F.when(F.col("size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
     rows = rows.withColumn("wanted", wanted).withColumn("copies", F.floor("wanted").cast("long"))
     blocks = F.ceil(F.col("n_rows") / block_rows)
-    rows = rows.select("row_id", "id", "size", "copies", (F.col("wanted") - F.col("copies")).alias("open"), "source_no",
+    rows = rows.select("row_id", "id", "spread", "size", "copies", (F.col("wanted") - F.col("copies")).alias("open"), "source_no",
                        F.pmod(F.shiftright("spread", 8), blocks).cast("long").alias("block"), "source_size", "target")
     rows = cut_lineage(rows, "mix-rows")
     settled = rows.filter("open = 0").select("row_id", "id", "size", "copies", "source_no")

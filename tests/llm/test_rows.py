@@ -315,6 +315,17 @@ def test_mix_meets_targets(spark, seed):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
 
 
+def test_mix_takes_the_same_documents_however_rows_are_split(spark):
+    r = random.Random(4)
+    rows = odd_rows() + [(1000 + i, "w " * r.randint(0, 40), "en", r.choice(["a", "b", None, "hot", "hot"])) for i in range(1500)]
+    rows += [(None, "the very same text", "en", "hot")] * 300
+
+    def taken(given, parts):
+        docs = table(spark, given).repartition(parts)
+        return sorted(((x.doc_id is not None, x.doc_id or 0, x.size, x.copies) for x in mixing.copies_of(docs, block_rows=50).collect()))
+    assert taken(rows, 1) == taken(r.sample(rows, len(rows)), 7)
+
+
 def test_pairing_keeps_words_and_expectation():
     sizes, p = np.array([5.0, 3.0, 8.0, 1.0, 2.0]), np.array([0.4, 0.7, 0.2, 0.9, 0.5])
     seen = np.zeros(5)
