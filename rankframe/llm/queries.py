@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, secretscan
+from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, periodic, secretscan
 from rankframe.llm.common import crc_bucket, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -86,7 +86,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html)}
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    edited = periodic.repeated_from(F.col("text"), lambda n: g % n, lambda n: 1 + F.floor((n - g % n) / (3 + g % 8)))
+    docs = docs.select("doc_id", F.when(h % 10 == 0, edited).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs, keep_text=False).withColumn("best", periodic.strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html, op13_periodic)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -111,4 +125,30 @@ SQL = {
                     ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
         FROM e LEFT JOIN met ON call_id = m_id
     """,
+    # crc32 bit by bit; equal words of a document at one distance, islands of them are stretches
+    "op13_periodic": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                       lambda c: list_transform(range(8), lambda b: ((ascii(c)::BIGINT >> b) & 1))))),
+                       lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))) AS h
+            FROM documents),
+        g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+        a AS (SELECT *, g % greatest(n, 1) AS a FROM g),
+        e AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                  THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+                  ELSE w END AS w FROM a),
+        words AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM e),
+        same AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+        stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island),
+        runs AS (SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+        told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+        gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM e LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+    """,
 }
