@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, periodic, secretscan
+from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, periodic, secretscan, winnow
 from rankframe.llm.common import crc_bucket, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -86,6 +86,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, sets = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    told = sets.select("item_set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    hit = winnow.join_spread(found.filter("item_set IS NOT NULL").drop("places"), told, ["item_set"])
+    clean = found.filter("item_set IS NULL").withColumn("n_items", F.lit(0).cast("long")).withColumn("items_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated")]
+    return hit.select(*names).union(clean.select(*names))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -100,7 +109,7 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html, op13_periodic)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html, op11_winnow, op13_periodic)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -125,6 +134,23 @@ SQL = {
                     ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
         FROM e LEFT JOIN met ON call_id = m_id
     """,
+    "op11_winnow": r"""
+        WITH read AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        split AS (SELECT kind, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM read),
+        items AS (SELECT id, w, least(len(w), 10) AS m FROM split WHERE kind = 'i' AND len(w) > 0),
+        windows AS (SELECT DISTINCT id, m, array_to_string(w[p:p + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM items)),
+        docs AS (SELECT r, id, w FROM split WHERE kind = 'd'),
+        places AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM docs, (SELECT DISTINCT m FROM windows)),
+        texts AS (SELECT r, p, m, array_to_string(w[p:p + m - 1], ' ') AS s FROM places),
+        hits AS (SELECT r, p, m, id FROM texts JOIN windows USING (m, s)),
+        words AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS i FROM (SELECT DISTINCT r, p, m FROM hits)) GROUP BY r),
+        found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+                  FROM (SELECT DISTINCT r, id::VARCHAR AS item FROM hits WHERE id IS NOT NULL) GROUP BY r)
+        SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+    """,
     # crc32 bit by bit; equal words of a document at one distance, islands of them are stretches
     "op13_periodic": r"""
         WITH d AS (
