@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, periodic, secretscan, winnow
+from rankframe.llm import bpe, chat, exact, fingerprint, html_labels, htmlmain, langid, lm, minhash, mixing, periodic, secretscan, whiten, winnow
 from rankframe.llm.common import crc_bucket, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,6 +95,11 @@ def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(*names).union(clean.select(*names))
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whiten.fixed_point(F.col("embedding")).alias("vector"))
+    return whiten.whiten(rows)
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -109,7 +114,7 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html, op11_winnow, op13_periodic)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_language_id, op4_lm_score, op5_bpe, op6_chat, op7_fingerprint, op8_secrets, op9_mixing, op10_html, op11_winnow, op12_whiten, op13_periodic)}
 
 SQL = {
     "op2_exact_dedup": """
