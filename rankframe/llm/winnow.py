@@ -26,7 +26,7 @@ from rankframe.llm.shingles import mix64, text_bytes, words
 SPAN = 10
 K = 5
 WINDOW = SPAN - K + 1
-MOST_BITS = 27
+LEAST_BITS, MOST_BITS = 23, 27
 _ROW_BITS = 15
 #: A key with fewer rows than this is never dealt over several tasks.
 LEAST_HOT = 1000
@@ -158,8 +158,8 @@ def item_index(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def bitmap(spark: SparkSession, prints: DataFrame) -> np.ndarray:
-    """Bits of the fingerprints, 16 or more each up to 2**MOST_BITS bits (16 MB) in all, as bytes."""
-    bits = min(MOST_BITS, max(_ROW_BITS, (16 * prints.count()).bit_length()))
+    """Bits of the fingerprints as bytes, 64 or more each and 2**LEAST_BITS in all (1 MB), up to 2**MOST_BITS (16 MB)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * prints.count()).bit_length()))
     at = prints.select(F.col("hash").bitwiseAND((1 << bits) - 1).alias("at"))
     rows = at.groupBy(F.shiftright("at", _ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << _ROW_BITS) - 1)).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
