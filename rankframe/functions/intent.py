@@ -25,8 +25,8 @@ TYPE_RULES = [
     ("(reasoning|aptitude|cognitive)", "Ability & Aptitude"),
     (B0 + "(senior|leadership|lead|coo|ceo|cfo|cto|chief|executive|director|head of)" + B1, "Competencies"),
 ]
-# A duration phrase: number, upper number, unit, or a bare hour in words; the first in the text counts.
-DURATION = (f"(^|[^a-z0-9.])(([0-9]+(\\.[0-9]+)?)({SP}-{SP}([0-9]+(\\.[0-9]+)?))?{SP}-?{SP}(hour|hr|min)|(an|one){SP}hour)")
+# A duration phrase: number, upper number, unit to its word's end, or a bare hour in words; the first in the text counts.
+DURATION = (f"(^|[^a-z0-9.])(([0-9]+(\\.[0-9]+)?)({SP}-{SP}([0-9]+(\\.[0-9]+)?))?{SP}-?{SP}(hour|hr|minute|min)s?|(an|one){SP}hour){B1}")
 DURATION_GROUPS = {"from": 3, "to": 6, "unit": 8, "word": 9}
 # Job levels, first match wins.
 LEVEL_RULES = [
@@ -50,10 +50,10 @@ def tag_types(text) -> Column:
 
 def parse_max_duration(text) -> Column:
     """I2: '40 minutes' -> 40, 'about an hour' -> 60, '1-2 hours' -> 120 (upper end), '1.5 hours' -> 90;
-    of several phrases the first in the text."""
+    of several phrases the first in the text.  A unit is a whole word: 'an hourly rate' and '5 minor issues' have none."""
     low, g = _low(text), DURATION_GROUPS
     number = F.coalesce(*[F.nullif(F.regexp_extract(low, DURATION, g[k]), F.lit("")) for k in ("to", "from")]).try_cast("double")
-    minutes = F.when(F.regexp_extract(low, DURATION, g["unit"]) == "min", number).otherwise(number * 60)
+    minutes = F.when(F.regexp_extract(low, DURATION, g["unit"]).startswith("min"), number).otherwise(number * 60)
     return F.when(F.regexp_extract(low, DURATION, g["word"]) != "", F.lit(60)).otherwise(F.floor(minutes).try_cast("int"))
 
 

@@ -219,18 +219,18 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, tokeniz
     """Signed feature hashing of the tokens, L2-normalised; needs no model.
 
     slot = (first 8 hex digits of md5(term)) mod dim; sign = +1 when the next 8 hex digits are even.
-    The per-(id, slot) sum is pre-aggregated where the text is read (a text of any length leaves
-    its task as at most ``dim`` rows), then the per-id list, bounded by ``dim``, becomes the vector.
+    One vector per row, also where ids repeat.  The per-(row, slot) sum is pre-aggregated where the text is read (a text of any length leaves
+    its task as at most ``dim`` rows), then the row's list, bounded by ``dim``, becomes the vector.
     An item without tokens gets the zero vector (``explode_outer``; no join back to the ids).
     """
     h1 = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5("term"), 9, 8), 16, 10).cast("long")
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    toks = (src.select("id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
-            .select("id", F.pmod(h1, F.lit(dim)).alias("slot"),
+    src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    toks = (src.select("row", "id", F.explode_outer(tokenizer(F.col("_t"))).alias("term"))
+            .select("row", "id", F.pmod(h1, F.lit(dim)).alias("slot"),
                     F.when(F.pmod(h2, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn")))
-    slots = toks.groupBy("id", "slot").agg(F.sum("sgn").cast("double").alias("val"))
-    m = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(
+    slots = toks.groupBy("row", "id", "slot").agg(F.sum("sgn").cast("double").alias("val"))
+    m = slots.groupBy("row", "id").agg(F.map_from_entries(F.collect_list(
         F.when(F.col("slot").isNotNull(), F.struct("slot", "val")))).alias("m"))
     vec = m.select(F.col("id").alias(id_col),
                    F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),

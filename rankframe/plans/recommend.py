@@ -147,9 +147,10 @@ def q_submission_csv(spark, sf):
 def q_intent_phrases(spark, sf):
     """I2/I3 on phrases made from every customer: decimals, ranges, several phrases, words that hold a level."""
     n = "cast(c_custkey % 50 + 2 as string)"
-    text = (f"case c_custkey % 6 when 0 then concat({n}, '.5 hours of coding') when 1 then concat({n}, ' mins and 1 hour coffee') "
+    text = (f"case c_custkey % 9 when 0 then concat({n}, '.5 hours of coding') when 1 then concat({n}, ' mins and 1 hour coffee') "
             f"when 2 then 'about an hour, graduates' when 3 then concat({n}, '-99 hours for an executive') "
-            f"when 4 then 'internal role, presenior' else concat('Senior engineer, ', {n}, ' to 60 minutes') end")
+            f"when 4 then 'internal role, presenior' when 6 then 'an hourly rate' when 7 then concat({n}, ' minor issues') "
+            f"when 8 then concat({n}, ' minimum, then 2 hrs.') else concat('Senior engineer, ', {n}, ' to 60 minutes') end")
     q = t(spark, sf, "customer").selectExpr("c_custkey", f"{text} as text")
     return q.select("c_custkey", parse_max_duration("text").alias("minutes"), parse_job_level("text").alias("level"))
 
@@ -261,7 +262,7 @@ def _sql_duration(text="text"):
     low, g = f"lower(coalesce({text}, ''))", I.DURATION_GROUPS
     get = lambda k: f"regexp_extract({low}, '{I.DURATION}', {g[k]})"
     number = f"try_cast(coalesce(nullif({get('to')}, ''), nullif({get('from')}, '')) as double)"
-    return (f"case when {get('word')} <> '' then 60 else try_cast(floor(case when {get('unit')} = 'min' then {number} "
+    return (f"case when {get('word')} <> '' then 60 else try_cast(floor(case when {get('unit')} like 'min%' then {number} "
             f"else {number} * 60 end) as integer) end")
 
 
@@ -407,6 +408,6 @@ SQL["response_json"] = f"""with {REC_CTE},
     from js group by query_id"""
 SQL["submission_csv"] = f"""select "Query", "Assessment_url" from ({SQL['submission_rows']})"""
 SQL["intent_phrases"] = """select c_custkey,
-    cast(case c_custkey % 6 when 0 then (c_custkey % 50 + 2) * 60 + 30 when 1 then c_custkey % 50 + 2 when 2 then 60 when 3 then 99 * 60
-         when 5 then 60 end as integer) as minutes,
-    case c_custkey % 6 when 2 then 'Entry-level' when 3 then 'Executive' when 5 then 'Senior' end as level from customer"""
+    cast(case c_custkey % 9 when 0 then (c_custkey % 50 + 2) * 60 + 30 when 1 then c_custkey % 50 + 2 when 2 then 60 when 3 then 99 * 60
+         when 5 then 60 when 8 then 120 end as integer) as minutes,
+    case c_custkey % 9 when 2 then 'Entry-level' when 3 then 'Executive' when 5 then 'Senior' end as level from customer"""

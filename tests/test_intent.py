@@ -49,3 +49,10 @@ def test_minutes_in_replies(spark):
              ('{"max_duration_minutes": "soon"}', None), ('{"max_duration_minutes": null}', None)]
     df = spark.createDataFrame([(g[0],) for g in given], "r string")
     assert [r[0] for r in df.select(parse_intent_json("r").max_duration_minutes).collect()] == [m for _, m in given]
+
+
+def test_units_are_whole_words(spark):
+    given = [("an hourly rate", None), ("5 minor issues", None), ("30 minimum", None), ("2 hours.", 120), ("45 minutes", 45), ("3 hrs", 180),
+             ("90min", 90), ("one hour", 60), ("10 hourly tasks, 20 min each", 20), ("an hour-long test", 60), ("1 hr/2", 60)]
+    got = spark.createDataFrame([(t,) for t, _ in given], "q string").select(parse_max_duration("q").alias("m")).collect()
+    assert [r.m for r in got] == [m for _, m in given]

@@ -188,3 +188,12 @@ def test_scoring_shuffles_nothing_before_the_cut(spark):
     plan = bm25_topk(bm25_scores(queries, idx), 5)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("query_id" in line and "item_id" in line for line in exchanges) == 0, plan
+
+
+def test_hash_embed_has_a_vector_for_each_row_of_an_id(spark):
+    from rankframe.operators.knn import hash_embed
+    rows = [(1, "red apple"), (1, "green pear"), (2, "red apple"), (2, None), (None, "")]
+    got = hash_embed(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    alone = {t: hash_embed(spark.createDataFrame([(7, t)], "id long, text string"), "id", "text").first()["embedding"] for _, t in rows}
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted([(r["id"], r["embedding"]) for r in got], key=key) == sorted([(i, alone[t]) for i, t in rows], key=key)
