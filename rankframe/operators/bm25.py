@@ -45,6 +45,7 @@ class Bm25Index:
     id_col: str
     k1: float = S.BM25_K1
     b: float = S.BM25_B
+    packed: DataFrame | None = None  # (item_id, dl, postings): one row per item
 
     @property
     def avgdl(self) -> float:
@@ -103,7 +104,7 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
     avg_idf = avg_fp / 1e9
     term_stats = raw.select("term", "df", (F.when(F.col("raw_fp") < 0, F.lit(floor_fp)).otherwise(F.col("raw_fp"))
                                            / F.lit(1e9)).alias("idf"))
-    return Bm25Index(postings, term_stats, n_items, int(total), float(avg_idf), id_col, k1, b)
+    return Bm25Index(postings, term_stats, n_items, int(total), float(avg_idf), id_col, k1, b, packed)
 
 
 def query_terms(queries: DataFrame, qid: str, qtext: str, tokenizer=tokenize_ascii) -> DataFrame:

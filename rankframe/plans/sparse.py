@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions.text import tokenize_ascii, tokenize_words
 from rankframe.operators.bm25 import bm25_index, bm25_scores, bm25_topk, bm25_topk_padded
+from rankframe.operators.bm25_blocks import block_index, topk_by_blocks
 from rankframe.operators.containment import passage_matches
 from rankframe.operators.evaluate import mean_recall, recall_at_k
 from rankframe.plans.common import index_artifact, r6, sql_tok_ascii, sql_tok_words, t
@@ -56,6 +57,26 @@ def q_bm25_topk(spark, sf):
                                          "score")
 
 
+def _by_blocks(spark, sf):
+    blocks = index_artifact(spark, ("bm25-blocks", f"{sf}/documents.parquet"), lambda: block_index(_index(spark, sf)))
+    return topk_by_blocks(t(spark, sf, "benchmark"), blocks, K_SPARSE, qid="item_id", qtext="text")
+
+
+def q_bm25_topk_blocks(spark, sf):
+    """The rows of ``bm25_topk``, without scoring blocks of items that cannot be among them."""
+    top, _ = _by_blocks(spark, sf)
+    return top.select("query_id", F.col("item_id").alias("doc_id"), "rank", "score")
+
+
+def q_bm25_blocks_skipped(spark, sf):
+    """Per query: blocks with one of its terms, those scored and those skipped; they add up, and k rows' blocks are scored."""
+    top, looked = _by_blocks(spark, sf)
+    n = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    told = looked.join(n, "query_id", "left")
+    fine = (F.col("scored") + F.col("skipped") == F.col("n_blocks")) & (F.col("skipped") >= 0) & (F.col("scored") > 0)
+    return told.select("query_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), fine.alias("adds_up"))
+
+
 def q_bm25_topk_padded(spark, sf):
     _, s = _scores(spark, sf)
     r = bm25_topk_padded(s, t(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"),
@@ -107,6 +128,8 @@ QUERIES = {
     "bm25_term_stats": q_bm25_term_stats,
     "bm25_scores": q_bm25_scores,
     "bm25_topk": q_bm25_topk,
+    "bm25_topk_blocks": q_bm25_topk_blocks,
+    "bm25_blocks_skipped": q_bm25_blocks_skipped,
     "bm25_topk_padded": q_bm25_topk_padded,
     "passage_truth": q_passage_truth,
     "recall_at_k_bm25": q_recall_at_k_bm25,
@@ -146,6 +169,10 @@ SQL = {
     "bm25_term_stats": f"with {BM25_CTE} select term, df, {r6('idf')} as idf from ts",
     "bm25_scores": f"with {BM25_CTE} select query_id, doc_id, score from sc",
     "bm25_topk": f"with {BM25_CTE} select query_id, doc_id, rank, score from top where rank <= 40",
+    "bm25_topk_blocks": f"with {BM25_CTE} select query_id, doc_id, rank, score from top where rank <= 40",
+    "bm25_blocks_skipped": f"""with {BM25_CTE}
+        select query_id, count(*) filter (where score > 0 and rank <= 40) as n_rows, true as adds_up
+        from sc left join top using (query_id, doc_id, score) group by query_id""",
     "bm25_topk_padded": f"""with {BM25_CTE},
         allsc as (select b.item_id as query_id, d.doc_id, coalesce(sc.score, 0.0) as score
                   from benchmark b cross join documents d
