@@ -65,6 +65,30 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), dl, lists], names=["item_id", "dl", "postings"])
 
 
+def packed_postings(items: DataFrame, id_col: str, text_col: str, tokenizer=tokenize_ascii) -> DataFrame:
+    """``(item_id, dl, postings)``: each item's token count and distinct terms with their counts, counted where the text is read."""
+    kind = items.schema[id_col].dataType.simpleString()
+    toks = items.select(F.col(id_col).alias("item_id"), tokenizer(F.col(text_col)).alias("tokens"))
+    return toks.mapInArrow(_count_terms, f"item_id {kind}, dl int, postings array<struct<term:string,tf:bigint>>")
+
+
+def term_statistics(df: DataFrame, n_items: int, epsilon: float = S.BM25_EPSILON, materialize: bool = True) -> tuple[DataFrame, float]:
+    """``(term, df, idf)`` from ``(term, df)``, and the mean idf before the floor.
+
+    idf lies on the 1e-9 fixed-point grid: the only transcendental step (log) is rounded once per term,
+    so every later product and sum has bit-identical inputs on any engine and partitioning; the mean for
+    the epsilon floor is then an exact integer sum over the vocabulary.
+    """
+    raw = df.withColumn("raw_fp", F.floor((F.log(F.lit(n_items) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * F.lit(1e9) + F.lit(0.5)))
+    if materialize:
+        raw = cut_lineage(raw, "bm25-terms")
+    agg = raw.agg(F.sum("raw_fp").alias("s"), F.count(F.lit(1)).alias("c")).first()
+    avg_fp = (agg["s"] / agg["c"]) if agg["c"] else 0.0
+    floor_fp = math.floor(epsilon * avg_fp + 0.5)
+    idf = F.when(F.col("raw_fp") < 0, F.lit(floor_fp)).otherwise(F.col("raw_fp")) / F.lit(1e9)
+    return raw.select("term", "df", idf.alias("idf")), float(avg_fp / 1e9)
+
+
 def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=tokenize_ascii,
                epsilon: float = S.BM25_EPSILON, k1: float = S.BM25_K1, b: float = S.BM25_B,
                materialize: bool = True) -> Bm25Index:
@@ -78,9 +102,7 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
     n_items, n_ids = items.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
     if n_items != n_ids:
         raise ValueError(f"{id_col} must identify an item: {n_items} items, {n_ids} ids")
-    kind = items.schema[id_col].dataType.simpleString()
-    toks = items.select(F.col(id_col).alias("item_id"), tokenizer(F.col(text_col)).alias("tokens"))
-    packed = toks.mapInArrow(_count_terms, f"item_id {kind}, dl int, postings array<struct<term:string,tf:bigint>>")
+    packed = packed_postings(items, id_col, text_col, tokenizer)
     if materialize:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         path = scratch_path(spark, "bm25-postings")
@@ -90,21 +112,8 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
         packed = spark.table(name)
     postings = packed.select("item_id", "dl", F.inline("postings"))
     total = packed.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
-    # idf on the 1e-9 fixed-point grid: the only transcendental step (log) is rounded once per term,
-    # so every later product and sum has bit-identical inputs on any engine and partitioning; the
-    # mean for the epsilon floor is then an exact integer sum over the vocabulary
-    raw = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .withColumn("raw_fp", F.floor((F.log(F.lit(n_items) - F.col("df") + 0.5)
-                                          - F.log(F.col("df") + 0.5)) * F.lit(1e9) + F.lit(0.5))))
-    if materialize:
-        raw = cut_lineage(raw, "bm25-terms")
-    agg = raw.agg(F.sum("raw_fp").alias("s"), F.count(F.lit(1)).alias("c")).first()
-    avg_fp = (agg["s"] / agg["c"]) if agg["c"] else 0.0
-    floor_fp = math.floor(epsilon * avg_fp + 0.5)
-    avg_idf = avg_fp / 1e9
-    term_stats = raw.select("term", "df", (F.when(F.col("raw_fp") < 0, F.lit(floor_fp)).otherwise(F.col("raw_fp"))
-                                           / F.lit(1e9)).alias("idf"))
-    return Bm25Index(postings, term_stats, n_items, int(total), float(avg_idf), id_col, k1, b, packed)
+    term_stats, avg_idf = term_statistics(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_items, epsilon, materialize)
+    return Bm25Index(postings, term_stats, n_items, int(total), avg_idf, id_col, k1, b, packed)
 
 
 def query_terms(queries: DataFrame, qid: str, qtext: str, tokenizer=tokenize_ascii) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankframe.functions.text import tokenize_ascii, tokenize_words
 from rankframe.operators.bm25 import bm25_index, bm25_scores, bm25_topk, bm25_topk_padded
 from rankframe.operators.bm25_blocks import block_index, topk_by_blocks
+from rankframe.operators.bm25_segments import create, open_index, update
 from rankframe.operators.containment import passage_matches
 from rankframe.operators.evaluate import mean_recall, recall_at_k
 from rankframe.plans.common import index_artifact, r6, sql_tok_ascii, sql_tok_words, t
@@ -77,6 +78,33 @@ def q_bm25_blocks_skipped(spark, sf):
     return told.select("query_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), fine.alias("adds_up"))
 
 
+def _updated(spark, sf):
+    """An index of an earlier state of ``documents``, brought up to date.
+
+    The earlier state is a stand-in: one document in twenty had another text, one was not there yet, and
+    for one there was a row that has gone since.
+    """
+    def build():
+        docs, path, kind = t(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "bm25-segments"), F.pmod("doc_id", F.lit(20))
+        gone = docs.filter(kind == 11).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+        before = docs.filter(kind != 3).withColumn("text", F.when(kind == 7, F.reverse("text")).otherwise(F.col("text")))
+        create(before.union(gone), path, "doc_id")
+        update(spark, path, docs.filter(kind.isin(3, 7)), gone, "doc_id")
+        return open_index(spark, path)
+    return index_artifact(spark, ("bm25-segments", f"{sf}/documents.parquet"), build)
+
+
+def q_bm25_updated_terms(spark, sf):
+    """Term statistics kept by difference through an update: those of an index built anew."""
+    return _updated(spark, sf).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def q_bm25_updated_topk(spark, sf):
+    """Top-k over the updated index: that of an index built anew."""
+    scores = bm25_scores(t(spark, sf, "benchmark"), _updated(spark, sf), qid="item_id", qtext="text")
+    return bm25_topk(scores, K_SPARSE).select("query_id", F.col("item_id").alias("doc_id"), "rank", "score")
+
+
 def q_bm25_topk_padded(spark, sf):
     _, s = _scores(spark, sf)
     r = bm25_topk_padded(s, t(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"),
@@ -130,6 +158,8 @@ QUERIES = {
     "bm25_topk": q_bm25_topk,
     "bm25_topk_blocks": q_bm25_topk_blocks,
     "bm25_blocks_skipped": q_bm25_blocks_skipped,
+    "bm25_updated_terms": q_bm25_updated_terms,
+    "bm25_updated_topk": q_bm25_updated_topk,
     "bm25_topk_padded": q_bm25_topk_padded,
     "passage_truth": q_passage_truth,
     "recall_at_k_bm25": q_recall_at_k_bm25,
@@ -169,6 +199,8 @@ SQL = {
     "bm25_term_stats": f"with {BM25_CTE} select term, df, {r6('idf')} as idf from ts",
     "bm25_scores": f"with {BM25_CTE} select query_id, doc_id, score from sc",
     "bm25_topk": f"with {BM25_CTE} select query_id, doc_id, rank, score from top where rank <= 40",
+    "bm25_updated_terms": f"with {BM25_CTE} select term, df, {r6('idf')} as idf from ts",
+    "bm25_updated_topk": f"with {BM25_CTE} select query_id, doc_id, rank, score from top where rank <= 40",
     "bm25_topk_blocks": f"with {BM25_CTE} select query_id, doc_id, rank, score from top where rank <= 40",
     "bm25_blocks_skipped": f"""with {BM25_CTE}
         select query_id, count(*) filter (where score > 0 and rank <= 40) as n_rows, true as adds_up
