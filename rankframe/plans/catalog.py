@@ -302,6 +302,22 @@ def q_pages_stream_dedupe(spark, sf):
     return spark.read.parquet(sink).select("assessment_id", "start", "row_pos")
 
 
+def q_pages_stream_until_repeat(spark, sf):
+    """M2: the listing pages land in three parts, out of order, and are read as a stream of a few files
+    per trigger; the stream takes pages until the first repeat."""
+    from rankframe.streaming.listing_stream import pages_until_repeat_stream, rocksdb_state
+    folder, sink, ck = (scratch_path(spark, n) for n in ("listing-landing", "listing-taken", "listing-ckpt"))
+    pages = cut_lineage(listing_pages(spark, sf, with_repeats=True), "pages-rendered")
+    for part in (2, 0, 1):
+        pages.where(F.pmod("start", F.lit(36)) == 12 * part + 1).write.parquet(f"{folder}/at={part}")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/at=*")
+    with rocksdb_state(spark):
+        q = (pages_until_repeat_stream(stream, BASE_URL).writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(sink).select("assessment_id", F.col("start").cast("int").alias("start"), "row_pos")
+
+
 def q_catalog_table_roundtrip(spark, sf):
     """The typed catalogue through the table sink and the typed scan."""
     path = scratch_path(spark, "catalog-table")
@@ -352,6 +368,7 @@ def q_nan_safe_int(spark, sf):
 QUERIES = {
     "pages_scan": q_pages_scan,
     "pages_stream_dedupe": q_pages_stream_dedupe,
+    "pages_stream_until_repeat": q_pages_stream_until_repeat,
     "page_links": q_page_links,
     "resolve_url": q_resolve_url,
     "extract_listing": q_extract_listing,
@@ -427,6 +444,9 @@ SQL = {
     "pages_stream_dedupe": f"""with {SQL_SOURCE}
         select assessment_id, pg * 12 + 1 as start,
                cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos from src""",
+    "pages_stream_until_repeat": f"""with {SQL_SOURCE}
+        select assessment_id, pg * 12 + 1 as start,
+               cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos from src""",
     "pages_until_repeat": f"""with {SQL_SOURCE}
         select assessment_id, pg * 12 + 1 as start,
                cast(row_number() over (partition by pg order by catalog_idx) - 1 as integer) as row_pos from src""",

@@ -35,6 +35,7 @@ ROLE_PLUS_WORDS = ["professional"]
 ROLE_MINUS_WORDS = ["manager", "supervisor", "team lead"]
 # Listing-page constants.
 LISTING_CATEGORY = "Individual Test Solutions"
+LISTING_PAGE_ROWS = 12
 # Labels of the detail-page blocks.
 DETAIL_LABELS = {"description": "Description", "job_levels": "Job levels", "languages": "Languages",
                  "assessment_length": "Assessment length"}
