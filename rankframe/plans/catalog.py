@@ -22,6 +22,8 @@ from rankframe.plans.common import sql_strip, t
 
 ND_SRC, ND_DST = decimal_digit_table()
 from rankframe.session import cut_lineage, scratch_path
+from rankframe.sources.pages import land_pages, read_page_files, stream_page_files, write_manifest
+from rankframe.sources.quarantine import quarantine, read_with_rejects, told
 from rankframe.sources.tables import (read_catalog, read_catalog_json, read_vectors, write_catalog_json, write_table,
                                       write_vectors)
 
@@ -180,6 +182,45 @@ def q_pages_scan(spark, sf):
     return t(spark, sf, "pages").select("page_id", "url", F.length("html").alias("html_chars"))
 
 
+def _landed(spark, sf):
+    """The pages as one file each, with their manifest."""
+    folder, manifest, pages = scratch_path(spark, "page-files"), scratch_path(spark, "page-manifest"), t(spark, sf, "pages")
+    land_pages(pages, folder)
+    write_manifest(pages, manifest)
+    return folder, manifest
+
+
+def q_page_files_links(spark, sf):
+    """Links of the pages read from files: those of the table."""
+    folder, manifest = _landed(spark, sf)
+    return extract_links(read_page_files(spark, folder, manifest))
+
+
+def q_page_files_stream(spark, sf):
+    """The page files as a stream, with their URLs: all pages of the table (a file ends with a line feed)."""
+    folder, manifest = _landed(spark, sf)
+    sink, ck = scratch_path(spark, "page-stream"), scratch_path(spark, "page-stream-ckpt")
+    q = (stream_page_files(spark, folder, manifest).select("page_id", "url", "html").writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("page_id", "url", (F.length("html") - 1).alias("html_chars"))
+
+
+def q_catalog_quarantine(spark, sf):
+    """Catalogue records, some of them cut short, of another type or without their name, read with rejects;
+    good rows and the quarantine's records, counted by reason."""
+    path, bad = scratch_path(spark, "catalog-records"), scratch_path(spark, "catalog-rejects")
+    cat, key = catalog_typed(spark, sf), F.col("catalog_idx")
+    line = F.to_json(F.struct(*[F.when(key % 11 == 3, F.lit(None)).otherwise(F.col(c)).alias(c) if c == "assessment_name" else F.col(c) for c in cat.columns]))
+    line = F.when(key % 11 == 5, F.substring(line, 1, 40)).when(key % 11 == 7, F.regexp_replace(line, '"catalog_idx":([0-9]+)', '"catalog_idx":"no $1"')).otherwise(line)
+    cat.select(line.alias("value")).write.text(path)
+    good, rejects = read_with_rejects(spark, path, cat.schema, required=("catalog_idx", "assessment_name"))
+    quarantine(rejects, bad)
+    kept = spark.read.schema("file string, record string, reason string").json(bad)
+    return told(good, kept).join(good.agg(F.sum("catalog_idx").alias("s")).select("s", F.lit(None).cast("string").alias("r")), F.col("reason").eqNullSafe(F.col("r")), "left").select(
+        F.coalesce("reason", F.lit("good")).alias("reason"), "n", F.coalesce("s", F.lit(0)).alias("sum_idx"))
+
+
 def q_page_links(spark, sf):
     return extract_links(t(spark, sf, "pages"))
 
@@ -369,6 +410,9 @@ QUERIES = {
     "pages_scan": q_pages_scan,
     "pages_stream_dedupe": q_pages_stream_dedupe,
     "pages_stream_until_repeat": q_pages_stream_until_repeat,
+    "page_files_links": q_page_files_links,
+    "page_files_stream": q_page_files_stream,
+    "catalog_quarantine": q_catalog_quarantine,
     "page_links": q_page_links,
     "resolve_url": q_resolve_url,
     "extract_listing": q_extract_listing,
@@ -419,6 +463,10 @@ LINKS = """lk as (select page_id, unnest(h) as href, unnest(range(1, len(h) + 1)
 
 SQL = {
     "pages_scan": "select page_id, url, length(html) as html_chars from pages",
+    "page_files_links": f"with {LINKS} select page_id, pos, href from lk",
+    "page_files_stream": "select page_id, url, length(html) as html_chars from pages",
+    "catalog_quarantine": """select case p_partkey % 11 when 3 then 'missing assessment_name' when 5 then 'malformed' when 7 then 'malformed' else 'good' end as reason,
+        count(*) as n, sum(case when p_partkey % 11 in (3, 5, 7) then 0 else p_partkey end) as sum_idx from part group by 1""",
     "page_links": f"with {LINKS} select page_id, pos, href from lk",
     "resolve_url": f"""with {LINKS},
         b as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) as origin,

@@ -8,7 +8,7 @@ turn of ``conversations`` against the whole part-derived catalogue.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankframe import schemas as S
@@ -156,15 +156,16 @@ def q_intent_phrases(spark, sf):
 
 
 def q_stage_counts(spark, sf):
-    """One row per stage with its row count (union of one-row aggregates)."""
+    """One row per stage with its row count, observed while the cascade is run and written once."""
     cat = CAT.catalog_typed(spark, sf)
-    q = user_queries(spark, sf)
-    r = recommend(q, cat, prepared=_prepared(spark, sf, cat))
-    parts = [("catalog", cat), ("queries", q), ("recommended", r),
-             ("queries_with_results", r.select("query_id").distinct())]
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b),
-                  [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in parts])
+    prepared = _prepared(spark, sf, cat)
+    asked, answered = Observation(), Observation()
+    q = cut_lineage(user_queries(spark, sf).observe(asked, F.count(F.lit(1)).alias("n")), "stage-queries")
+    r = recommend(q, cat, prepared=prepared).observe(answered, F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 1).alias("queries"))
+    cut_lineage(r, "stage-results")
+    counts = [("catalog", prepared["index"].n_items), ("queries", asked.get["n"]), ("recommended", answered.get["n"]),
+              ("queries_with_results", answered.get["queries"])]
+    return spark.createDataFrame(counts, "stage string, n long")
 
 
 def q_intent_types(spark, sf):
