@@ -17,7 +17,9 @@ Plan shape (see ``explain``):
 
 from __future__ import annotations
 
+import contextlib
 import math
+import weakref
 from dataclasses import dataclass
 from functools import reduce
 
@@ -113,7 +115,15 @@ def bm25_index(items: DataFrame, id_col: str, text_col: str = "text", tokenizer=
     postings = packed.select("item_id", "dl", F.inline("postings"))
     total = packed.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
     term_stats, avg_idf = term_statistics(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_items, epsilon, materialize)
-    return Bm25Index(postings, term_stats, n_items, int(total), avg_idf, id_col, k1, b, packed)
+    index = Bm25Index(postings, term_stats, n_items, int(total), avg_idf, id_col, k1, b, packed)
+    if materialize:
+        weakref.finalize(index, _forget_table, spark, name)  # its files go with the scratch folder
+    return index
+
+
+def _forget_table(spark, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def query_terms(queries: DataFrame, qid: str, qtext: str, tokenizer=tokenize_ascii) -> DataFrame:

@@ -8,6 +8,9 @@ experiment).  Documents have no URL, so the keyed merge uses the document's cont
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.operators.bm25 import bm25_topk, bm25_topk_padded
@@ -15,11 +18,12 @@ from rankframe.operators.hybrid import attach_items, merge_by_key, merge_first
 from rankframe.operators.knn import hash_embed, knn
 from rankframe.plans import sparse
 from rankframe.plans.common import index_artifact, sql_tok_ascii, t
-from rankframe.session import cut_lineage
+from rankframe.session import broadcast_if_small, cut_lineage
 
 K = 40
 DIM = 64
 RERANK_K = 20
+LISTED_ROWS = 1_000_000
 
 
 def doc_vectors(spark, sf):
@@ -63,9 +67,14 @@ def q_hybrid_rrf(spark, sf):
 
 
 def q_merge_by_url(spark, sf):
-    keys = t(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.md5("text").alias("url"))
-    lists = [l.join(keys, "item_id") for l in (dense_list(spark, sf), sparse_list(spark, sf, padded=True))]
-    return merge_by_key(lists, "url").select("query_id", "url", F.col("item_id").alias("doc_id"), "rank")
+    """Both lists keyed by their documents' hashes; the texts of listed documents alone are hashed, each once."""
+    lists = [dense_list(spark, sf), sparse_list(spark, sf, padded=True)]
+    both = cut_lineage(reduce(DataFrame.union, [l.select("query_id", "item_id", "rank", F.lit(n).alias("list")) for n, l in enumerate(lists)]), "merge-lists")
+    listed = broadcast_if_small(both.select("item_id").distinct(), LISTED_ROWS)
+    keys = t(spark, sf, "documents").withColumnRenamed("doc_id", "item_id").join(listed, "item_id", "left_semi")
+    both = both.join(cut_lineage(keys.select("item_id", F.md5("text").alias("url")), "merge-keys"), "item_id")
+    merged = merge_by_key([both.filter(F.col("list") == n) for n in range(len(lists))], "url")
+    return merged.select("query_id", "url", F.col("item_id").alias("doc_id"), "rank")
 
 
 def q_attach_items(spark, sf):

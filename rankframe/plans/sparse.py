@@ -15,7 +15,7 @@ from rankframe.operators.bm25_segments import create, open_index, update
 from rankframe.operators.containment import passage_matches
 from rankframe.operators.evaluate import mean_recall, recall_at_k
 from rankframe.plans.common import index_artifact, r6, sql_tok_ascii, sql_tok_words, t
-from rankframe.session import scratch_path
+from rankframe.session import cut_lineage, scratch_path
 from rankframe.sources.tables import read_ground_truth, write_truth_csv
 
 K_SPARSE = 40
@@ -131,7 +131,7 @@ def q_recall_at_k_bm25(spark, sf):
 
 def q_mean_recall_bm25(spark, sf):
     idx, s = _scores(spark, sf)
-    truth = passage_truth(spark, sf, idx)
+    truth = cut_lineage(passage_truth(spark, sf, idx), "truth")  # read twice below
     r = recall_at_k(bm25_topk(s, K_SPARSE), truth, K_RECALL)
     m = mean_recall(r, truth)
     return m.select(F.round("mean_recall", 6).alias("mean_recall"), "n_queries")
