@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankframe import schemas as S
+from rankframe.operators.rule_match import RULES, match_rules
 from rankframe.operators import rank as R
 from rankframe.operators import score as C
 from rankframe.operators.rerank import RERANK_INSTRUCTION, apply_order, rerank, rerank_prompts, weighted_ranker
@@ -94,6 +95,17 @@ def q_keyword_bonus(spark, sf):
     return _ids(candidates(spark, sf).withColumn("bonus", C.keyword_bonus(FIX_KEYWORDS)), "bonus")
 
 
+def q_keyword_bonus_rules(spark, sf):
+    """C5 by a rule table: the keywords as rows, found in one pass over each part's name and URL; parts, not pairs, are searched."""
+    rules = spark.createDataFrame([(i, k, "keyword", False, False) for i, k in enumerate(FIX_KEYWORDS)], RULES)
+    c = candidates(spark, sf)
+    items = c.select("catalog_idx", "assessment_name", "assessment_url").distinct()
+    text = F.concat_ws("\n", F.coalesce("assessment_name", F.lit("")), F.coalesce("assessment_url", F.lit("")))
+    found = match_rules(items.select("catalog_idx", text.alias("text")), rules, "text")
+    bonus = found.select("catalog_idx", F.when(F.size("rule_ids") > 0, F.lit(2.5)).otherwise(F.lit(0.0)).alias("bonus"))
+    return _ids(c.join(bonus, "catalog_idx"), "bonus")
+
+
 def q_role_adjustment(spark, sf):
     return _ids(candidates(spark, sf).withColumn("adj", C.role_adjustment(FIX_PLUS, FIX_MINUS)), "adj")
 
@@ -175,6 +187,7 @@ QUERIES = {
     "soft_score": q_soft_score,
     "intent_score_capped": q_intent_score_capped,
     "keyword_bonus": q_keyword_bonus,
+    "keyword_bonus_rules": q_keyword_bonus_rules,
     "role_adjustment": q_role_adjustment,
     "rank_round_robin": q_rank_round_robin,
     "rank_alternate": q_rank_alternate,
@@ -269,6 +282,7 @@ SQL = {
     "soft_score": f"with {CTE} select query_id, catalog_idx, pos, soft as score from ws",
     "intent_score_capped": f"with {CTE} select query_id, catalog_idx, pos, capped as score from ws",
     "keyword_bonus": f"with {CTE} select query_id, catalog_idx, bonus from ws",
+    "keyword_bonus_rules": f"with {CTE} select query_id, catalog_idx, bonus from ws",
     "role_adjustment": f"with {CTE} select query_id, catalog_idx, adj from ws",
     "rank_round_robin": f"""with {CTE},
         f as (select *, {DIST} as dreq from ws where {DUR_OK} and {LVL_OK}),

@@ -23,6 +23,7 @@ from rankframe.operators.evaluate import group_truth, mean_recall, recall_at_k
 from rankframe.operators.hybrid import merge_first
 from rankframe.operators.knn import hash_embed, knn
 from rankframe.operators.rerank import rerank
+from rankframe.operators.rule_match import match_rules, rules_of_patterns
 from rankframe.plans import catalog as CAT
 from rankframe.plans import hybrid as HY
 from rankframe.plans import ranking as RK
@@ -173,6 +174,13 @@ def q_intent_types(spark, sf):
     return q.select("conv_id", "turn", F.array_join(tag_types("query"), "|").alias("types"))
 
 
+def q_intent_types_rules(spark, sf):
+    """I1 by a rule table: the type rules' phrases as rows, all found in one pass over each query."""
+    rules = rules_of_patterns(spark, I.TYPE_RULES)
+    q = match_rules(user_queries(spark, sf).select("conv_id", "turn", "query"), rules, "query")
+    return q.select("conv_id", "turn", F.array_join("labels", "|").alias("types"))
+
+
 def q_intent_duration(spark, sf):
     return user_queries(spark, sf).select("conv_id", "turn", parse_max_duration("query").alias("minutes"))
 
@@ -241,6 +249,7 @@ QUERIES = {
     "intent_phrases": q_intent_phrases,
     "stage_counts": q_stage_counts,
     "intent_types": q_intent_types,
+    "intent_types_rules": q_intent_types_rules,
     "intent_duration": q_intent_duration,
     "intent_level": q_intent_level,
     "intent_json": q_intent_json,
@@ -407,6 +416,7 @@ SQL["response_json"] = f"""with {REC_CTE},
     select query_id, concat('{{"recommended_assessments":[', string_agg(j, ',' order by rank), ']}}') as response
     from js group by query_id"""
 SQL["submission_csv"] = f"""select "Query", "Assessment_url" from ({SQL['submission_rows']})"""
+SQL["intent_types_rules"] = SQL["intent_types"]
 SQL["intent_phrases"] = """select c_custkey,
     cast(case c_custkey % 9 when 0 then (c_custkey % 50 + 2) * 60 + 30 when 1 then c_custkey % 50 + 2 when 2 then 60 when 3 then 99 * 60
          when 5 then 60 when 8 then 120 end as integer) as minutes,
