@@ -9,6 +9,8 @@ words run as many trees side by side in numpy, long ones one by one.
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -21,8 +23,8 @@ from rankframe.llm.common import add_by_text
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64
-#: Distinct chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+#: Distinct chunks whose ids a worker remembers: those of two generations, the older one going when the newer has half.
+REMEMBERED = 160_000
 
 # Fixed values of the vocabulary file's normaliser and splitter (white space as its regular expressions see it).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -48,6 +50,7 @@ NEWER = ("558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf
          "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f")
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+_LOWERED_APART = re.compile("[" + "".join(map(chr, sorted(LOWER))) + "]").search
 
 
 def newer_characters() -> str:
@@ -78,6 +81,7 @@ class WordBpe:
         self.splitters = {end: (regex.compile(PIECES + end).findall, regex.compile(known + end).findall) for end in ("", "|\n")}
         self.find_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
         self.memory: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def find_pieces(self, text: str, end: str = "") -> list[str]:
@@ -203,20 +207,24 @@ class WordBpe:
         """White-space-separated parts of a text without special tokens, normalised."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else text.translate(LOWER).lower()
+        text = text.translate(LOWER).lower() if not text.isascii() and _LOWERED_APART(text) else text.lower()
         if not text.isascii() or ODD_SPACE.search(text):
             return regex.findall(f"[^{SPACE}]+", text)
         return text.split()
 
     def learn(self, new: list[str]) -> None:
         """Remember ids (little-endian unsigned 32 bits) and decoded form of chunks."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        pieces = [[p.encode() for p in self.find_pieces(c)] for c in new]
-        ids = self.encode_words(list({w for ws in pieces for w in ws}))
-        for c, ws in zip(new, pieces):
-            own = [i for w in ws for i in ids[w]]
-            self.memory[c] = np.array(own, "<u4").tobytes(), self.decode(own)
+        pieces = self.find_pieces("\n".join([*new, ""]), "|\n")
+        distinct = list(set(pieces) - {"\n"})
+        raw = [p.encode() for p in distinct]
+        ids = dict(zip(distinct, map(self.encode_words(raw).__getitem__, raw)))
+        chunk, own, pack, memory, names = iter(new), [], struct.pack, self.memory, self.names
+        for p in pieces:
+            if p == "\n":
+                memory[next(chunk)] = pack(f"<{len(own)}I", *own), " ".join([names[i] for i in own])
+                own = []
+            else:
+                own += ids[p]
 
     def split(self, text: str) -> list[str]:
         """Chunks of a text; a special token is a chunk of its own, marked by a leading blank."""
@@ -256,16 +264,18 @@ class WordBpe:
         parts = [self.split(t) for t in texts]
         every = set().union(*parts)
         new = [c for c in every if c not in self.memory]
+        if len(self.memory) + len(new) > REMEMBERED // 2:
+            self.memory, self.older, new = {}, self.memory, list(every)
+        known = [c for c in new if c in self.older]
+        self.memory.update(zip(known, map(self.older.get, known)))
+        if known:
+            new = [c for c in new if c not in self.older]
         marked = [c for c in new if c[0] == " "]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = list(every)
-            marked = [c for c in new if c[0] == " "]
         if new:
             self.learn([c for c in new if c[0] != " "])
             for c in marked:
                 i = self.special[c[1:]]
-                self.memory[c] = np.array([i], "<u4").tobytes(), self.names[i]
+                self.memory[c] = struct.pack("<I", i), self.names[i]
         get, out = self.memory.__getitem__, []
         for p in parts:
             found = [get(c) for c in p]
