@@ -9,7 +9,6 @@ words run as many trees side by side in numpy, long ones one by one.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import unicodedata
 from functools import lru_cache
@@ -24,7 +23,7 @@ from rankframe.llm.common import add_by_text
 NONE = np.int32(2**31 - 1)
 SHORT = 64
 #: Distinct chunks whose ids a worker remembers: those of two generations, the older one going when the newer has half.
-REMEMBERED = 160_000
+REMEMBERED = 400_000
 
 # Fixed values of the vocabulary file's normaliser and splitter (white space as its regular expressions see it).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -50,7 +49,6 @@ NEWER = ("558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf
          "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f")
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
-_LOWERED_APART = re.compile("[" + "".join(map(chr, sorted(LOWER))) + "]").search
 
 
 def newer_characters() -> str:
@@ -80,8 +78,8 @@ class WordBpe:
         known = known[:known.rindex("[^")] + f"(?:[{newer_characters()}]|" + known[known.rindex("[^"):-1] + ")+"
         self.splitters = {end: (regex.compile(PIECES + end).findall, regex.compile(known + end).findall) for end in ("", "|\n")}
         self.find_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.memory: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def find_pieces(self, text: str, end: str = "") -> list[str]:
@@ -207,21 +205,21 @@ class WordBpe:
         """White-space-separated parts of a text without special tokens, normalised."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.translate(LOWER).lower() if not text.isascii() and _LOWERED_APART(text) else text.lower()
+        text = text.lower() if text.isascii() else text.translate(LOWER).lower()
         if not text.isascii() or ODD_SPACE.search(text):
             return regex.findall(f"[^{SPACE}]+", text)
         return text.split()
 
     def learn(self, new: list[str]) -> None:
-        """Remember ids (little-endian unsigned 32 bits) and decoded form of chunks."""
+        """Remember ids (little-endian unsigned 32 bits) of chunks."""
         pieces = self.find_pieces("\n".join([*new, ""]), "|\n")
         distinct = list(set(pieces) - {"\n"})
         raw = [p.encode() for p in distinct]
         ids = dict(zip(distinct, map(self.encode_words(raw).__getitem__, raw)))
-        chunk, own, pack, memory, names = iter(new), [], struct.pack, self.memory, self.names
+        chunk, own, pack, memory = iter(new), [], struct.pack, self.memory
         for p in pieces:
             if p == "\n":
-                memory[next(chunk)] = pack(f"<{len(own)}I", *own), " ".join([names[i] for i in own])
+                memory[next(chunk)] = pack(f"<{len(own)}I", *own)
                 own = []
             else:
                 own += ids[p]
@@ -274,12 +272,11 @@ class WordBpe:
         if new:
             self.learn([c for c in new if c[0] != " "])
             for c in marked:
-                i = self.special[c[1:]]
-                self.memory[c] = struct.pack("<I", i), self.names[i]
-        get, out = self.memory.__getitem__, []
+                self.memory[c] = struct.pack("<I", self.special[c[1:]])
+        get, names, out = self.memory.__getitem__, self.names.__getitem__, []
         for p in parts:
-            found = [get(c) for c in p]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
+            packed = b"".join(map(get, p))
+            out.append((packed, " ".join(map(names, np.frombuffer(packed, "<u4").tolist()))))
         return out
 
 
