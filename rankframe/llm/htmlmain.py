@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,16 +19,20 @@ from pyspark.sql import DataFrame
 
 from rankframe.llm.common import add_by_text
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_BEGUN = re.compile(r"</?[a-zA-Z]")
+_AFTER_NAME = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # HTML's element names by their role in a page.
-RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "select", "title", "head"}
+RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
-          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+          "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder",
+          "munderover", "mfenced", "menclose", "mpadded", "mphantom", "mstyle", "merror", "mtable", "mtr", "mtd", "mmultiscripts", "mprescripts"}
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 GROUPS = [{"article", "main"}, {"section"}, {"div"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"nav", "menu"},
           {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "input", "dialog"}, {"table", "tbody", "thead", "tr", "td", "th"},
@@ -55,6 +60,58 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
+class Scanner:
+    """Finds the tags, comments and declarations of a page without reading any part of it again and again.
+
+    A tag that is begun but never ended makes one match run to the end of the page; from then on the
+    ends are looked up in a table of the page's quotes and angle brackets, made once.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.marks, self.after_name, self.missing = source, source.rfind(">") + 1, None, -1, set()
+
+    def _tabulate(self) -> None:
+        """Where an unquoted ``>`` follows from each quote or bracket on, outside (0) and inside of either quotes."""
+        source = self.source
+        self.marks = [m.start() for m in re.finditer("[>\"']", source)]
+        n = len(self.marks)
+        self.ends = [[-1] * (n + 1) for _ in range(3)]
+        plain, single, double = self.ends
+        for k in range(n - 1, -1, -1):
+            c = source[self.marks[k]]
+            plain[k] = self.marks[k] if c == ">" else single[k + 1] if c == "'" else double[k + 1]
+            single[k] = plain[k + 1] if c == "'" else single[k + 1]
+            double[k] = plain[k + 1] if c == '"' else double[k + 1]
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, "/" of an end tag, name, attributes) of the next tag from ``at`` on; comments have no name."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if self.marks is None or source.startswith(("<!", "<?"), at):
+                if m := _TAG.match(source, at):
+                    return at, m.end(), m.group(1) or "", m.group(2) or "", m.group(3) or ""
+                if _BEGUN.match(source, at):
+                    self._tabulate()
+            elif m := _BEGUN.match(source, at):
+                if self.after_name < m.end():
+                    after = _AFTER_NAME.search(source, m.end())
+                    self.after_name = after.start() if after else len(source)
+                end = self.ends[0][bisect_left(self.marks, self.after_name)]
+                if end >= 0:
+                    return at, end + 1, "/" if m.end() - at == 3 else "", source[m.end() - 1:self.after_name], source[self.after_name:end]
+            at += 1
+        return None
+
+    def search(self, pattern: str, at: int) -> re.Match | None:
+        """The next match of a pattern that ends with ``>``; a pattern that once had none is not searched again."""
+        if pattern in self.missing:
+            return None
+        found = re.compile(pattern, re.I).search(self.source, at, max(at, self.last))
+        if not found:
+            self.missing.add(pattern)
+        return found
+
+
 def parse(source: str) -> Page:
     """Elements and text of a page; malformed markup closes as browsers do for paragraphs, list items and cells."""
     page, stack, open_, links, buffer = Page(), [], {}, 0, []
@@ -90,13 +147,14 @@ def parse(source: str) -> Page:
                 page.linked[stack[-1]] += len(raw)
 
     push("#page", "")
-    at = 0
-    while m := _TAG.search(source, at):
-        text(source[at:m.start()])
-        at, tag = m.end(), (m.group(2) or "").lower()
+    at, scanner = 0, Scanner(source)
+    while found := scanner.next(at):
+        begin, end, closes, name, attributes = found
+        text(source[at:begin])
+        at, tag = end, name.lower()
         if not tag:
             continue
-        if m.group(1):
+        if closes:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in INLINE and tag not in VOID:
@@ -109,12 +167,12 @@ def parse(source: str) -> Page:
         if tag in RAW:
             flush()
             if tag == "head":
-                inside = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
+                inside = scanner.search(r"</head\s*>|<body(?:\s[^>]*)?>", at)
                 at = at if not inside else inside.start()
                 if inside is None:
                     continue
             else:
-                ends = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
+                ends = scanner.search(f"</{re.escape(tag)}[^>]*>", at)
                 at = ends.end() if ends else len(source) if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in VOID:
@@ -127,10 +185,10 @@ def parse(source: str) -> Page:
         flush()
         while len(stack) > 1 and (top := page.tag[stack[-1]]) in CLOSED_BY and (CLOSED_BY[top] is None or tag in CLOSED_BY[top]):
             pop()
-        push(tag, m.group(3))
+        push(tag, attributes)
         links = 0
-    rest = source[at:]
-    text(rest[:rest.find("<")] if re.search(r"<[a-zA-Z/!]", rest) else rest)
+    begun = _BEGUN.search(source, at)  # a tag without end
+    text(source[at:begun.start() if begun else len(source)])
     flush()
     return page
 
