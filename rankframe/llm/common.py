@@ -56,6 +56,14 @@ def arrow_slices(batch, columns, slice_bytes: int):
         begin = stop
 
 
+def free_name(names, wanted: str) -> str:
+    """``wanted``, made longer until no column has the name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start, slice_bytes: int = 1 << 20, keep_text: bool = True) -> DataFrame:
     """``rows`` with new columns computed from one text column, in Arrow slices of about ``slice_bytes``.
 
@@ -70,7 +78,7 @@ def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start,
     names = [c.lower() for c in kept]
     given, at = rows.select(*[F.col(f"`{c}`") for c in kept]), names.index(text_col.lower()) if text_col.lower() in names else len(kept)
     if at == len(kept):
-        given = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_of_row"))
+        given = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(free_name(kept, "_text_of_row")))
 
     def run(batches):
         make = start()
@@ -109,10 +117,11 @@ def without(docs: DataFrame, touched: DataFrame, id_col: str, text_col: str, has
 
     Only rows whose id may be among the touched ones are shuffled: a bitmap of fixed size tells.
     """
-    ids = F.xxhash64(F.col("id"))
-    marked = in_bitmap(docs.withColumn("_id_of_row", F.col(id_col)), key_bitmap(touched, ids), F.xxhash64(F.col("_id_of_row")), "_maybe")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rest = marked.filter("_maybe").withColumn("_hash_of_row", hash_of(text_of(text_col)))
+    ids, row = F.xxhash64(F.col("id")), F.col("row")
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id_of_row"))  # apart from the columns added below
+    marked = in_bitmap(kept, key_bitmap(touched, ids), F.xxhash64(F.col("_id_of_row")), "_maybe")
+    names = [row.getField(c).alias(c) for c in docs.columns]
+    rest = marked.filter("_maybe").withColumn("_hash_of_row", hash_of(F.coalesce(row.getField(text_col), F.lit(""))))
     keys = touched.select(F.col("id").alias("_t_id"), F.col("hash").alias("_t_hash"), F.col("stays").alias("_t_stays"))
     rest = rest.join(keys, F.col("_id_of_row").eqNullSafe(F.col("_t_id")) & (F.col("_hash_of_row") == F.col("_t_hash")), "left")
     once = rest.filter("_t_stays").dropDuplicates(["_id_of_row", "_hash_of_row"])

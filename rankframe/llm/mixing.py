@@ -77,11 +77,11 @@ def settle(sizes: np.ndarray, open_: np.ndarray, rng: np.random.Generator) -> tu
     return np.array(p), i if i >= 0 and 0 < p[i] < 1 else -1
 
 
-def _settle_block(seed: int, last: bool):
+def _settle_block(seed: int, level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "spread"], ascending=[False, True], ignore_index=True)
         no, block = int(rows["source_no"].iloc[0]), int(rows["block"].iloc[0])
-        rng = np.random.default_rng(zlib.crc32(f"{seed}/{no}/{block}/{last}".encode()))
+        rng = np.random.default_rng(zlib.crc32((f"{seed}/{no}/{block}/{last}" + f"/{level}" * (level > 0)).encode()))
         p, left = settle(rows["size"].to_numpy(float), rows["open"].to_numpy(float), rng)
         if last and left >= 0:
             p[left], left = float(p[left] >= 0.5), -1
@@ -138,8 +138,10 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = cut_lineage(rows, "mix-rows")
     settled = rows.filter("open = 0").select("row_id", "id", "size", "copies", "source_no")
     pending, n_blocks = rows.filter("open > 0").drop("source_size", "target"), math.ceil(most_rows / block_rows)
+    level = 0
     while n_blocks:
-        done = pending.groupBy("source_no", "block").applyInPandas(_settle_block(seed, n_blocks == 1), _OPEN)
+        done = pending.groupBy("source_no", "block").applyInPandas(_settle_block(seed, level, n_blocks == 1), _OPEN)
+        level += 1
         done = cut_lineage(done, "mix-level")
         settled = settled.unionByName(done.filter("open = 0").select("row_id", "id", "size", "copies", "source_no"))
         pending = done.filter("open > 0").withColumn("block", F.floor(F.col("block") / block_rows).cast("long"))
@@ -155,8 +157,11 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
 
     The rows are written once with their numbers, so that every later reading agrees on them.
     """
-    numbered = cut_lineage(docs.withColumn("_row_of_docs", F.monotonically_increasing_id()), "mix-docs")
-    taken = copies_of(numbered, row_col="_row_of_docs", **kw).filter("copies > 0").select(F.col("row_id").alias("_row_taken"), F.col("copies").alias("_copies"))
-    joined = numbered.join(taken, F.col("_row_of_docs") == F.col("_row_taken"))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return joined.withColumn("_time", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, columns = F.col("row"), {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n"))
+    numbered = cut_lineage(numbered, "mix-docs")  # the row apart from the columns added here
+    named = numbered.select("n", *[row.getField(kw.pop(k, default)).alias(default) for k, default in columns.items()])
+    taken = copies_of(named, row_col="n", **kw).filter("copies > 0").select(F.col("row_id").alias("n"), "copies")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    joined = numbered.join(taken, "n").select("row", times.alias("time"))
+    return joined.select(*[row.getField(c).alias(c) for c in docs.columns])
