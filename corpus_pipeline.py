@@ -7,19 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.llm import bpe, exact, langid, minhash, mixing
-from rankframe.llm.common import crc_bucket, cut_lineage, prepare, table
+from rankframe.llm.common import crc_bucket, cut_lineage, free_name, prepare, table
 from rankframe.llm.queries import word_bpe_path
 
-#: A document whose most probable language is less probable than this has no language.
-LEAST_LANGUAGE = 0.35
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or without a language of some probability."""
+    """Drops documents that have no language: null texts and texts without a letter."""
     prepare(spark)
     model = langid.train(docs.filter(crc_bucket("doc_id", 4) != 2))
-    found = langid.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    return found.filter(langid.accepted(F.col("_lang_score"), F.col("_lang_pred"), LEAST_LANGUAGE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score")
+    found = langid.identify(docs, model, lang_out=lang, score_out=score)
+    return found.filter(F.col(lang) != langid.UNDECIDED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
