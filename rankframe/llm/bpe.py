@@ -22,8 +22,8 @@ from rankframe.llm.common import add_by_text
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64
-#: Distinct chunks whose ids a worker remembers: those of two generations, the older one going when the newer has half.
-REMEMBERED = 400_000
+#: Distinct chunks whose ids a task remembers: those of two generations, the older one going when the newer has half.
+REMEMBERED = 250_000
 
 # Fixed values of the vocabulary file's normaliser and splitter (white space as its regular expressions see it).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -210,6 +210,9 @@ class WordBpe:
             return regex.findall(f"[^{SPACE}]+", text)
         return text.split()
 
+    def forget(self) -> None:
+        self.memory, self.older = {}, {}
+
     def learn(self, new: list[str]) -> None:
         """Remember ids (little-endian unsigned 32 bits) of chunks."""
         pieces = self.find_pieces("\n".join([*new, ""]), "|\n")
@@ -301,6 +304,7 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
         def coded(texts: pa.Array) -> list[pa.Array]:
             pairs = coder.encode_texts([t or "" for t in texts.to_pylist()])
             return [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())]
+        coded.end = coder.forget  # the worker goes on to other work
         return coded
 
     return add_by_text(docs, text_col, {ids_col: "binary", decoded_col: "string"}, start, keep_text=keep_text)

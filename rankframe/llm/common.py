@@ -68,7 +68,7 @@ def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start,
     """``rows`` with new columns computed from one text column, in Arrow slices of about ``slice_bytes``.
 
     ``start()`` runs once per task and returns a function from an Arrow string array to one array per
-    new column (``outputs``: name to SQL type).  Columns of ``rows`` named like a new one are
+    new column (``outputs``: name to SQL type); its attribute ``end``, if any, is called when the task is done.  Columns of ``rows`` named like a new one are
     replaced; without ``keep_text`` the text column is not returned.
     """
     import pyarrow as pa
@@ -82,9 +82,12 @@ def add_by_text(rows: DataFrame, text_col: str, outputs: dict[str, str], start,
 
     def run(batches):
         make = start()
-        for batch in batches:
-            for part in arrow_slices(batch, [at], slice_bytes):
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *make(part.column(at))], names=[*kept, *outputs])
+        try:
+            for batch in batches:
+                for part in arrow_slices(batch, [at], slice_bytes):
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *make(part.column(at))], names=[*kept, *outputs])
+        finally:
+            getattr(make, "end", lambda: None)()
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:len(kept)]]
     return given.mapInArrow(run, ", ".join([*types, *[f"`{n}` {t}" for n, t in outputs.items()]]))
