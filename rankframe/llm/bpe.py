@@ -49,6 +49,7 @@ NEWER = ("558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf
          "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f")
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+_LOWERED_APART = [chr(c) for c in LOWER]
 
 
 def newer_characters() -> str:
@@ -205,7 +206,9 @@ class WordBpe:
         """White-space-separated parts of a text without special tokens, normalised."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else text.translate(LOWER).lower()
+        if not text.isascii() and any(c in text for c in _LOWERED_APART):
+            text = text.translate(LOWER)
+        text = text.lower()
         if not text.isascii() or ODD_SPACE.search(text):
             return regex.findall(f"[^{SPACE}]+", text)
         return text.split()
