@@ -5,15 +5,16 @@ Frequencies are counted over all documents in a sketch of fixed size; a shingle'
 ``log(1 + 1 / (share of documents + SMOOTH))``.  The sketch's error is a share of the documents, far
 below SMOOTH, at any corpus size, and so is the idf's.  Each sample of a text is a shingle and a
 quantised weight, equal for two texts with the probability of their weighted Jaccard similarity.
-Samples are banded; texts that share a band or two adjacent ones are candidates, and links are
-those of at least the wanted weighted Jaccard similarity, computed on the whole texts.
-
-A bucket of any size first gives one pair per member: with its leader, the member whose buckets are
-the fullest over all bands.  In a group of copies with edits of their own that is the common original.
-Members that no link ties to the leader's class then lead themselves, more of them each round, and
-meet every member of another class, until each has led or joined that class: so every two members of
-a bucket are in one class or have been looked at.  Weighted Jaccard distance is a metric, so two
-members whose distances to the leader differ by more than a link's distance need no look.
+Samples are banded; texts that share a band are candidates, and links are those of at least the
+wanted weighted Jaccard similarity, computed on the whole texts.
+
+A bucket of any size gives one pair per member: with its leader, the member whose buckets are the
+fullest over all bands.  In a group of copies with edits of their own that is the common original.
+Members of buckets that still hold several classes are then told apart by their rare shingles: two
+texts of similarity t share a shingle among the rarest ones of either, those after which less weight
+than t of the text is left.  Texts that share one, in different classes, are compared unless what
+follows the shingle is too light for a link.  This misses no link of theirs, and texts that only
+share what a large group shares never meet.
 """
 
 from __future__ import annotations
@@ -36,25 +37,27 @@ DRAW_BITS = 15
 SEED = 41
 #: At most so many pairs of one text meet in one task of the verification.
 _PAIRS_PER_SALT = 64
-#: Leaders of a bucket in the first further round, and how many times more in each next one.
-_LEADERS = 4
+#: Counters of the sketch that orders the shingles of texts in buckets of several classes.
+_ORDER_BITS = 18
+#: Sums of weights in another order may differ by this share.
+_SLACK = 1e-9
 _CHUNK = 4096
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per slot of shingle hashes, and the number of documents; each task sends 2**SLOT_BITS numbers at most."""
+def document_frequencies(texts: DataFrame, bits: int = SLOT_BITS) -> tuple[np.ndarray, int]:
+    """Documents per slot of shingle hashes, and the number of documents; each task sends 2**bits numbers at most."""
     def run(batches):
-        total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
+        total, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for part in arrow_slices(batch, [0], 1 << 19):
                 _, hashed, _ = shingles(part.column(0))
-                total += np.bincount((hashed & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), minlength=1 << SLOT_BITS)
+                total += np.bincount((hashed & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
             n += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], names=["slot", "n"])
 
     rows = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << SLOT_BITS, np.int64)
+    total = np.zeros(1 << bits, np.int64)
     slot, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy()
     total[slot[slot >= 0]] = n[slot >= 0]
     return total, int(n[slot < 0].sum())
@@ -123,6 +126,20 @@ class Sampler:
         whole = np.bincount(ta, wa, n) + np.bincount(sides[1][0], wb, n) - shared
         return np.where(whole > 0, shared / np.where(whole > 0, whole, 1), 1.0)
 
+    def rare(self, texts: pa.Array, order: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, shingle, left, whole): each text's rarest shingles by ``order``, as far as the weight ``left`` from
+        one on, itself included, is at least ``least`` of the ``whole`` text's.  Two texts of that similarity share one."""
+        text, hashed, count = shingles(texts)
+        weight = self.weights(hashed, count)
+        by = np.lexsort((hashed, order[(hashed & np.uint64(len(order) - 1)).astype(np.int64)], text))
+        text, hashed, weight = text[by], hashed[by], weight[by]
+        whole = np.bincount(text, weight, len(texts))
+        before = np.cumsum(weight) - weight
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        left = whole[text] - (before - np.repeat(before[first], np.diff(np.append(first, len(text)))))
+        keep = left >= (least - _SLACK) * whole[text] if len(text) else np.zeros(0, bool)
+        return text[keep], hashed[keep].view(np.int64), left[keep], whole[text[keep]]
+
 
 def _table(rows: DataFrame, name: str) -> DataFrame:
     """A written table of keys, ranks or links: far smaller than the texts, so a task takes eight shuffle partitions."""
@@ -130,10 +147,9 @@ def _table(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) for every band and every two adjacent bands; texts without shingles are in none."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.get("bands", i), F.get("bands", (i + 1) % BANDS), i, F.lit(2)))
-    single = F.transform("bands", lambda b, i: F.xxhash64(b, i, F.lit(1)))
-    return nodes.filter("has_shingles").select(F.explode(F.concat(single, pairs)).alias("bucket"), "node")
+    """(bucket, node) for every band; texts without shingles are in none."""
+    keys = F.transform("bands", lambda b, i: F.xxhash64(b, i))
+    return nodes.filter("has_shingles").select(F.explode(keys).alias("bucket"), "node")
 
 
 def _fullness(buckets: DataFrame) -> DataFrame:
@@ -161,35 +177,73 @@ def _leader_pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
-def _open_members(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold two classes or more, with ``outside``: not in the leader's class, and ``outsiders``: how many are not."""
+def _open_members(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, rep, class): the texts of buckets that hold two classes or more."""
     own = labels.select(F.col("node").alias("c_node"), "label")
-    led = labels.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
-    classed = rest.join(own, F.col("node") == F.col("c_node"), "left").join(led, F.col("leader") == F.col("t_node"), "left")
-    classed = classed.select("bucket", "node", "leader", "away", F.coalesce("label", "node").alias("label"), F.coalesce("t_label", "leader").alias("t_label"))
-    classed = classed.withColumn("outside", F.col("label") != F.col("t_label"))
-    size = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("outside").alias("outsiders"))
-    size = size.filter("lo <> hi").select(F.col("bucket").alias("o_bucket"), "outsiders")
-    return classed.join(size, F.col("bucket") == F.col("o_bucket")).select("bucket", "node", "leader", "away", "label", "outside", "outsiders")
+    classed = members.select("bucket", "node").join(own, F.col("node") == F.col("c_node"), "left").select("bucket", "node", F.xxhash64(F.coalesce("label", "node")).alias("class"))
+    classed = _table(classed, "near-classed")
+    mixed = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("m_bucket"))
+    found = classed.join(mixed, F.col("bucket") == F.col("m_bucket"), "left_semi").select(F.col("node").alias("o_node"), "class").distinct()
+    return nodes.select("node", "rep").join(found, F.col("node") == F.col("o_node")).select("node", "rep", "class")
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that may be the text of a (node, rep) of ``wanted``: nearly all others are left out."""
+    key = F.xxhash64("node", F.col("rep"))
+    return in_bitmap(texts, key_bitmap(wanted, key), F.xxhash64("node", "id"), "maybe").filter("maybe").select("node", "id", "text")
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, sampler, least: float) -> DataFrame:
+    """Distinct (a, b) of different classes of ``members`` (node, rep, class) that share a rare shingle and may be linked.
+
+    Shingles of one class alone are left out first.  Members of the class that holds most of a
+    shingle's texts are never paired with each other, so a large class costs no pairs of its own.
+    """
+    some = _texts_of(texts, members)
+    order, _ = document_frequencies(some.select("text"), _ORDER_BITS)
+    order = members.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        model = _sampler(sampler.value)
+        for batch in batches:
+            for part in arrow_slices(batch, [2], 1 << 19):
+                text, shingle, left, whole = model.rare(part.column(2), order.value, least)
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(shingle), pa.array(left), pa.array(whole)],
+                                                 names=["node", "id", "shingle", "remains", "whole"])
+
+    kind = some.schema["id"].dataType.simpleString()
+    rare = some.mapInArrow(run, f"node binary, id {kind}, shingle long, remains double, whole double")
+    own = members.select(F.col("node").alias("o_node"), "rep", "class")
+    rare = rare.join(own, (F.col("node") == F.col("o_node")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "class", "shingle", "remains", "whole")
+    rare = cut_lineage(rare, "near-rare")
+    per = rare.groupBy("shingle", "class").agg(F.count("*").alias("n"))
+    home = per.groupBy("shingle").agg(F.max(F.struct("n", "class")).alias("most"), F.count("*").alias("classes")).filter("classes > 1")
+    home = _table(home.select(F.col("shingle").alias("h_shingle"), F.col("most.class").alias("home")), "near-home")
+    held = in_bitmap(rare, key_bitmap(home, F.xxhash64("h_shingle")), F.xxhash64("shingle"), "maybe").filter("maybe")
+    held = held.join(home, F.col("shingle") == F.col("h_shingle")).withColumn("away", F.col("class") != F.col("home"))
+    held = _table(held.select("node", "class", "shingle", "remains", "whole", "away"), "near-held")
+    left, right = held.filter("away").alias("l"), held.alias("r")
+    sum_ = F.col("l.whole") + F.col("r.whole")
+    enough = F.least("l.remains", "r.remains") >= least / (1 + least) * (1 - _SLACK) * sum_
+    sized = F.least("l.whole", "r.whole") >= least * (1 - _SLACK) * F.greatest("l.whole", "r.whole")
+    once = ~F.col("r.away") | (F.col("l.node") < F.col("r.node"))
+    both = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & enough & sized & once)
+    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sampler) -> DataFrame:
     """The pairs with their texts' similarity.  Only texts of candidates are shuffled, in shares per leader."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = _table(nodes.join(ids, "node", "left_semi").select("node", "rep"), "near-wanted")
-    rep_key = F.xxhash64("node", F.col("rep"))
-    some = in_bitmap(texts, key_bitmap(wanted, rep_key), F.xxhash64("node", "id"), "maybe").filter("maybe").select("node", "id", "text")
-    wanted = wanted.select(F.col("node").alias("w_node"), "rep")
-    some = some.join(wanted, (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-    some = cut_lineage(some, "near-texts")
+    reps = nodes.select(F.col("node").alias("r_node"), "rep")
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PAIRS_PER_SALT).alias("salts")).withColumnRenamed("a", "l_a")
-    right = pairs.join(load, F.col("a") == F.col("l_a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    right = right.join(some.select(F.col("node").alias("b_node"), F.col("text").alias("b_text")), F.col("b") == F.col("b_node"))
-    left = some.join(load, F.col("node") == F.col("l_a")).select(
-        F.col("node").alias("a_node"), F.col("text").alias("a_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("a_salt"))
-    both = right.select("a", "b", "salt", "b_text").join(left, (F.col("a") == F.col("a_node")) & (F.col("salt") == F.col("a_salt")))
-    both = both.select("a", "b", F.col("a_text"), F.col("b_text"))
+    load = _table(load.join(reps, F.col("l_a") == F.col("r_node")).select("l_a", "salts", "rep"), "near-load")
+    dealt = pairs.join(load.drop("rep"), F.col("a") == F.col("l_a")).join(reps, F.col("b") == F.col("r_node"))
+    dealt = _table(dealt.select("a", "b", "rep", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "near-dealt")
+    right = _texts_of(texts, dealt.select(F.col("b").alias("node"), "rep")).withColumnRenamed("text", "b_text")
+    right = right.join(dealt, (F.col("node") == F.col("b")) & F.col("id").eqNullSafe(F.col("rep"))).select("a", "b", "salt", "b_text")
+    left = _texts_of(texts, load.select(F.col("l_a").alias("node"), "rep")).join(load, (F.col("node") == F.col("l_a")) & F.col("id").eqNullSafe(F.col("rep")))
+    left = left.select(F.col("node").alias("a_node"), F.col("text").alias("a_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("a_salt"))
+    both = right.join(left, (F.col("a") == F.col("a_node")) & (F.col("salt") == F.col("a_salt"))).select("a", "b", "a_text", "b_text")
 
     def run(batches):
         model = _sampler(sampler.value)
@@ -276,34 +330,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _table(_fullness(_bucket_rows(nodes)), "near-buckets")
     leaders = _table(_leaders(members), "near-leaders")
     pairs = _table(_leader_pairs(members, leaders), "near-pairs")
-    found = _table(_verified(pairs, nodes, texts, shared), "near-found")
-    links = found.filter(F.col("similarity") >= least)
-    tried, labels = pairs, components(links)
-    led = members.join(leaders, F.col("bucket") == F.col("t_bucket")).filter("a <> node").select("bucket", "node", F.col("a").alias("leader"))
-    like = found.select("a", "b", (1 - F.col("similarity")).alias("away"))
-    rest = led.join(like, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b"))).select("bucket", "node", "leader", "away")
-    wide = _LEADERS
-    while True:
-        # buckets whose members are in several classes by now: some members outside the leader's class lead, and are done with
-        rest = _table(_open_members(rest, labels), "near-rest")
-        if rest.isEmpty():
-            break
-        rest = rest.withColumn("leads", F.col("outside") & (F.pmod(F.xxhash64("node", "bucket"), F.col("outsiders")) < wide))
-        lead = rest.filter("leads").select(F.col("bucket").alias("l_bucket"), F.col("node").alias("l_node"), F.col("label").alias("l_label"), F.col("away").alias("l_away"))
-        near = F.abs(F.col("away") - F.col("l_away")) <= 1 - least + 1e-6
-        more = rest.join(lead, (F.col("bucket") == F.col("l_bucket")) & (F.col("label") != F.col("l_label")) & near)
-        # of two leaders' pair, the one way round
-        more = more.filter("NOT leads OR node > l_node").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
-        seen = tried.select(F.least("a", "b").alias("s_a"), F.greatest("a", "b").alias("s_b"))
-        more = more.join(seen, (F.least("a", "b") == F.col("s_a")) & (F.greatest("a", "b") == F.col("s_b")), "left_anti")
-        more = _table(more, "near-more")
-        if not more.isEmpty():
-            new = _table(_verified(more, nodes, texts, shared).filter(F.col("similarity") >= least), "near-links")
-            tried = tried.union(more)
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = joined_labels(labels, new.select("a", "b"))
-        rest, wide = rest.filter("NOT leads").select("bucket", "node", "leader", "away"), wide * _LEADERS
+    links = _table(_verified(pairs, nodes, texts, shared).filter(F.col("similarity") >= least), "near-links")
+    labels = components(links)
+    rest = _table(_open_members(members, labels, nodes), "near-open")
+    if not rest.isEmpty():
+        more = _table(_rare_pairs(rest, texts, shared, least), "near-more")
+        new = _table(_verified(more, nodes, texts, shared).filter(F.col("similarity") >= least), "near-links")
+        if not new.isEmpty():
+            links = links.union(new).distinct()
+            labels = joined_labels(labels, new.select("a", "b"))
     ends = links.select(F.col("a").alias("e_node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     degree = ends.groupBy("e_node").agg(F.count("*").alias("links"))
     labels = labels.withColumnRenamed("node", "c_node")
