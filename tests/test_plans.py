@@ -43,3 +43,20 @@ def test_knn_switches_to_passes_then_blocked_beyond_the_bound(spark, monkeypatch
     df = E.queries()["knn_topk"](spark, SMALL)
     assert "FlatMapCoGroupsInPandas" in plan(df)
     assert sorted(df.collect()) == base
+
+
+def test_searches_are_the_rows_with_ids_divisible_by_100(spark, tmp_path):
+    """Of customers and conversations those with such a key are searched for, among all parts."""
+    from rankframe.plans import ranking as RK
+    from rankframe.plans import recommend as RC
+
+    spark.createDataFrame([(k, f"Customer#{k}", k % 25, 1.0, "BUILDING") for k in (1, 99, 100, 101, 300)],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, f"ring {k} gear", "Brand#1", "STEEL", k % 50, 1.0) for k in range(1, 61)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(c, n, "user" if n % 2 == 0 else "assistant", f"text {n}") for c in (0, 7, 100, 250, 400) for n in range(3)],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = RK.candidates(spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in pairs) == [(100, 40), (300, 40)]
+    assert sorted(r.query_id for r in RC.searches(spark, str(tmp_path)).collect()) == [0, 2, 100_000_000, 100_000_002, 400_000_000, 400_000_002]
+    assert RC.user_queries(spark, str(tmp_path)).count() == 10
