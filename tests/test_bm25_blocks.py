@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,30 @@ def test_negative_idf_and_empty_sides(spark, monkeypatch):
     assert top.count() == 0 and looked.count() == 0
     none = B.block_index(bm25_index(docs.filter("false"), "doc_id"))
     assert B.topk_by_blocks(queries, none, 3)[0].agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("tokens", [1, 40, 1 << 17])
+def test_block_rows_are_made_without_a_shuffle(spark, monkeypatch, tokens):
+    monkeypatch.setattr(B, "BLOCK_ITEMS", 4)
+    written, cut = {}, B.cut_lineage
+
+    def kept(df, name):
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+    monkeypatch.setattr(B, "cut_lineage", kept)
+    docs, _ = corpus(spark, 5, 90)
+    index = bm25_index(docs, "doc_id")
+    rows = B.block_index(index).blocks.collect()
+    assert "Exchange" not in written["bm25-blocks"]
+    assert len({(r.term, r.block) for r in rows}) == len(rows)
+    assert sorted((r.term, i.item_id, i.tf, i.dl) for r in rows for i in r["items"]) == sorted(
+        (p.term, p.item_id, p.tf, p.dl) for p in index.postings.collect())
+    assert all(r.most == max(i.tf * 2.5 / (i.tf + 1.5 * (0.25 + 0.75 * i.dl / index.avgdl)) for i in r["items"]) for r in rows)
+    given = index.packed.sort("item_id").collect()
+    table = pa.table({"item_id": [r.item_id for r in given], "postings": pa.array([[dict(p.asDict()) for p in r.postings] for r in given], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))),
+                      "block": pa.array([i // 4 for i in range(len(given))], pa.int64())})
+    monkeypatch.setattr(B, "SLICE_TOKENS", tokens)
+    parts = list(B._whole_blocks(table.to_batches(max_chunksize=7)))
+    assert pa.concat_tables(parts).equals(table.combine_chunks()) or pa.concat_tables(parts).to_pylist() == table.to_pylist()
+    blocks = [set(p.column("block").to_pylist()) for p in parts]
+    assert not any(a & b for i, a in enumerate(blocks) for b in blocks[:i])
