@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import WORD, cut_lineage, text_of
+from rankframe.llm.common import WORD, cut_lineage, in_bitmap, key_bitmap, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -92,12 +92,23 @@ def _settle_block(seed: int, level: int, last: bool):
     return run
 
 
+def _same(id_col: str, source_col: str, text_col: str) -> Column:
+    """A hash that rows share whose id, source and text are equal."""
+    return F.xxhash64(*[x for c in (id_col, source_col, text_col) for x in (F.col(c), F.col(c).isNull())])
+
+
+def _spread() -> Column:
+    """A hash of the row's ``same`` and of its ``number`` among rows with the same."""
+    return F.xxhash64("same", "number")
+
+
 def _numbered_among_equals(sized: DataFrame) -> DataFrame:
-    """``sized`` with ``spread``: a hash of the row's ``same`` and of its number among rows with the same, from 0.
+    """``sized`` with ``number``: the row's number among rows with its ``same``, from 0.
 
     Equal rows are numbered within the parts that ``row_id`` names and offset by the counts of earlier
     parts, so no task gathers them all.  They are alike, so it does not matter which has which number.
     """
+    columns = sized.columns
     sized = sized.withColumn("part", F.shiftright("row_id", 33))
     inside = F.row_number().over(Window.partitionBy("same", "part").orderBy("row_id"))
     per = sized.groupBy("same", "part").agg(F.count("*").alias("n"))
@@ -105,12 +116,10 @@ def _numbered_among_equals(sized: DataFrame) -> DataFrame:
     per = per.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select(F.col("same").alias("p_same"), F.col("part").alias("p_part"), "before")
     numbered = sized.withColumn("inside", inside).join(per, (F.col("same") == F.col("p_same")) & (F.col("part") == F.col("p_part")), "left")
     number = F.coalesce("before", F.lit(0)).cast("long") + F.col("inside") - 1
-    return numbered.select("row_id", "id", "source", "size", F.xxhash64("same", number).alias("spread"))
+    return numbered.select(*columns, number.alias("number"))
 
 
-def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-              weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block_rows: int = BLOCK_ROWS,
-              seed: int = SEED, row_col: str | None = None) -> DataFrame:
+def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, **kw) -> DataFrame:
     """row_id, the id, size, source_size, target, copies for every row of ``docs`` (``row_col``: its own row numbers, if it has any).
 
     A null text has size 0, a null source is a source of its own (the last), documents without
@@ -118,13 +127,23 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Draws depend on the seed, source and block only, and a document's block on its id, source and
     text, so reruns agree however the rows are split; of equal rows any may be the one taken.  ``row_id``
     numbers the rows of ``docs`` as they are read; columns besides the three named are ignored.
+    Keywords: ``weights``, ``share``, ``most``, ``block_rows``, ``seed``.
     """
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    sized = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("id"),
-                        F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"),
-                        F.xxhash64(*[x for c in (id_col, source_col, text_col) for x in (F.col(c), F.col(c).isNull())]).alias("same"))
-    sized = cut_lineage(sized, "mix-sizes")
-    sized = cut_lineage(_numbered_among_equals(sized), "mix-numbered")
+    sized = _sized(docs, number, id_col, text_col, source_col)
+    return _settled(sized, **kw).select("row_id", F.col("id").alias(id_col), "size", "source_size", "target", "copies")
+
+
+def _sized(docs: DataFrame, number: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row_id, id, source, size, same and number of every row, written."""
+    sized = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
+                        word_count(text_of(text_col)).alias("size"), _same(id_col, source_col, text_col).alias("same"))
+    return cut_lineage(_numbered_among_equals(cut_lineage(sized, "mix-sizes")), "mix-numbered")
+
+
+def _settled(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+    """row_id, id, spread, size, source_size, target and copies of the rows of :func:`_sized`."""
+    sized = sized.withColumn("spread", _spread()).drop("same", "number")
     targets = cut_lineage(source_targets(sized, weights, share, most), "mix-targets")
     most_rows = targets.agg(F.max("n_rows")).first()[0] or 0
     salted = targets.withColumnRenamed("source", "t_source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -136,32 +155,47 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = rows.select("row_id", "id", "spread", "size", "copies", (F.col("wanted") - F.col("copies")).alias("open"), "source_no",
                        F.pmod(F.shiftright("spread", 8), blocks).cast("long").alias("block"), "source_size", "target")
     rows = cut_lineage(rows, "mix-rows")
-    settled = rows.filter("open = 0").select("row_id", "id", "size", "copies", "source_no")
+    settled = rows.filter("open = 0").select("row_id", "id", "spread", "size", "copies", "source_no")
     pending, n_blocks = rows.filter("open > 0").drop("source_size", "target"), math.ceil(most_rows / block_rows)
     level = 0
     while n_blocks:
         done = pending.groupBy("source_no", "block").applyInPandas(_settle_block(seed, level, n_blocks == 1), _OPEN)
         level += 1
         done = cut_lineage(done, "mix-level")
-        settled = settled.unionByName(done.filter("open = 0").select("row_id", "id", "size", "copies", "source_no"))
+        settled = settled.unionByName(done.filter("open = 0").select("row_id", "id", "spread", "size", "copies", "source_no"))
         pending = done.filter("open > 0").withColumn("block", F.floor(F.col("block") / block_rows).cast("long"))
         n_blocks = 0 if n_blocks == 1 else math.ceil(n_blocks / block_rows)
     salted = salted.select("source_size", "target", "salt", F.col("source_no").alias("t_no"))
     settled = settled.withColumn("t_salt", F.pmod(F.xxhash64("id", "row_id"), F.lit(_SALTS)))
     out = settled.join(salted, (F.col("source_no") == F.col("t_no")) & (F.col("t_salt") == F.col("salt")))
-    return out.select("row_id", F.col("id").alias(id_col), "size", "source_size", "target", "copies")
+    return out.select("row_id", "id", "spread", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
+def mix(docs: DataFrame, written: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """``docs`` with each row as often as :func:`copies_of` takes it; the columns stay as they are.
 
-    The rows are written once with their numbers, so that every later reading agrees on them.
+    ``docs`` is read several times, and every reading must give the same rows: unless it is
+    ``written`` (read from files), it is written first.  Rows go through one shuffle, to their copies,
+    by id and ``spread``; rows that repeat an id, source and text are numbered anew for that, and
+    only those and the few that a bitmap of fixed size cannot tell from them are written.
     """
-    row, columns = F.col("row"), {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n"))
-    numbered = cut_lineage(numbered, "mix-docs")  # the row apart from the columns added here
-    named = numbered.select("n", *[row.getField(kw.pop(k, default)).alias(default) for k, default in columns.items()])
-    taken = copies_of(named, row_col="n", **kw).filter("copies > 0").select(F.col("row_id").alias("n"), "copies")
+    row = F.col("row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # apart from the columns added here
+    rows = rows if written else cut_lineage(rows, "mix-docs")
+    named = rows.select("row", *[row.getField(c).alias(to) for c, to in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))])
+    sized = _sized(named, F.monotonically_increasing_id(), "doc_id", "text", "source")
+    taken = _settled(sized, **kw).filter("copies > 0").select(F.col("id").alias("t_id"), F.col("spread").alias("t_spread"), "copies")
+    taken = cut_lineage(taken, "mix-taken")
+    own = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("spread") == F.col("t_spread"))
+    rows = named.select("row", F.col("doc_id").cast("long").alias("id"), _same("doc_id", "source", "text").alias("same"), F.lit(0).cast("long").alias("number"))
+    repeats, again = sized.filter("number = 1").select("same"), None
+    if not repeats.isEmpty():
+        marked = in_bitmap(rows, key_bitmap(repeats, F.col("same")), F.col("same"), "maybe")
+        again = cut_lineage(marked.filter("maybe").select("row", "id", "same", F.monotonically_increasing_id().alias("row_id")), "mix-repeats")
+        rows = marked.filter("NOT maybe")
+    joined = rows.select("row", "id", _spread().alias("spread")).join(taken, own).select("row", "copies")
+    if again:
+        keys = _numbered_among_equals(again.select("row_id", "id", "same")).select("row_id", "id", _spread().alias("spread"))
+        joined = joined.union(again.join(keys.join(taken, own).select("row_id", "copies"), "row_id").select("row", "copies"))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    joined = numbered.join(taken, "n").select("row", times.alias("time"))
-    return joined.select(*[row.getField(c).alias(c) for c in docs.columns])
+    return joined.select("row", times.alias("time")).select(*[row.getField(c).alias(c) for c in docs.columns])

@@ -346,6 +346,31 @@ def test_mixed_rows_come_as_often_as_taken(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [0, 300])
+def test_pipeline_mixing_writes_repeated_texts_only(spark, tmp_path, monkeypatch, repeats):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows = [(1000 + i, f"text {i} " + "w " * r.randint(0, 40), "en", r.choice(["a", "b", None])) for i in range(400)] + [(None, None, "en", "a"), (1, "", "en", "b")]
+    rows += [(None, "the very same text", "en", "b")] * repeats
+    table(spark, rows).repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs, written, cut = spark.read.parquet(f"{tmp_path}/docs"), [], mixing.cut_lineage
+
+    def watch(df, name):
+        if "row" in df.columns or "text" in df.columns:
+            written.append(df.count())
+        return cut(df, name)
+    monkeypatch.setattr(mixing, "cut_lineage", watch)
+    key = lambda x: (x.doc_id, x.text, x.source)
+    mixed = [key(x) for x in corpus_pipeline.mixing_sources(spark, docs, "").collect()]
+    by_id = {x.doc_id: key(x) for x in docs.collect() if x.doc_id is not None}
+    text_of = lambda x: by_id.get(x.doc_id) or (None, "the very same text" if x.size else None, "b" if x.size else "a")
+    want = [text_of(x) for x in mixing.copies_of(docs).collect() for _ in range(x.copies)]
+    order = lambda v: sorted(v, key=str)
+    assert len(mixed) > 300 and order(mixed) == order(want)
+    assert sum(written) == repeats
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert exact.exact_groups(none).count() == 0 and exact.drop_copies(none).count() == 0
