@@ -45,8 +45,8 @@ def test_knn_switches_to_passes_then_blocked_beyond_the_bound(spark, monkeypatch
     assert sorted(df.collect()) == base
 
 
-def test_searches_are_the_rows_with_ids_divisible_by_100(spark, tmp_path):
-    """Of customers and conversations those with such a key are searched for, among all parts."""
+def test_every_customer_and_user_turn_is_searched_for(spark, tmp_path):
+    """Whatever its key, among all parts; the SQL asks for the same rows."""
     from rankframe.plans import ranking as RK
     from rankframe.plans import recommend as RC
 
@@ -57,6 +57,7 @@ def test_searches_are_the_rows_with_ids_divisible_by_100(spark, tmp_path):
     spark.createDataFrame([(c, n, "user" if n % 2 == 0 else "assistant", f"text {n}") for c in (0, 7, 100, 250, 400) for n in range(3)],
                           "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     pairs = RK.candidates(spark, str(tmp_path)).groupBy("query_id").count().collect()
-    assert sorted((r["query_id"], r["count"]) for r in pairs) == [(100, 40), (300, 40)]
-    assert sorted(r.query_id for r in RC.searches(spark, str(tmp_path)).collect()) == [0, 2, 100_000_000, 100_000_002, 400_000_000, 400_000_002]
-    assert RC.user_queries(spark, str(tmp_path)).count() == 10
+    assert sorted((r["query_id"], r["count"]) for r in pairs) == [(k, 40) for k in (1, 99, 100, 101, 300)]
+    told = {r.stage: r.n for r in RC.q_stage_counts(spark, str(tmp_path)).collect()}
+    assert told["queries"] == told["queries_with_results"] == 10
+    assert not any("% 100 = 0" in sql for sql in {**RK.SQL, **RC.SQL}.values())
