@@ -197,3 +197,43 @@ def test_hash_embed_has_a_vector_for_each_row_of_an_id(spark):
     alone = {t: hash_embed(spark.createDataFrame([(7, t)], "id long, text string"), "id", "text").first()["embedding"] for _, t in rows}
     key = lambda r: (str(r[0]), r[1])
     assert sorted([(r["id"], r["embedding"]) for r in got], key=key) == sorted([(i, alone[t]) for i, t in rows], key=key)
+
+
+def test_knn_crossed_plan_agrees_and_copies_no_items(spark, monkeypatch):
+    """More queries than a block: packs of both sides meet in a cartesian product, with the rows of the other plans."""
+    from rankframe.operators import knn as K
+
+    e = spark.read.parquet(f"{MID}/embeddings.parquet")
+    base = sorted(knn(e, e, 10, qid="vec_id", iid="vec_id", exclude_self=True, method="sql").collect())
+    monkeypatch.setattr(K, "BROADCAST_QUERY_ROWS", 10)
+    monkeypatch.setattr(K, "QUERY_BLOCK_ROWS", 120)
+    monkeypatch.setattr(K, "PACK_ROWS", 50)
+    df = knn(e, e, 10, qid="vec_id", iid="vec_id", exclude_self=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert sorted(df.collect()) == base
+
+
+def test_running_topk_is_exact_with_ties_repeats_and_zero_vectors():
+    import numpy as np
+
+    from rankframe.operators.knn import SCALE, _RunningTopK
+
+    rng = np.random.default_rng(1)
+    items = rng.integers(-1, 2, (5000, 16)).astype(float)
+    items[::50] = 0
+    norms = np.linalg.norm(items, axis=1, keepdims=True)
+    items = np.where(norms > 0, items / np.where(norms > 0, norms, 1), 0)
+    ids = rng.permutation(5000)
+    ids[:20] = ids[20:40]
+    queries, qids = np.concatenate([items[:100], np.zeros((3, 16))]), np.concatenate([ids[:100], [9001, 9002, 9003]])
+    for exclude_self in (False, True):
+        best = _RunningTopK(qids, queries, 40, exclude_self)
+        for a in range(0, 5000, 700):
+            best.add(ids[a:a + 700], items[a:a + 700])
+        want = []
+        for q, v in zip(qids, queries):
+            fp = np.floor(np.einsum("ij,j->i", items, v) * SCALE + 0.5).astype(int)
+            met = sorted((-f, i) for f, i in zip(fp, ids) if not (exclude_self and i == q))[:40]
+            want += [(q, i, -f) for f, i in met]
+        assert sorted(map(tuple, best.rows().to_numpy().tolist())) == sorted(want)
