@@ -61,3 +61,19 @@ def test_every_customer_and_user_turn_is_searched_for(spark, tmp_path):
     told = {r.stage: r.n for r in RC.q_stage_counts(spark, str(tmp_path)).collect()}
     assert told["queries"] == told["queries_with_results"] == 10
     assert not any("% 100 = 0" in sql for sql in {**RK.SQL, **RC.SQL}.values())
+
+
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark):
+    """The catalogue, vectors and queries may hold far more than their files' size lets Spark expect."""
+    from rankframe.plans import catalog as CAT
+    from rankframe.plans import recommend as RC
+
+    cat = CAT.catalog_typed(spark, SMALL)
+    recs = spark.createDataFrame([(1, 1, 5), (1, 2, 7)], "query_id long, rank int, catalog_idx long").repartition(2)
+    queries = spark.createDataFrame([(1, "a", 0)], "query_id long, query string, query_pos long")
+    for df in (RC.to_response(recs, cat), RC.submission(recs, queries, cat)):
+        assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+        assert df.count() > 0
+    r = RC.recommend(queries, cat, prepared=RC._prepared(spark, SMALL, cat))
+    sides = [line for line in plan(r).split("\n") if "BroadcastHashJoin [catalog_idx" in line]
+    assert all("BuildLeft" in line for line in sides)  # the window of a small batch alone

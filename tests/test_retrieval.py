@@ -237,3 +237,17 @@ def test_running_topk_is_exact_with_ties_repeats_and_zero_vectors():
             met = sorted((-f, i) for f, i in zip(fp, ids) if not (exclude_self and i == q))[:40]
             want += [(q, i, -f) for f, i in met]
         assert sorted(map(tuple, best.rows().to_numpy().tolist())) == sorted(want)
+
+
+def test_bm25_scores_agree_however_many_query_terms(spark, monkeypatch):
+    """Many query terms are cut to the vocabulary by a shuffle before a broadcast; the scores stay."""
+    from rankframe.operators import bm25 as B
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    idx = bm25_index(docs, "doc_id", "text")
+    base = sorted(bm25_scores(bench, idx, qid="item_id", qtext="text").collect())
+    monkeypatch.setattr(B, "QUERY_TERMS_UNCUT", 10)
+    for rows in (500_000, 300, 20):
+        got = bm25_scores(bench, idx, qid="item_id", qtext="text", query_side_rows=rows)
+        assert sorted(got.select("query_id", "item_id", "score").collect()) == base
